@@ -34,16 +34,113 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str, **tables: DataFrame) -> DataFrame:
+TABLES = ("documents", "pages", "embeddings", "events", "labels")
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the view texts on the tables of a folder."""
-    names = [n for n in ("documents", "pages", "embeddings", "events", "labels") if n in sql and n not in tables]
-    bound = {n: table(spark, sf_dir, n) for n in names} | tables
-    return spark.sql(_bind(sql, bound), **bound)
 
+    def bound(m: re.Match) -> str:
+        if m[1] not in TABLES:
+            return m[0]
+        table(spark, sf_dir, m[1]).createOrReplaceTempView(f"input_{m[1]}")
+        return f"from input_{m[1]}"
 
-def _bind(sql: str, names) -> str:
-    return re.sub(r"\b(from|join)\s+(\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in names else m[0], sql)
+    return spark.sql(re.sub(r"\bfrom (\w+)", bound, sql))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(view(spark, sf_dir, POSTINGS))
+
+
+FIRST_LINE = "substr(split_part(text, chr(10), 1), 1, 80)"
+
+TITLES = f"""
+select doc_id as seq,
+ case doc_id % 5 when 0 then '  ' || {FIRST_LINE} || '  -  Apply Now ' when 1 then '| ' || {FIRST_LINE} || ' · Details'
+  when 2 then {FIRST_LINE} || ' – jetzt  bewerben' when 3 then '— ' || {FIRST_LINE} || ' -' else {FIRST_LINE} || ' | view jobs' end as raw
+from documents
+"""
+
+URLS = """
+select page_id,
+ case page_id % 6 when 0 then url
+  when 1 then '  ' || upper(split_part(url, '/', 1)) || '//WWW.' || split_part(url, '/', 3) || '/Jobs//?b=2&a=%C3%A4+x&gclid=1&empty=&~=*&UTM_x=1#frag'
+  when 2 then url || '#x' when 3 then split_part(url, '#', 1) || '/' when 4 then 'no-scheme/' || cast(page_id as string)
+  else split_part(split_part(url, '#', 1), '?', 1) || '?id=' || cast(page_id as string) || '&ref=a&from=b&k=1,2' end as raw
+from pages
+"""
+
+DATES = """
+select doc_id as seq,
+ case doc_id % 7 when 0 then '2024-01-' || cast(1 + doc_id % 28 as string) || '  ' when 1 then cast(1 + doc_id % 28 as string) || '.12.2023'
+  when 2 then '2024/01/05T10:00' when 3 then 'yesterday' when 4 then null when 5 then '2024-13-01' else '2023-11-0' || cast(1 + doc_id % 9 as string) end as raw
+from documents
+"""
+
+NEAR = f"""
+select doc_id as seq, lang as company, {FIRST_LINE} as title, source as location, text as description,
+ case when doc_id % 3 = 0 then null else '2024-01-05' end as posted_date
+from documents
+"""
+
+BOARD = """
+select doc_id as seq, case doc_id % 5 when 0 then 'LinkedIn' when 1 then 'indeed' when 2 then 'google' when 3 then null else 'glassdoor' end as site,
+ case doc_id % 4 when 0 then '' when 1 then null else ' https://jobs.example.com/' || source || '/' || cast(doc_id % 300 as string) || ' ' end as job_url,
+ case when doc_id % 9 = 0 then null else 'https://direct.example.com/' || cast(doc_id % 250 as string) end as job_url_direct,
+ ' ' || source || ' intern ' as title, lang as company,
+ case doc_id % 6 when 0 then 'Berlin' when 1 then 'nan' when 2 then '' else null end as city,
+ case doc_id % 4 when 0 then ' BE ' when 1 then 'NaN' else null end as state,
+ case doc_id % 3 when 0 then 'Germany' else null end as country,
+ case doc_id % 2 when 0 then 'Remote' else null end as location, text as description,
+ case doc_id % 5 when 0 then 'NaT' when 1 then '2024-01-03 00:00:00' when 2 then 'None' when 3 then null else '2024-01-04' end as date_posted
+from documents
+"""
+
+
+def _item(k: int) -> str:
+    n = f"(doc_id * 3 + {k})"
+    return (
+        f"'{{' || case {n} % 4 when 0 then '\"referenznummer\":\"R' when 1 then '\"referenznummer\":\"\",\"refnr\":\"R' "
+        f"when 2 then '\"hashId\":\"R' else '\"refnr\":\"R' end || cast({n} % 900 as string) || '\",' || "
+        f"case {n} % 5 when 0 then '\"stellenangebotsTitel\":\" Praktikum KI ' when 1 then '\"titel\":\"Werkstudent ' "
+        f"when 2 then '\"beruf\":\"Koch ' when 3 then '\"hauptberuf\":\"Data Engineer ' else '\"titel\":\"\",\"beruf\":\"Kindergarten ' end || source || '\",' || "
+        f"case {n} % 3 when 0 then '\"firma\":\"' || source || '\"' when 1 then '\"arbeitgeber\":{{\"name\":\"' || lang || '\"}}' else '\"firma\":\"\"' end || ',' || "
+        f"case {n} % 6 when 0 then '\"stellenlokationen\":[{{\"adresse\":{{\"ort\":\"Berlin\",\"region\":\"\",\"land\":\"DE\"}}}}]' "
+        f"when 1 then '\"stellenlokationen\":[],\"arbeitsort\":{{\"ort\":\"Bonn\"}}' when 2 then '\"ort\":\"Kiel\"' "
+        f"when 3 then '\"stellenlokationen\":[{{\"adresse\":null}}]' else '\"arbeitsort\":{{}}' end || ',' || "
+        f"case {n} % 4 when 0 then '\"datumErsteVeroeffentlichung\":\"2024-01-02T08:00\"' when 1 then '\"aenderungsdatum\":\"2024-01-03\"' "
+        f"when 2 then '\"veroeffentlichungszeitraum\":{{\"von\":\"2024-01-04\"}}' else '\"x\":1' end || '}}'"
+    )
+
+
+AGENCY_PAGES = (
+    "select doc_id as page, '{\"' || case doc_id % 3 when 0 then 'ergebnisliste' when 1 then 'ergebnisliste\":[],\"stellenangebote' "
+    f"else 'jobs' end || '\":[' || {_item(0)} || ',' || {_item(1)} || ',' || {_item(2)} || ']}}' as body from documents"
+)
+
+AGENCY_DETAILS = """
+select 'R' || cast(doc_id as string) as refnr,
+ '{' || case doc_id % 3 when 0 then '"stellenangebotsBeschreibung":"quality ' || cast(quality as string) || '"' when 1 then '"beschreibung":{"text":"toxic ' || cast(toxic as string) || '"}' else '"stellenbeschreibung":""' end || ',' ||
+ case doc_id % 4 when 0 then '"externeUrl":"https://ext.example.com/' || cast(doc_id as string) || '"' when 1 then '"url":"https://int.example.com/' || cast(doc_id as string) || '"' else '"url":""' end || ',' ||
+ case doc_id % 2 when 0 then '"arbeitgeber":{"name":"Detail AG"}' else '"firma":"Detail GmbH"' end || ',' ||
+ case doc_id % 5 when 0 then '"aktuelleVeroeffentlichungsdatum":"2024-01-06"' else '"y":2' end || '}' as body
+from labels where doc_id < 900
+"""
+
+# Site pages: the raw page with posting-like cards ahead of its own content.
+LISTING_PAGES = """
+select page_id, 'site' || cast(page_id % 3 as string) as site, url,
+ '<div class="card"><a href="/jobs/' || cast(page_id % 40 as string) || '?x=1">Machine learning internship</a><span class="firm">Firm ' || cast(page_id % 7 as string) || '</span><span class="city">Berlin</span></div>' ||
+ '<ul><li><a href="https://other.example.org/p/' || cast(page_id as string) || '">Apply here now</a> for this data science role</li>' ||
+ '<li><a href="/about-us">About this company</a></li><li><a href="mailto:jobs@example.org">Werkstudent per mail</a></li><li><a href="/jobs/x">Short</a></li></ul>' || html as html
+from pages
+"""
+
+LISTING_MARKDOWN = """
+select page_id, 'site' || cast(page_id % 3 as string) as site, url,
+ '# Jobs\n* [ Praktikum Data Science ](https://a.example.org/' || cast(page_id % 50 as string) || ') [About this company](https://a.example.org/about)\n* [See the open job](/jobs/' || cast(page_id as string) || ') [short](/jobs/1) [Impressum here](/imprint)\n* [Any open position](https://b.example.org/JOBS/1)\n' || html as md
+from pages
+"""
+
+FETCH_LOG = "select user_id, ts, event_id, event_type <> 'error' as ok from events"

@@ -59,8 +59,9 @@ _GERMAN_WORDS = r"\b(und|mit|wir|gesucht|kenntnisse)\b"
 
 
 def _unquote(part: Column) -> Column:
-    """Percent-decoded text; text that cannot be decoded stays as it is."""
-    return F.coalesce(F.try_url_decode(part), F.translate(part, "+", " "))
+    """Percent-decoded text; a percent sign without two hex digits stays."""
+    valid = F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(valid), F.translate(part, "+", " "))
 
 
 def _quote(part: Column) -> Column:
