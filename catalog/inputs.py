@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postsieve.plans.balance import balanced
 from postsieve.schema import conform
 
 AS_OF = "2024-01-10"
@@ -43,7 +44,7 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     def bound(m: re.Match) -> str:
         if m[1] not in TABLES:
             return m[0]
-        table(spark, sf_dir, m[1]).createOrReplaceTempView(f"input_{m[1]}")
+        balanced(table(spark, sf_dir, m[1])).createOrReplaceTempView(f"input_{m[1]}")
         return f"from input_{m[1]}"
 
     return spark.sql(re.sub(r"\bfrom (\w+)", bound, sql))

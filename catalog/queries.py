@@ -96,8 +96,8 @@ def text_quotes(spark, sf):
         "seq",
         text.quote_around(blob, "ai", 30).alias("quote_ai"),
         text.quote_around(blob, "deep learning", 12).alias("quote_dl"),
-        text.snippet(score._ENGLISH_QUOTE, blob).alias("english"),
-        text.snippet(score._GERMAN_QUOTE, blob).alias("german"),
+        text.snippet(*score._ENGLISH_QUOTE, blob).alias("english"),
+        text.snippet(*score._GERMAN_QUOTE, blob).alias("german"),
     )
 
 

@@ -71,7 +71,12 @@ def any_match(text: Column, keywords: Iterable[str]) -> Column:
 
 
 def matched(text: Column, keywords: Iterable[str]) -> Column:
-    """Array of the keywords present, distinct, in the order of the list."""
+    """Array of the keywords present, distinct, in the order of the list.
+
+    One scan for the whole list comes first: most texts hold none of it and are
+    not read once per keyword.
+    """
+    keywords = list(keywords)
     hits = [
         F.when(text.rlike(found), F.lit(kw))
         for kw in dict.fromkeys(keywords)
@@ -79,7 +84,8 @@ def matched(text: Column, keywords: Iterable[str]) -> Column:
     ]
     if not hits:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*hits))
+    found = F.array_compact(F.array(*hits))
+    return F.when(any_match(text, keywords), found).otherwise(F.array().cast("array<string>"))
 
 
 def squeeze(text: Column) -> Column:
@@ -92,44 +98,55 @@ def strip(text: Column) -> Column:
     return F.regexp_extract(text, rf"(?sU)\A{_SPACE}*(.*[^\s\x1c-\x1f])", 1)
 
 
-def quote_around(text: Column, keyword: str, window: int = 30) -> Column:
-    """First match of the keyword with up to ``window`` characters on each side.
+def _near_first(text: Column, found: Column, window: int) -> Column:
+    """The text from ``window`` characters before the first match on.
 
-    The prefix is lazy, so the extracted span ends at the first occurrence.
+    One plain scan finds the match; patterns with a long optional prefix then
+    apply at the start instead of being tried at every position of the text.
     """
-    body = keyword_body(keyword) or _NEVER
-    span = rf"{_DOT_FLAGS}.{{0,{window}}}?{body}.{{0,{window}}}"
-    return squeeze(F.regexp_extract(text, span, 0))
+    before = F.get(F.split(text, found, 2), F.lit(0))
+    return F.substr(text, F.greatest(F.lit(1), F.length(before) - window + 1))
+
+
+def _quote(text: Column, body: Column, window: int) -> Column:
+    near = _near_first(text, F.concat(F.lit(_DOT_FLAGS), body), window)
+    span = F.concat(F.lit(rf"{_DOT_FLAGS}\A.{{0,{window}}}?"), body, F.lit(f".{{0,{window}}}"))
+    return squeeze(F.coalesce(F.call_function("regexp_extract", near, span, F.lit(0)), F.lit("")))
+
+
+def quote_around(text: Column, keyword: str, window: int = 30) -> Column:
+    """First match of the keyword with up to ``window`` characters on each side."""
+    return _quote(text, F.lit(keyword_body(keyword) or _NEVER), window)
 
 
 def quote_around_any(text: Column, keyword: Column, known: Iterable[str], window: int) -> Column:
     """``quote_around`` for a keyword that differs by row.
 
-    Known keywords use literal patterns, which are compiled once.  Any other
-    value gets a pattern built in the row from the same rules.
+    The pattern is looked up for known keywords and built in the row from the
+    same rules for any other value.
     """
-    choice = F
-    for kw in dict.fromkeys(known):
-        choice = choice.when(keyword == F.lit(kw), quote_around(text, kw, window))
     kw = F.lower(strip(keyword))
     edge = lambda cut: F.when(cut.rlike(r"(?U)[\p{L}\p{N}]"), F.lit(r"\b")).otherwise(F.lit(""))
     words = F.filter(F.split(kw, pattern(r"[\s\-_/]+")), lambda w: w != "")
     quoted = F.transform(words, lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}])", r"\\$1"))
-    body = F.concat(
-        edge(F.substring(kw, 1, 1)),
-        F.array_join(quoted, _GAP),
-        edge(F.substring(kw, -1, 1)),
-    )
-    own = F.concat(
-        F.lit(f"{_DOT_FLAGS}.{{0,{window}}}?"), body, F.lit(f".{{0,{window}}}")
-    )
-    dynamic = F.when(F.size(words) > 0, squeeze(F.call_function("regexp_extract", text, own, F.lit(0)))).otherwise("")
-    return dynamic if choice is F else choice.otherwise(dynamic)
-
-
-def snippet(body: str, text: Column) -> Column:
-    """First match of a fixed pattern in the text read as one line, trimmed."""
-    return strip(F.regexp_extract(F.translate(text, "\n", " "), pattern(body, dot_all=True), 0))
+    own = F.when(F.size(words) > 0, F.concat(
+        edge(F.substring(kw, 1, 1)), F.array_join(quoted, _GAP), edge(F.substring(kw, -1, 1))
+    )).otherwise(F.lit(_NEVER))
+    listed = {kw: keyword_body(kw) or _NEVER for kw in known}
+    if not listed:
+        return _quote(text, own, window)
+    table = F.create_map(*[F.lit(x) for pair in listed.items() for x in pair])
+    return _quote(text, F.coalesce(F.try_element_at(table, keyword), own), window)
+
+
+def snippet(core: str, window: int, text: Column) -> Column:
+    """First match of a fixed phrase in the text read as one line, with up to
+    ``window`` characters on each side, trimmed.  The span is as long as it can
+    be: it may reach to a later phrase that lies inside the window."""
+    line = F.translate(text, "\n", " ")
+    near = _near_first(line, F.lit(pattern(core, dot_all=True)), window)
+    span = pattern(rf"\A.{{0,{window}}}(?:{core}).{{0,{window}}}", dot_all=True)
+    return strip(F.regexp_extract(near, span, 0))
 
 
 # Year-month-day, day.month.year and year/month/day; one or two digits for day and month.

@@ -35,7 +35,7 @@ from postsieve.functions.similarity import (
 from postsieve.plans.durable import cut
 
 THRESHOLD = 90
-_FIRST_BATCH = 512
+_FIRST_BATCH = 2048
 _BROADCAST_BYTES = 32 << 20
 _TILE_ROWS = 4096
 _PART_ROWS = 50_000

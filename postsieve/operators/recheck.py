@@ -14,17 +14,14 @@ from postsieve.schema import HISTORY, as_day
 def judged(history: DataFrame, policy: Policy, as_of, sim: Column | None = None) -> DataFrame:
     """Open rows with their old score, reject reason, new score and verdict.
 
-    The key is unique, so gating and scoring are projections of the history:
-    nothing is joined or shuffled.  Rows a gate rejects are not scored.
+    The key is unique, so gating and scoring are one projection of the history:
+    nothing is joined or shuffled.
     """
-    open_rows = with_reason(history.filter(F.col("status") == "new"), policy, as_of)
-    open_rows = open_rows.withColumns({
+    open_rows = with_reason(history.filter(F.col("status") == "new"), policy, as_of).withColumns({
         "old_score": F.coalesce("fit_score", F.lit(0.0)), "old_reason": F.col("fit_reason"),
     })
-    failed = open_rows.filter("reject_reason is not null")
-    passed = score(open_rows.filter("reject_reason is null"), policy, as_of, sim)
     keep = F.col("reject_reason").isNull() & (F.col("fit_score") >= policy.floor_fit_score)
-    return passed.unionByName(failed).withColumn("kept", keep)
+    return score(open_rows, policy, as_of, sim).withColumn("kept", keep)
 
 
 def report(rows: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ from postsieve.schema import as_day, text_or_empty
 COMPONENTS = ("semantic", "role", "domain", "recency", "language")
 
 # Snippets quoted for the two languages.
-_ENGLISH_QUOTE = r".{0,40}(english|working\s*language).{0,40}"
-_GERMAN_QUOTE = r".{0,30}(verhandlungssicher|flie[sß]end|deutschkenntnisse|german\s*(b2|c1|c2)).{0,30}"
+_ENGLISH_QUOTE = (r"(english|working\s*language)", 40)
+_GERMAN_QUOTE = (r"(verhandlungssicher|flie[sß]end|deutschkenntnisse|german\s*(b2|c1|c2))", 30)
 _REASON_CHARS = 400
 _EMBED_CHARS = 3000
 
@@ -86,8 +86,8 @@ def hits(df: DataFrame, policy: Policy) -> DataFrame:
 def components(df: DataFrame, policy: Policy, as_of, sim: Column | None = None) -> DataFrame:
     """Add the five component scores, each between 0 and 1."""
     w = policy.weights
-    df = hits(df, policy)
-    age = age_days(F.col("posted_date"), as_day(as_of))
+    df = hits(df, policy).withColumn("_age", age_days(F.col("posted_date"), as_day(as_of)))
+    age = F.col("_age")
     limit = policy.freshness_days
     known_age = F.lit(1.0) if limit <= 0 else F.greatest(F.lit(0.0), F.lit(1.0) - age / F.lit(float(limit)))
     domain_base = F.when(F.size("_domain_title") > 0, 0.7).otherwise(0.25)
@@ -134,48 +134,55 @@ def score(df: DataFrame, policy: Policy, as_of, sim: Column | None = None) -> Da
     raw = F.lit(100.0) * points / F.lit(total)
     raw = raw - F.when(F.col("_german"), w.german_penalty).otherwise(0.0)
     raw = raw - F.when(F.col("_excluded"), w.exclude_penalty).otherwise(0.0)
-    df = df.withColumn("fit_score", round_tenth(clamp(raw, 0.0, 100.0)))
-    df = df.withColumn("fit_reason", _reason(policy, sim is not None))
+    df = df.withColumn("_raw", clamp(raw, 0.0, 100.0)).withColumn("fit_score", round_tenth(F.col("_raw")))
+    df = _with_reason(df, policy, sim is not None)
     return df.select(*[c for c in keep if c not in ("fit_score", "fit_reason")], "fit_score", "fit_reason")
 
 
-def _reason(policy: Policy, with_sim: bool) -> Column:
+def _with_reason(df: DataFrame, policy: Policy, with_sim: bool) -> DataFrame:
+    """Add ``fit_reason``.  Quotes are columns of their own: each is used twice
+    and would else be written into the plan, and run, twice."""
     text = F.concat_ws(". ", text_or_empty("title"), text_or_empty("description"))
-
-    def part(label: str, quote: Column, bare: Column) -> Column:
-        return F.when(quote != "", F.concat(F.lit(f"{label}: «"), quote, F.lit("»"))).otherwise(bare)
-
-    role, domain = F.get("_role_hits", F.lit(0)), F.get("_domain_hits", F.lit(0))
     known_roles = [*policy.role_types, *[label for _, label in role_outputs(policy.role_types)]]
-    role_part = F.when(
-        role.isNotNull(),
-        part("Role", quote_around_any(text, role, known_roles, 20), F.concat(F.lit("Role: "), role)),
-    )
-    domain_part = F.when(
-        domain.isNotNull(),
-        part(
-            "Domain",
-            quote_around_any(text, domain, policy.domains, 25),
-            F.concat(F.lit("Domain: "), F.array_join(F.slice("_domain_hits", 1, 3), ", ")),
+    df = df.withColumns({
+        "_text": text,
+        "_role_hit": F.get("_role_hits", F.lit(0)),
+        "_domain_hit": F.get("_domain_hits", F.lit(0)),
+        "_say_english": F.col("_english") & F.lit(policy.prefer_english),
+    })
+    text = F.col("_text")
+    df = df.withColumns({
+        "_q_role": F.when(
+            F.col("_role_hit").isNotNull(), quote_around_any(text, F.col("_role_hit"), known_roles, 20)
         ),
-    )
-    english_part = F.when(
-        F.col("_english") & F.lit(policy.prefer_english),
-        part("English", snippet(_ENGLISH_QUOTE, text), F.lit("English working language detected")),
-    )
-    german_part = F.when(
-        F.col("_german"),
-        part("German bar (penalty)", snippet(_GERMAN_QUOTE, text), F.lit("German above A2 required")),
-    )
+        "_q_domain": F.when(
+            F.col("_domain_hit").isNotNull(), quote_around_any(text, F.col("_domain_hit"), policy.domains, 25)
+        ),
+        "_q_english": F.when(F.col("_say_english"), snippet(*_ENGLISH_QUOTE, text)),
+        "_q_german": F.when(F.col("_german"), snippet(*_GERMAN_QUOTE, text)),
+    })
+
+    def part(label: str, quote: str, bare: Column) -> Column:
+        quoted = F.concat(F.lit(f"{label}: «"), F.col(quote), F.lit("»"))
+        return F.when(F.col(quote) != "", quoted).when(F.col(quote) == "", bare)
+
     shown = [
         F.when(F.col(f"_pt_{n}") != 0, F.concat(F.lit(f"{n}="), whole_text(F.col(f"_pt_{n}"))))
         for n in COMPONENTS
     ]
     if with_sim:
         shown.append(F.concat(F.lit("sim="), F.format_string("%.2f", F.col("_sim"))))
-    breakdown = F.concat(F.lit("["), F.concat_ws(" ", *shown), F.lit("]"))
-    full = F.concat_ws(" · ", role_part, domain_part, english_part, german_part, breakdown)
-    return F.substring(full, 1, _REASON_CHARS)
+    full = F.concat_ws(
+        " · ",
+        part("Role", "_q_role", F.concat(F.lit("Role: "), F.col("_role_hit"))),
+        part("Domain", "_q_domain", F.concat(
+            F.lit("Domain: "), F.array_join(F.slice("_domain_hits", 1, 3), ", ")
+        )),
+        part("English", "_q_english", F.lit("English working language detected")),
+        part("German bar (penalty)", "_q_german", F.lit("German above A2 required")),
+        F.concat(F.lit("["), F.concat_ws(" ", *shown), F.lit("]")),
+    )
+    return df.withColumn("fit_reason", F.substring(full, 1, _REASON_CHARS))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from postsieve.operators.gates import GATES, dropoff_counts, with_reason
 from postsieve.operators.normalize import normalize
 from postsieve.operators.publish import digest, sheets
 from postsieve.operators.score import score, select_top
+from postsieve.plans.balance import balanced
 from postsieve.plans.durable import SnapshotTable, cut
 from postsieve.policy import Policy
 from postsieve.schema import TEXT_COLUMNS
@@ -84,7 +85,7 @@ def run(
     history = hist.empty_history(spark) if history is None else hist.upgrade(history)
 
     raw_seen, gate_seen = Observation(), Observation()
-    raw = union_sources(sources).observe(raw_seen, F.count(F.lit(1)).alias("n"))
+    raw = balanced(union_sources(sources)).observe(raw_seen, F.count(F.lit(1)).alias("n"))
     normalized = cut(normalize(raw, policy))
     judged = with_reason(fuzzy_dedup(normalized), policy, as_of).observe(gate_seen, *dropoff_counts())
     passed = judged.filter("reject_reason is null").drop("reject_reason")
