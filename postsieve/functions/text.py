@@ -98,19 +98,27 @@ def strip(text: Column) -> Column:
     return F.regexp_extract(text, rf"(?sU)\A{_SPACE}*(.*[^\s\x1c-\x1f])", 1)
 
 
-def _near_first(text: Column, found: Column, window: int) -> Column:
-    """The text from ``window`` characters before the first match on.
+def _before_first(text: Column, found: Column) -> Column:
+    """Length of the text before the first match (of all of it without one)."""
+    return F.length(F.get(F.split(text, found, 2), F.lit(0)))
 
-    One plain scan finds the match; patterns with a long optional prefix then
+
+def _from(text: Column, before: Column, window: int) -> Column:
+    """The text from ``window`` characters before a place on.
+
+    One plain scan finds the place; patterns with a long optional prefix then
     apply at the start instead of being tried at every position of the text.
     """
-    before = F.get(F.split(text, found, 2), F.lit(0))
-    return F.substr(text, F.greatest(F.lit(1), F.length(before) - window + 1))
+    return F.substr(text, F.greatest(F.lit(1), before - window + 1))
 
 
 def _quote(text: Column, body: Column, window: int) -> Column:
-    near = _near_first(text, F.concat(F.lit(_DOT_FLAGS), body), window)
-    span = F.concat(F.lit(rf"{_DOT_FLAGS}\A.{{0,{window}}}?"), body, F.lit(f".{{0,{window}}}"))
+    before = _before_first(text, F.concat(F.lit(_DOT_FLAGS), body))
+    # A full window of text before the match is skipped by its exact length: the
+    # cut may have freed a part of a word that looks like the keyword.
+    skip = F.when(before >= window, f".{{{window}}}").otherwise(f".{{0,{window}}}?")
+    span = F.concat(F.lit(rf"{_DOT_FLAGS}\A"), skip, body, F.lit(f".{{0,{window}}}"))
+    near = _from(text, before, window)
     return squeeze(F.coalesce(F.call_function("regexp_extract", near, span, F.lit(0)), F.lit("")))
 
 
@@ -144,7 +152,7 @@ def snippet(core: str, window: int, text: Column) -> Column:
     ``window`` characters on each side, trimmed.  The span is as long as it can
     be: it may reach to a later phrase that lies inside the window."""
     line = F.translate(text, "\n", " ")
-    near = _near_first(line, F.lit(pattern(core, dot_all=True)), window)
+    near = _from(line, _before_first(line, F.lit(pattern(core, dot_all=True))), window)
     span = pattern(rf"\A.{{0,{window}}}(?:{core}).{{0,{window}}}", dot_all=True)
     return strip(F.regexp_extract(near, span, 0))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.operators import history as hist
@@ -47,7 +48,22 @@ def rank(
     return select_top(score(similarity(postings), policy, as_of, F.col("sim")), policy)
 
 
-def _next_history(history: DataFrame, ranked: DataFrame, policy: Policy, as_of) -> tuple[DataFrame, Observation]:
+class _Counts:
+    """Counts taken while the rows pass by; counted again only if Spark dropped
+    the passing rows from the plan, as it does once it knows there are none."""
+
+    def __init__(self, rows: DataFrame, *columns: Column):
+        self._rows, self._columns, self._seen = rows, columns, Observation()
+        self.rows = rows.observe(self._seen, *columns)
+
+    def get(self) -> dict:
+        try:
+            return self._seen.get
+        except Py4JJavaError:
+            return self._rows.agg(*self._columns).first().asDict()
+
+
+def _next_history(history: DataFrame, ranked: DataFrame, policy: Policy, as_of) -> tuple[DataFrame, _Counts]:
     """Merge, expire and prune in one pass, with the counts of each step observed."""
     size = ranked.agg(F.coalesce(
         F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in TEXT_COLUMNS), F.lit(200))), F.lit(0)
@@ -58,14 +74,13 @@ def _next_history(history: DataFrame, ranked: DataFrame, policy: Policy, as_of)
         .withColumn("status", F.when(F.col("_expired"), "expired").otherwise(F.col("status")))
         .withColumn("_pruned", hist.outlives(policy.db_keep_days, as_of))
     )
-    seen = Observation()
-    after = after.observe(
-        seen,
+    counts = _Counts(
+        after,
         *[F.count_if(F.col("action") == a).alias(a) for a in hist.ACTIONS],
         F.count_if("_expired").alias("expired"),
         F.count_if("_pruned").alias("pruned"),
     )
-    return after.filter(~F.col("_pruned")).drop("_expired", "_pruned", "action"), seen
+    return counts.rows.filter(~F.col("_pruned")).drop("_expired", "_pruned", "action"), counts
 
 
 def run(
@@ -84,27 +99,26 @@ def run(
     history = store.read(before=version)
     history = hist.empty_history(spark) if history is None else hist.upgrade(history)
 
-    raw_seen, gate_seen = Observation(), Observation()
-    raw = balanced(union_sources(sources)).observe(raw_seen, F.count(F.lit(1)).alias("n"))
-    normalized = cut(normalize(raw, policy))
-    judged = with_reason(fuzzy_dedup(normalized), policy, as_of).observe(gate_seen, *dropoff_counts())
-    passed = judged.filter("reject_reason is null").drop("reject_reason")
+    raw = _Counts(balanced(union_sources(sources)), F.count(F.lit(1)).alias("n"))
+    normalized = cut(normalize(raw.rows, policy))
+    judged = _Counts(with_reason(fuzzy_dedup(normalized), policy, as_of), *dropoff_counts())
+    passed = judged.rows.filter("reject_reason is null").drop("reject_reason")
     ranked = cut(rank(passed, policy, as_of, similarity))
 
-    after, merge_seen = _next_history(history, ranked, policy, as_of)
+    after, merge_counts = _next_history(history, ranked, policy, as_of)
     current = store.write(after, version)
     open_rows = current.filter(F.col("status") == "new")
     all_open, new_today = sheets(open_rows, as_of)
-    merge_counts, gates = merge_seen.get, gate_seen.get
+    gates = judged.get()
     totals = hist.counts(current, as_of).first()
     summary = {
         "run_date": str(as_of),
-        "raw": raw_seen.get["n"],
+        "raw": raw.get()["n"],
         "normalized": normalized.count(),
         "deduped": gates["input"],
         "filtered": gates["passed"],
         "ranked": ranked.count(),
-        **merge_counts,
+        **merge_counts.get(),
         "new_today": totals["new_today"],
         "total_open": totals["total_open"],
     }
