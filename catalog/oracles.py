@@ -388,7 +388,7 @@ FORM = "replace(replace({}, '%20', '+'), '%7E', '~')"
 # Deduplication: all pairs of a block by word sets; the edit form by a dynamic
 # program over the few pairs that Levenshtein distance leaves open; then the
 # sequential rule, one record per step.
-GREEDY = rf"""with recursive near as ({I.NEAR}),
+GREEDY_STEPS = r"""
  fp as (select *, substr(split_part(trim(regexp_replace(lower(company), '[^a-z0-9 ]+', '', 'g')), ' ', 1), 1, 6) as block,
    list_sort(list_distinct(string_split_regex(trim(lower(company || ' | ' || title || ' | ' || location)), '\s+'))) as w from near),
  prs as (select a.seq as x, b.seq as y, list_sort(list_intersect(a.w, b.w)) as i, list_filter(a.w, lambda t: not list_contains(b.w, t)) as p,
@@ -410,6 +410,7 @@ GREEDY = rf"""with recursive near as ({I.NEAR}),
    select w.k + 1, case when list_has_any(n.nb, w.led) then w.led else list_append(w.led, n.seq) end from walk w join node n on n.k = w.k + 1),
  led as (select unnest(led) as l from (select led from walk order by k desc limit 1)),
  grp as (select l as seq, l as leader_seq from led union all select y, min(x) from edge join led on l = x where y not in (select l from led) group by y)"""
+GREEDY = f"with recursive near as ({I.NEAR}),{GREEDY_STEPS}"
 
 ORACLES: dict[str, str] = {
     "text_keywords": f"""with {POST} select seq, {has(BLOB, 'ai')} as has_ai, {has(BLOB, *P.must_have_any)} as has_any,
@@ -507,4 +508,14 @@ ORACLES: dict[str, str] = {
     "failure_streaks": STREAK_ROWS,
     "failure_streak_state": f"with {STREAK} select user_id, arg_max(streak, (ts, event_id)) as streak, bool_or(tripped) as tripped from trp group by user_id",
     "failure_streak_stream": STREAK_ROWS,
+    "daily_run_summary": f"""with recursive {POST}, {NORM}, near as (select seq, company, title, location, description, posted_date from norm),{GREEDY_STEPS},
+      kept as (select g.leader_seq as seq, n.* exclude (seq) from norm n join grp g using (seq)
+        qualify row_number() over (partition by g.leader_seq order by length(n.description) desc, (n.posted_date is null), n.seq) = 1),
+      g as (select * from kept where {reason()} is null), {scored('g', tag='_d')}, r as (select *, row_number() over (order by fit_score desc, seq) as rk from scored_d),
+      a as (select seq from r where fit_score >= 55 and rk <= 50),
+      b as (select seq from r where seq not in (select seq from a) and fit_score >= 50 order by rk limit greatest(0, 15 - (select count(*) from a))),
+      k as (select count(*) as n from (select seq from a union all select seq from b))
+      select {lit(I.AS_OF)} as run_date, (select count(*) from post) as raw, (select count(*) from norm) as normalized, (select count(*) from kept) as deduped,
+        (select count(*) from g) as filtered, n as ranked, n as inserted, 0::bigint as updated, 0::bigint as reopened, 0::bigint as skipped_handled,
+        0::bigint as expired, 0::bigint as pruned, n as new_today, n as total_open from k""",
 }
