@@ -32,24 +32,27 @@ from postsieve.functions.similarity import (
     tokens,
     word_sketch,
 )
-from postsieve.plans.durable import cut
+from postsieve.plans.durable import cut, setting
 
 THRESHOLD = 90
 _FIRST_BATCH = 2048
 _BROADCAST_BYTES = 32 << 20
 _TILE_ROWS = 4096
 _PART_ROWS = 50_000
-_MAX_HOT_BLOCKS = 50_000
+_MAX_HOT = 50_000
+_LANES = 64
 
 
 def records(df: DataFrame, block: Column | None = None) -> DataFrame:
-    """One row per block and word set: its first ``seq`` and comparison features."""
+    """One row per block and word set: its first ``seq`` and number of postings."""
     words = df.select(
         "seq",
         (block_key(F.col("company")) if block is None else block).alias("block"),
         tokens(fingerprint(F.col("company"), F.col("title"), F.col("location"))).alias("words"),
     )
-    return words.groupBy("block", "words").agg(F.min("seq").alias("id"))
+    return words.groupBy("block", "words").agg(
+        F.min("seq").alias("id"), F.count(F.lit(1)).alias("copies")
+    )
 
 
 def _features(recs: DataFrame) -> DataFrame:
@@ -76,7 +79,7 @@ def _spread_blocks(left: DataFrame, right: DataFrame, n_right: int) -> tuple[Dat
     blocks; the tile grows with the data to keep that table small enough to
     broadcast.
     """
-    tile = max(_TILE_ROWS, math.ceil(n_right / _MAX_HOT_BLOCKS))
+    tile = max(_TILE_ROWS, math.ceil(n_right / _MAX_HOT))
     hot = (
         right.groupBy("block").count().filter(F.col("count") > tile)
         .select("block", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
@@ -130,8 +133,18 @@ def _settle(edges: DataFrame) -> DataFrame | None:
 
 
 def _first_of_blocks(recs: DataFrame, size: int) -> DataFrame:
-    order = Window.partitionBy("block").orderBy("id")
-    return recs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= size).drop("_n")
+    """First ``size`` records of every block.
+
+    A block is ranked in lanes before it is ranked as a whole, so even one that
+    holds most records brings at most ``_LANES * size`` of them to one task.
+    """
+    for keys in (["block", "_lane"], ["block"]):
+        recs = recs.withColumn("_lane", F.pmod(F.hash("id"), F.lit(_LANES)))
+        order = Window.partitionBy(*keys).orderBy("id")
+        recs = recs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= size).drop("_n", "_lane")
+    # Rank limits act before the shuffle up to this many rows per key.
+    with setting(recs.sparkSession, "spark.sql.optimizer.windowGroupLimitThreshold", str(size)):
+        return cut(recs)
 
 
 def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: int = _FIRST_BATCH) -> DataFrame:
@@ -139,7 +152,7 @@ def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: i
     open_ = cut(_features(recs))
     n_open, size, done = open_.count(), first_batch, None
     while n_open:
-        batch = cut(_first_of_blocks(open_, size))
+        batch = _first_of_blocks(open_, size)
         n_batch, batch_bytes = _bytes_of(batch)
         edges = cut(_similar(batch, batch, threshold, n_batch, batch_bytes, ordered=True))
         members = _settle(edges)
@@ -174,21 +187,26 @@ def leaders(df: DataFrame, threshold: float = THRESHOLD, block: Column | None =
     """(seq, leader_seq) for every posting; a leader points to itself."""
     block = block_key(F.col("company")) if block is None else block
     recs = cut(records(df, block))
-    led = recs.join(record_leaders(recs, threshold, **kw), "id").select("block", "words", "leader")
+    led = recs.join(record_leaders(recs, threshold, **kw), "id").select("block", "words", "copies", "leader")
     words = tokens(fingerprint(F.col("company"), F.col("title"), F.col("location")))
     rows = df.select("seq", block.alias("block"), words.alias("words"))
-    return _spread_join(rows, led).select("seq", F.col("leader").alias("leader_seq"))
+    return _join_copies(rows, led, recs).select("seq", F.col("leader").alias("leader_seq"))
 
 
-def _spread_join(rows: DataFrame, led: DataFrame, copies: int = 16) -> DataFrame:
-    """Join many copies of few word sets: copies of one set go to several tasks.
+def _join_copies(rows: DataFrame, led: DataFrame, recs: DataFrame) -> DataFrame:
+    """Join postings to their records; the copies of a hot record go to several tasks.
 
-    The record side has one row per key and is repeated ``copies`` times, so a
-    word set that holds a third of all rows is read by that many tasks.
+    A record is hot above ``part`` copies, so at most total / part records are,
+    and ``part`` grows with the total to keep their table small.
     """
-    rows = rows.withColumn("salt", F.pmod(F.hash("seq"), F.lit(copies)))
-    led = led.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return rows.join(led, ["block", "words", "salt"])
+    total = recs.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    part = max(_PART_ROWS, math.ceil(total / _MAX_HOT))
+    split = F.when(F.col("copies") > part, F.ceil(F.col("copies") / part).cast("int")).otherwise(1)
+    hot = recs.filter(F.col("copies") > part).select("block", "words", split.alias("_split"))
+    rows = rows.join(F.broadcast(hot), ["block", "words"], "left")
+    rows = rows.withColumn("_salt", F.pmod(F.hash("seq"), F.coalesce("_split", F.lit(1))))
+    led = led.withColumn("_salt", F.explode(F.sequence(F.lit(0), split - 1)))
+    return rows.join(led, ["block", "words", "_salt"])
 
 
 def representatives(df: DataFrame, groups: DataFrame) -> DataFrame:

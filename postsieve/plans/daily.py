@@ -16,7 +16,7 @@ from postsieve.operators.normalize import normalize
 from postsieve.operators.publish import digest, sheets
 from postsieve.operators.score import score, select_top
 from postsieve.plans.balance import balanced
-from postsieve.plans.durable import SnapshotTable, cut
+from postsieve.plans.durable import SnapshotTable, cut, written
 from postsieve.policy import Policy
 from postsieve.schema import TEXT_COLUMNS
 from postsieve.sources.union import union_sources
@@ -100,7 +100,7 @@ def run(
     history = hist.empty_history(spark) if history is None else hist.upgrade(history)
 
     raw = _Counts(balanced(union_sources(sources)), F.count(F.lit(1)).alias("n"))
-    normalized = cut(normalize(raw.rows, policy))
+    normalized = written(normalize(raw.rows, policy))
     judged = _Counts(with_reason(fuzzy_dedup(normalized), policy, as_of), *dropoff_counts())
     passed = judged.rows.filter("reject_reason is null").drop("reject_reason")
     ranked = cut(rank(passed, policy, as_of, similarity))

@@ -96,7 +96,8 @@ def test_leaders_equal_the_sequential_rule(spark, monkeypatch, seed, batch, broa
     assert got == sequential_leaders(rows, threshold)
 
 
-def test_one_block_of_near_copies(spark):
+def test_one_block_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "_PART_ROWS", 50)
     rows = [(i, "Unknown", f"machine learning internship in the data team number {i}", "Berlin") for i in range(400)]
     rows += [(1000 + i, "Unknown", "machine learning internship in the data team number 7", "Berlin") for i in range(300)]
     got = dict(dedup.leaders(frame(spark, rows), first_batch=32).collect())
