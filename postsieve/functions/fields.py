@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,37 +69,54 @@ def _quote(part: Column) -> Column:
     return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def canonical_url(url: Column) -> Column:
-    """One spelling per page: no tracking, fragment, ``www.`` or trailing slash."""
-    url = strip(F.coalesce(url, F.lit("")))
-    flat = F.translate(url, "\t\r\n", "")
-    part = lambda i: F.regexp_extract(flat, _URL, i)
-    scheme, host, path, query = F.lower(part(1)), F.lower(part(2)), part(3), part(4)
-    has_params = scheme.isin(*_PARAM_SCHEMES) & path.rlike(_PARAMS)
-    params = F.when(has_params, F.regexp_extract(path, _PARAMS, 2)).otherwise("")
-    stem = F.when(has_params, F.regexp_extract(path, _PARAMS, 1)).otherwise(path)
-    stem = F.regexp_replace(stem, r"/+\z", "")
-    stem = F.when(stem == "", "/").otherwise(stem)
-
-    pairs = F.filter(F.split(query, "&"), lambda p: F.instr(p, "=") > 0)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it uses more than once but that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _kept_query(query: Column) -> Column:
+    """The query without blank values and tracking parameters, encoded anew."""
     pairs = F.transform(
-        pairs,
+        F.filter(F.split(query, "&"), lambda p: F.instr(p, "=") > 0),
         lambda p: F.struct(
             _unquote(F.substring_index(p, "=", 1)).alias("name"),
             _unquote(F.substr(p, F.instr(p, "=") + 1)).alias("value"),
         ),
     )
-    pairs = F.filter(pairs, lambda p: (p["value"] != "") & ~p["name"].rlike(pattern(_TRACKING)))
-    kept = F.array_join(
-        F.transform(pairs, lambda p: F.concat(_quote(p["name"]), F.lit("="), _quote(p["value"]))), "&"
-    )
-    rebuilt = F.concat(
-        scheme, F.lit("://"), F.regexp_replace(host, r"^www\.", ""), stem,
-        F.when(params != "", F.concat(F.lit(";"), params)).otherwise(""),
-        F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""),
+    kept = F.filter(pairs, lambda p: (p["value"] != "") & ~p["name"].rlike(pattern(_TRACKING)))
+    return F.array_join(F.transform(kept, lambda p: F.concat(_quote(p["name"]), F.lit("="), _quote(p["value"]))), "&")
+
+
+def _rebuilt(p: Column) -> Column:
+    has_params = p["scheme"].isin(*_PARAM_SCHEMES) & p["path"].rlike(_PARAMS)
+    stem = F.when(has_params, F.regexp_extract(p["path"], _PARAMS, 1)).otherwise(p["path"])
+    params = F.when(has_params, F.regexp_extract(p["path"], _PARAMS, 2)).otherwise("")
+    lead = lambda mark, c: _let(c, lambda v: F.when(v != "", F.concat(F.lit(mark), v)).otherwise(""))
+    return F.concat(
+        p["scheme"], F.lit("://"), F.regexp_replace(p["host"], r"^www\.", ""),
+        _let(F.regexp_replace(stem, r"/+\z", ""), lambda v: F.when(v == "", "/").otherwise(v)),
+        lead(";", params), lead("?", _kept_query(p["query"])),
     )
-    lone_bracket = F.contains(host, F.lit("[")) != F.contains(host, F.lit("]"))
-    return F.when(flat.rlike(_URL) & ~lone_bracket, rebuilt).otherwise(url)
+
+
+def canonical_url(url: Column) -> Column:
+    """One spelling per page: no tracking, fragment, ``www.`` or trailing slash."""
+
+    def parts(flat: Column) -> Column:
+        part = lambda i: F.regexp_extract(flat, _URL, i)
+        return F.struct(
+            F.lower(part(1)).alias("scheme"), F.lower(part(2)).alias("host"),
+            part(3).alias("path"), part(4).alias("query"),
+        )
+
+    def whole(url: Column) -> Column:
+        # Parts of a text that is no absolute URL are empty.
+        return _let(parts(F.translate(url, "\t\r\n", "")), lambda p: F.when(
+            (p["host"] != "") & (F.contains(p["host"], F.lit("[")) == F.contains(p["host"], F.lit("]"))),
+            _rebuilt(p),
+        ).otherwise(url))
+
+    return _let(strip(F.coalesce(url, F.lit(""))), whole)
 
 
 def clean_title(title: Column) -> Column:
@@ -120,13 +137,14 @@ def role_outputs(configured: Iterable[str]) -> list[tuple[str, str]]:
     return out
 
 
-def detect_role_type(text: Column, configured: Iterable[str]) -> Column:
-    """First role the text shows, else the first phrase it holds, else empty."""
+def detect_role_type(text: Column, configured: Iterable[str], otherwise: Column | None = None) -> Column:
+    """First role the text shows, else the first phrase it holds, else the given value or empty."""
     phrases = [c.lower() for c in configured]
     by_pattern = [F.when(text.rlike(shown), F.lit(out)) for shown, out in role_outputs(phrases)]
     low = F.lower(text)
     by_phrase = [F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases]
-    return F.coalesce(*by_pattern, *by_phrase, F.lit(""))
+    rest = [F.lit("")] if otherwise is None else [otherwise, F.lit("")]
+    return F.coalesce(*by_pattern, *by_phrase, *rest)
 
 
 def detect_language(text: Column) -> Column:

@@ -27,22 +27,22 @@ def clean_fields(df: DataFrame) -> DataFrame:
     def named(column: Column, fallback: str) -> Column:
         return F.coalesce(F.nullif(squeeze(column), F.lit("")), F.lit(fallback))
 
-    return with_missing(df).withColumns({
+    # A URL is blank exactly if its canonical form is: test the cheap one.
+    return with_missing(df).filter(strip(text_or_empty("url")) != "").withColumns({
         "title": clean_title(F.col("title")),
         "company": named(F.col("company"), "Unknown"),
         "location": named(F.col("location"), "Germany"),
         "description": strip(text_or_empty("description")),
         "url": canonical_url(F.col("url")),
         "posted_date": F.substring(F.nullif("posted_date", F.lit("")), 1, 10),
-    }).filter("title <> '' and url <> ''")
+    }).filter("title <> ''")
 
 
 def detect(df: DataFrame, policy: Policy) -> DataFrame:
     """Role type and language; an earlier language is kept, a role is replaced if found."""
     text = F.concat_ws("\n", "title", "description")
-    role = detect_role_type(text, policy.role_types)
     return df.withColumns({
-        "role_type": F.coalesce(F.nullif(role, F.lit("")), F.col("role_type"), F.lit("")),
+        "role_type": detect_role_type(text, policy.role_types, otherwise=F.col("role_type")),
         "language": F.coalesce(F.nullif("language", F.lit("")), detect_language(text)),
     })
 
