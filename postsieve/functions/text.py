@@ -35,13 +35,12 @@ def keyword_body(keyword: str) -> str | None:
     White space, hyphen, underscore and slash may stand for one another, and a
     word boundary is asked for only next to a letter or digit.
     """
-    kw = keyword.strip().lower()
-    parts = [re.escape(p) for p in re.split(r"[\s\-_/]+", kw) if p]
-    if not parts:
+    phrase = keyword.strip().lower()
+    words = [re.escape(word) for word in re.split(r"[\s\-_/]+", phrase) if word]
+    if not words:
         return None
-    edge_left = r"\b" if kw[0].isalnum() else ""
-    edge_right = r"\b" if kw[-1].isalnum() else ""
-    return edge_left + _GAP.join(parts) + edge_right
+    starts_word, ends_word = phrase[0].isalnum(), phrase[-1].isalnum()
+    return r"\b" * starts_word + _GAP.join(words) + r"\b" * ends_word
 
 
 def keywords_pattern(keywords: Iterable[str]) -> str | None:

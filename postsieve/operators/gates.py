@@ -33,7 +33,7 @@ _GERMAN_FINE = (
     r"(no|kein)\s*(german|deutsch)\s*(required|nötig|erforderlich)",
     r"english\s*(only|speaking|working\s*language)",
 )
-# Patterns that ask for strong German as such, and patterns that name a level
+# Patterns that ask for strong German as such, and patterns that name a level
 # together with the group holding it.
 _GERMAN_STRONG = (
     r"verhandlungssicher",

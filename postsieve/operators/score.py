@@ -110,8 +110,10 @@ def components(df: DataFrame, policy: Policy, as_of, sim: Column | None = None)
     })
 
 
-def score(df: DataFrame, policy: Policy, as_of, sim: Column | None = None) -> DataFrame:
-    """Add ``fit_score`` and ``fit_reason``.
+def score(
+    df: DataFrame, policy: Policy, as_of, sim: Column | None = None, reason: bool = True
+) -> DataFrame:
+    """Add ``fit_score`` and, unless switched off, ``fit_reason``.
 
     ``sim`` is a cosine column.  Without one the semantic weight is 0 for the
     whole batch, so scores still span the full range.
@@ -135,8 +137,11 @@ def score(df: DataFrame, policy: Policy, as_of, sim: Column | None = None) -> Da
     raw = raw - F.when(F.col("_german"), w.german_penalty).otherwise(0.0)
     raw = raw - F.when(F.col("_excluded"), w.exclude_penalty).otherwise(0.0)
     df = df.withColumn("_raw", clamp(raw, 0.0, 100.0)).withColumn("fit_score", round_tenth(F.col("_raw")))
-    df = _with_reason(df, policy, sim is not None)
-    return df.select(*[c for c in keep if c not in ("fit_score", "fit_reason")], "fit_score", "fit_reason")
+    added = ["fit_score"]
+    if reason:
+        df = _with_reason(df, policy, sim is not None)
+        added.append("fit_reason")
+    return df.select(*[c for c in keep if c not in added], *added)
 
 
 def _with_reason(df: DataFrame, policy: Policy, with_sim: bool) -> DataFrame:

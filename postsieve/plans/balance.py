@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-_BYTES_PER_CORE = 64 << 20
+_BYTES_PER_CORE = 16 << 20
 
 
 def balanced(df: DataFrame) -> DataFrame:
     """Re-spread an input that is too small to fill the cores by itself.
 
     Scanning long texts is CPU work, and a file with one row group is one task
-    whatever its split size.  Up to 64 MB per core the extra shuffle costs less
+    whatever its split size.  Up to 16 MB per core the extra shuffle costs less
     than the idle cores; a larger input has tasks enough and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.operators import history as hist
-from postsieve.operators.dedup import fuzzy_dedup
+from postsieve.operators.dedup import leaders, representatives
 from postsieve.operators.gates import GATES, dropoff_counts, with_reason
 from postsieve.operators.normalize import normalize
 from postsieve.operators.publish import digest, sheets
@@ -39,13 +39,50 @@ class RunResult:
         return spark.createDataFrame([tuple(self.summary.values())], list(self.summary))
 
 
-def rank(
-    postings: DataFrame, policy: Policy, as_of, similarity: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
-    """Score gated postings and keep the best.  ``similarity`` adds a ``sim`` column."""
+Similarity = Callable[[DataFrame], DataFrame]
+
+
+def _sim(rows: DataFrame, similarity: Similarity | None) -> tuple[DataFrame, Column | None]:
+    return (rows, None) if similarity is None else (similarity(rows), F.col("sim"))
+
+
+def verdicts(postings: DataFrame, policy: Policy, as_of, similarity: Similarity | None = None) -> DataFrame:
+    """(seq, reject_reason, fit_score) of every posting, from scans alone.
+
+    Rejected rows are not scored: their texts are blanked first, or, where a
+    similarity has to be computed, they are left out of that branch.
+    """
+    judged = with_reason(postings, policy, as_of)
+    passes = F.col("reject_reason").isNull()
+    narrow = ("seq", "reject_reason", "fit_score")
     if similarity is None:
-        return select_top(score(postings, policy, as_of), policy)
-    return select_top(score(similarity(postings), policy, as_of, F.col("sim")), policy)
+        blanked = judged.withColumns({c: F.when(passes, F.col(c)) for c in ("title", "description")})
+        return score(blanked, policy, as_of, reason=False).select(*narrow)
+    rows, sim = _sim(judged.filter(passes), similarity)
+    scored = score(rows, policy, as_of, sim, reason=False).select(*narrow)
+    return scored.unionByName(
+        judged.filter(~passes).select("seq", "reject_reason", F.lit(0.0).alias("fit_score"))
+    )
+
+
+def rank(
+    postings: DataFrame, policy: Policy, as_of, similarity: Similarity | None = None
+) -> tuple[DataFrame, _Counts]:
+    """Dedup, gate, score and select, with the counts of the gates.
+
+    Only keys, reasons and scores are joined and sorted.  The postings
+    themselves are read by scans, and the few selected ones fetched at the end
+    by a broadcast of their keys; reasons are written for these alone.
+    """
+    groups = leaders(postings)
+    kept = representatives(postings, groups).join(verdicts(postings, policy, as_of, similarity), "seq")
+    counts = _Counts(kept.select(F.col("seq").alias("row"), F.col("leader_seq").alias("seq"), "reject_reason",
+                                 "fit_score"), *dropoff_counts())
+    best = cut(select_top(counts.rows.filter("reject_reason is null"), policy).select("row", F.col("seq").alias("place")))
+    chosen = postings.join(F.broadcast(best), postings["seq"] == best["row"]).drop("row")
+    rows, sim = _sim(chosen, similarity)
+    ranked = score(rows, policy, as_of, sim).withColumn("seq", F.col("place")).drop("place")
+    return cut(ranked), counts
 
 
 class _Counts:
@@ -90,10 +127,12 @@ def run(
     store: SnapshotTable,
     as_of,
     version: int,
-    similarity: Callable[[DataFrame], DataFrame] | None = None,
+    similarity: Similarity | None = None,
 ) -> RunResult:
     """Run the stages for one day and commit the next history as ``version``.
 
+    ``similarity`` adds a ``sim`` column (a cosine) to postings.
+
     Running a version again starts from the snapshot before it and replaces it.
     """
     history = store.read(before=version)
@@ -101,9 +140,7 @@ def run(
 
     raw = _Counts(balanced(union_sources(sources)), F.count(F.lit(1)).alias("n"))
     normalized = written(normalize(raw.rows, policy))
-    judged = _Counts(with_reason(fuzzy_dedup(normalized), policy, as_of), *dropoff_counts())
-    passed = judged.rows.filter("reject_reason is null").drop("reject_reason")
-    ranked = cut(rank(passed, policy, as_of, similarity))
+    ranked, judged = rank(normalized, policy, as_of, similarity)
 
     after, merge_counts = _next_history(history, ranked, policy, as_of)
     current = store.write(after, version)

@@ -39,10 +39,9 @@ DEFAULT_LOCATIONS = (
 
 def number(settings: Mapping[str, Any], key: str, default: float) -> float:
     """Numeric setting; an explicit 0 is kept, anything unreadable is the default."""
-    value = settings.get(key)
     try:
-        return default if value is None else float(value)
-    except (TypeError, ValueError):
+        return float(settings[key])
+    except (KeyError, TypeError, ValueError):
         return default
 
 

@@ -236,3 +236,27 @@ def test_daily_run_is_repeatable(spark, raw, tmp_path):
     assert (gone.summary["expired"], gone.summary["pruned"], gone.summary["total_open"]) == (2, 2, 0)
     assert [f.name for f in HISTORY] == gone.history.columns
     assert raw.columns == [f.name for f in POSTING]
+
+
+def test_daily_run_with_a_similarity(spark, raw, tmp_path):
+    seen = lambda rows: rows.withColumn("sim", F.when(F.col("title").contains("Vision"), 0.6).otherwise(0.15))
+    result = run(spark, P, [raw], SnapshotTable(spark, str(tmp_path / "h")), AS_OF, 1, similarity=seen)
+    got = {r.title: (r.fit_score, r.fit_reason) for r in result.ranked.collect()}
+    assert got["HiWi Computer Vision"][0] == 97.5 and "sim=0.60]" in got["HiWi Computer Vision"][1]
+    assert got["Machine Learning Internship"][0] == 63.9
+
+
+def test_micro_batches_equal_runs(spark, raw, tmp_path):
+    from postsieve.streaming.incremental import start_incremental
+
+    parts = [raw.filter("seq <= 3"), raw.filter("seq > 3")]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live = SnapshotTable(spark, str(tmp_path / "live"))
+    start_incremental(stream, P, live, AS_OF, str(tmp_path / "checkpoint")).awaitTermination()
+    batch = SnapshotTable(spark, str(tmp_path / "batch"))
+    for version, part in enumerate(parts):
+        run(spark, P, [part], batch, AS_OF, version)
+    assert live.versions() == batch.versions() == [0, 1]
+    assert sorted(live.read().collect()) == sorted(batch.read().collect())
