@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,7 +12,7 @@ from catalog import inputs as I
 from postsieve.functions import fields, numbers, similarity, text
 from postsieve.operators import dedup, gates, history, normalize, publish, recheck, score
 from postsieve.plans import daily
-from postsieve.plans.durable import SnapshotTable, cut
+from postsieve.plans.durable import SnapshotTable, cut, shared_folder
 from postsieve.policy import Policy
 from postsieve.schema import PAYLOAD, as_day, with_missing
 from postsieve.sources import agency, board, listings, union
@@ -535,7 +534,7 @@ def failure_streak_state(spark, sf):
 def _as_stream(rows: DataFrame, parts: int, order: str) -> tuple[DataFrame, str]:
     """Write rows as files one after the other and read them back as a stream,
     one file per batch."""
-    folder = tempfile.mkdtemp(prefix="postsieve-")
+    folder = shared_folder(rows.sparkSession)
     low, high = rows.agg(F.min(order), F.max(order)).first()
     part = F.floor((F.col(order) - low) * parts / (high - low + 1))
     for i in range(parts):
@@ -567,6 +566,6 @@ def incremental_history(spark, sf):
 
 @query
 def daily_run_summary(spark, sf):
-    folder = tempfile.mkdtemp(prefix="postsieve-")
+    folder = shared_folder(spark)
     result = daily.run(spark, P, [I.postings(spark, sf)], SnapshotTable(spark, folder), I.AS_OF, 1)
     return result.summary_row(spark)

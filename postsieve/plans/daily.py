@@ -22,6 +22,7 @@ from postsieve.schema import TEXT_COLUMNS
 from postsieve.sources.union import union_sources
 
 _BROADCAST_BYTES = 64 << 20
+_BROADCAST_KEYS = 1_000_000
 
 
 @dataclass
@@ -79,7 +80,9 @@ def rank(
     counts = _Counts(kept.select(F.col("seq").alias("row"), F.col("leader_seq").alias("seq"), "reject_reason",
                                  "fit_score"), *dropoff_counts())
     best = cut(select_top(counts.rows.filter("reject_reason is null"), policy).select("row", F.col("seq").alias("place")))
-    chosen = postings.join(F.broadcast(best), postings["seq"] == best["row"]).drop("row")
+    if max(policy.max_per_day, policy.min_results) <= _BROADCAST_KEYS:
+        best = F.broadcast(best)
+    chosen = postings.join(best, postings["seq"] == best["row"]).drop("row")
     rows, sim = _sim(chosen, similarity)
     ranked = score(rows, policy, as_of, sim).withColumn("seq", F.col("place")).drop("place")
     return cut(ranked), counts
