@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import exact, mixing, tokens
+from postsieve.llm import exact, mixing, simhash, tokens, warc
 from postsieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +39,16 @@ ORACLES["op6_source_mix"] = mixing.ORACLE
 @query
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op7_warc_bundles"] = warc.ORACLE

@@ -115,7 +115,7 @@ def _write(batches: Iterable[pa.RecordBatch], folder: str, tokenizer: str, end_i
         if out is None:
             system, path = filesystem(name)
             system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            out, first = system.open_output_stream(path), piece.column("doc_id")[0].as_py()
+            out, first = system.open_output_stream(path, compression=None), piece.column("doc_id")[0].as_py()
         rows, records = [], []
         for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
             ids = encode(text or "") + end
