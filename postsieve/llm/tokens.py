@@ -3,7 +3,7 @@
 File format, all numbers little-endian, as in the widespread record files for training: per record
 ``uint64 length | uint32 masked checksum of these 8 bytes | payload | uint32 masked checksum of the payload``.
 The checksum is CRC-32, rotated right by 15 bits plus a constant so that checksums of data that hold checksums stay
-apart. The payload is ``uint8 has_id | int64 id | uint32 ids...``. The offset index is a table of its own
+apart. The payload is ``uint8 bytes per token id | uint8 has_id | int64 id | token ids...``. The offset index is a table of its own
 (id, file, offset, length, start, n_tokens), so a shuffled read opens a file and reads one record by position.
 
 Documents are dealt out by ranges of their id, so files follow each other in id order and no task sees more than its
@@ -15,16 +15,19 @@ records of their own, ordered by text; an empty table gives an empty index; extr
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from postsieve.llm.common import filesystem, new_folder, pieces, unique_name
 from postsieve.plans.durable import written
@@ -32,9 +35,9 @@ from postsieve.plans.durable import written
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
-IDENT = struct.Struct("<Bq")
+IDENT = struct.Struct("<BBq")
 #: Words remembered by one Python worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 def masked(data: bytes) -> int:
@@ -45,52 +48,70 @@ def masked(data: bytes) -> int:
 class WordEncoder:
     """Ids of whole texts by way of their words, each encoded by the tokenizer and remembered.
 
-    For tokenizers whose pre-tokens never hold white space. Splitting at single spaces and line ends then changes
-    nothing, and neither does encoding a run of Latin letters and the ASCII marks after it one by one.
+    For byte-level tokenizers that fold case and whose pre-tokens never hold white space. Splitting at single spaces
+    and line ends then changes nothing; neither does folding the case of a Latin-1 text first, nor encoding a run of
+    Latin-1 letters and the ASCII marks after it one by one, by the tokenizer's merges alone.
     """
 
-    #: Letters whose composed and lower-case forms are one character each, then marks without apostrophe, digits, "<".
-    _simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+    #: Letters whose composed and folded forms are one character each, then marks without apostrophe, digits and "<".
+    _simple = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         self._whole = Tokenizer.from_file(path)
-        self._plain = Tokenizer.from_file(path)
-        self._plain.normalizer = None
-        self._plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Bytes of an id: two where every id fits.
+        self.width = 2 if self._whole.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self._code = "H" if self.width == 2 else "I"
+        self._merges = self._whole.model
+        stand_in = _byte_letters()
+        self._letters = {c: "".join(stand_in[x] for x in chr(c).encode()) for c in range(128, 256)}
         self._words: dict[str, bytes] = {"": b""}
         self._parts: dict[str, bytes] = {"": b""}
 
-    def encode(self, text: str) -> bytes:
-        """The ids as uint32, little-endian."""
-        split = text.replace("\n", " ").split(" ")
-        known = self._words
-        try:
-            return b"".join([known[w] for w in split])
-        except KeyError:
-            self._learn([w for w in set(split) if w not in known], split)
-            return b"".join([self._words[w] for w in split])
-
-    def _learn(self, missing: list[str], split: list[str]) -> None:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, packed in little-endian numbers of ``width`` bytes."""
+        split = [_folded(text).replace("\n", " ").split(" ") for text in texts]
         if len(self._words) > CACHE_WORDS:
             self._words, self._parts = {"": b""}, {"": b""}
-            missing = list(set(split))
-        parts, other = {}, []
+        self._learn(set().union(*split) - self._words.keys())
+        known = self._words.__getitem__
+        return [b"".join(map(known, words)) for words in split]
+
+    def _learn(self, missing: set[str]) -> None:
+        simple, words, parts, other = self._simple.fullmatch, self._words, self._parts, []
         for word in missing:
-            if simple := self._simple.fullmatch(word):
-                parts[word] = (simple[1].lower(), simple[2])
-            elif word:
+            if found := simple(word):
+                run, marks = found.groups()
+                if (ids := parts.get(run)) is None:
+                    ids = parts[run] = self._merged(run)
+                if marks:
+                    if (tail := parts.get(marks)) is None:
+                        tail = parts[marks] = self._merged(marks)
+                    ids += tail
+                words[word] = ids
+            else:
                 other.append(word)
-        unseen = list({p for both in parts.values() for p in both if p not in self._parts})
-        for part, found in zip(unseen, self._plain.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            self._parts[part] = _packed(found.ids)
-        for word, (run, marks) in parts.items():
-            self._words[word] = self._parts[run] + self._parts[marks]
         for word, found in zip(other, self._whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self._words[word] = _packed(found.ids)
+            words[word] = array(self._code, found.ids).tobytes()
+
+    def _merged(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.translate(self._letters)
+        return array(self._code, [token.id for token in self._merges.tokenize(letters)]).tobytes()
+
+
+def _folded(text: str) -> str:
+    """The text in lower case if it is Latin-1 and can hold no special token."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or the next one from 256 on."""
+    keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    moved = [b for b in range(256) if b not in keep]
+    return [chr(b) if b in keep else chr(256 + moved.index(b)) for b in range(256)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -99,6 +120,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     """One encoder per Python worker and vocabulary."""
     if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
@@ -109,7 +131,8 @@ LOCAL = pa.schema([("doc_id", pa.int64()), ("file", pa.string()), ("first", pa.i
 
 def _write(batches: Iterable[pa.RecordBatch], folder: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """One file for the rows of a task, and the file's part of the index."""
-    encode, end, out, at, start = encoder(tokenizer).encode, struct.pack("<I", end_id), None, 0, 0
+    words, out, at, start = encoder(tokenizer), None, 0, 0
+    end = struct.pack("<H" if words.width == 2 else "<I", end_id)
     name = f"{folder}/{unique_name('tokens', TaskContext.get().partitionId())}.bin"
     for piece in pieces(batches):
         if out is None:
@@ -117,14 +140,15 @@ def _write(batches: Iterable[pa.RecordBatch], folder: str, tokenizer: str, end_i
             system.create_dir(path.rsplit("/", 1)[0], recursive=True)
             out, first = system.open_output_stream(path, compression=None), piece.column("doc_id")[0].as_py()
         rows, records = [], []
-        for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
-            ids = encode(text or "") + end
-            payload = IDENT.pack(doc_id is not None, doc_id or 0) + ids
+        texts = [text or "" for text in piece.column("text").to_pylist()]
+        for doc_id, ids in zip(piece.column("doc_id").to_pylist(), words.encode(texts), strict=True):
+            ids += end
+            payload = IDENT.pack(words.width, doc_id is not None, doc_id or 0) + ids
             size = struct.pack("<Q", len(payload))
             record = b"".join((HEAD.pack(len(payload), masked(size)), payload, TAIL.pack(masked(payload))))
             records.append(record)
-            rows.append((doc_id, name, first, at, len(record), start, len(ids) // 4))
-            at, start = at + len(record), start + len(ids) // 4
+            rows.append((doc_id, name, first, at, len(record), start, len(ids) // words.width))
+            at, start = at + len(record), start + len(ids) // words.width
         out.write(b"".join(records))
         yield pa.RecordBatch.from_arrays(
             [pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), LOCAL, strict=True)], schema=LOCAL)
@@ -187,15 +211,16 @@ def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def parse(record: bytes) -> tuple[int | None, bytes]:
-    """Id and packed token ids of one record."""
+    """Id and token ids, packed as uint32, of one record."""
     length, check = HEAD.unpack_from(record)
     if masked(record[:8]) != check or len(record) != HEAD.size + length + TAIL.size:
         raise ValueError("record length does not fit its checksum")
     payload = record[HEAD.size:-TAIL.size]
     if TAIL.unpack(record[-TAIL.size:])[0] != masked(payload):
         raise ValueError("record does not fit its checksum")
-    has_id, doc_id = IDENT.unpack_from(payload)
-    return doc_id if has_id else None, payload[IDENT.size:]
+    width, has_id, doc_id = IDENT.unpack_from(payload)
+    ids = payload[IDENT.size:]
+    return doc_id if has_id else None, ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
 def summaries(index: DataFrame) -> DataFrame:
