@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +18,15 @@ from postsieve.plans.durable import shared_folder
 PIECE_CHARS = 4_000_000
 
 
+def importable(spark: SparkSession) -> None:
+    """Let the Python workers of a session find this library where the driver found it (a cluster ships it instead)."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        known["PYTHONPATH"] = ":".join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

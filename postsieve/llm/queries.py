@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import exact, mixing, simhash, tokens, warc
-from postsieve.llm.common import table
+from postsieve.llm import exact, language, mixing, pii, simhash, tokens, warc
+from postsieve.llm.common import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,8 +17,13 @@ ORACLES: dict[str, str] = {}
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 @query
@@ -52,3 +58,13 @@ def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_warc_bundles"] = warc.ORACLE
+
+
+@query
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(table(spark, sf_dir, "documents"))
