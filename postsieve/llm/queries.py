@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import exact, language, mixing, pii, simhash, tokens, warc
+from postsieve.llm import decontam, exact, language, mixing, pii, scoring, simhash, tokens, warc
 from postsieve.llm.common import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,13 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
