@@ -10,7 +10,8 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postsieve.plans.durable import shared_folder
 
@@ -31,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(*columns: str) -> Column:
+    """A 128-bit key of a row by its content, as ids may be null or repeated: the columns with their nulls, in order."""
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A new folder on the storage that all executors share."""
     return f"{shared_folder(spark)}-{kind}"

@@ -7,8 +7,9 @@ from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postsieve.llm import decontam, exact, language, mixing, pii, scoring, simhash, tokens, warc
+from postsieve.llm import decontam, exact, language, mixing, pii, scoring, simhash, templates, tokens, warc
 from postsieve.llm.common import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +79,10 @@ def op5_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", F.size("dropped").cast("bigint").alias("n_dropped"),
+                          F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2("text", 256).alias("kept_sha256"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import pieces
+from postsieve.llm.common import pieces, row_key
 from postsieve.llm.graph import components
 from postsieve.plans.durable import written
 
@@ -61,13 +61,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def _fingerprints(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches):
         found = np.array([fingerprint(text, words) for text in piece.column("text").to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays(
+            [piece.column("doc_id"), piece.column("key"), pa.array(found.view(np.int64))], names=["doc_id", "key", "fp"])
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed bigint."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: _fingerprints(batches, words), "doc_id bigint, fp bigint")
+    """(doc_id, key, fp) with the fingerprint as a signed bigint and a key of id and text."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(lambda batches: _fingerprints(batches, words), "doc_id bigint, key binary, fp bigint")
 
 
 class BKTree:
@@ -216,13 +217,29 @@ def fingerprint_links(points: DataFrame, radius: int = 3) -> DataFrame:
     return placed.mapInArrow(lambda batches: _links(batches, radius), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable)."""
-    rows = written(fingerprints(docs, words, id_col, text_col))
+def _grouped(rows: DataFrame, radius: int) -> DataFrame:
+    """Rows with a fingerprint ``fp``, and their component's ``root`` and ``component_id``."""
     points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     joined = components(fingerprint_links(points, radius))
     rooted = points.join(joined, points.fp == joined.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(found, "fp").select(
+    return rows.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable)."""
+    return _grouped(written(fingerprints(docs, words, id_col, text_col).drop("key")), radius).select(
         F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, of which one of each component stays: that with the smallest id, and
+    of several with that id or none the one with the smallest key of id and text. Rows that repeat both are one.
+
+    Keys alone are grouped; the documents are shuffled once, by that key.
+    """
+    grouped = _grouped(written(fingerprints(docs, words, id_col, text_col)), radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    stay = grouped.groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("key"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("key"))
+    return whole.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
