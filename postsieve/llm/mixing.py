@@ -18,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postsieve.llm.common import row_key
 from postsieve.plans.durable import written
 
 WORD = r"[^\x20\x09-\x0D]+"
+WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Hash digits (hexadecimal) by which a source's documents are dealt into buckets for the running sum.
 DIGITS = 3
 
@@ -52,39 +54,39 @@ def targets(sizes: DataFrame, share: float, max_epochs: int, weights: tuple[floa
 
 
 def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights: tuple[float, ...] = (3.0, 1.0, 2.0),
-        seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keyed: bool = False) -> DataFrame:
     """One row per document: id, source, size, source_size, target, ``copies`` (whole ones), ``part`` (words of one
-    more, partial copy) and ``taken`` (all words taken). ``part`` is below ``size``."""
+    more, partial copy) and ``taken`` (all words taken). ``part`` is below ``size``. With ``keyed`` also ``row_key`` of id, text and source."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = written(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"), key.alias("key")))
-    goals = targets(rows, share, max_epochs, weights).withColumn("quota", F.floor(F.col("target") + 0.5).cast("bigint"))
+    rows = written(
+        docs.select(
+            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"), key.alias("key"),
+            *([row_key(id_col, text_col, source_col).alias("row_key")] if keyed else []))
+        .withColumn("bucket", F.substring("key", 1, DIGITS)))
+    goals = written(targets(rows, share, max_epochs, weights)).withColumn("quota", F.floor(F.col("target") + 0.5).cast("bigint"))
     goals = goals.withColumn("copies", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(F.lit(0)).cast("bigint"))
     goals = goals.withColumn("rest", F.col("quota") - F.col("copies") * F.col("source_size"))
-    bucket = F.substring("key", 1, DIGITS)
+    # sums by source and bucket; a source's rows meet in no task, its buckets are dealt out one by one
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
-        rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("held"))
+        rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
         .withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
     )
-    same = F.col("s.source").eqNullSafe(F.col("g.source"))
-    # the bucket in which a source's rest ends
-    ends = buckets.alias("s").join(goals.alias("g"), same).where(
-        (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("held"))
-    ).select(F.col("s.source").alias("source"), F.col("bucket").alias("last"), "before")
-    plan = goals.alias("g").join(ends.alias("s"), same, "left").select("g.*", "last", "before")
-    dealt = rows.alias("s").join(plan.alias("g"), same, "left").select(
-        "s.*", "source_size", "target", "copies", "rest", "last", "before", bucket.alias("bucket"))
-    here = F.col("bucket") == F.col("last")
-    whole = dealt.where(~F.coalesce(here, F.lit(False))).withColumn(
-        "extra", F.when(F.col("last").isNull() | (F.col("bucket") < F.col("last")), F.least("rest", "size")).otherwise(F.lit(0)))
+    plan = buckets.alias("s").join(goals.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select(
+        "s.source", "bucket", "before", "source_size", "target", "copies", "rest",
+        F.when(F.col("before") + F.col("held") <= F.col("rest"), "all").when(F.col("before") >= F.col("rest"), "none")
+        .otherwise("cut").alias("share"))
+    dealt = rows.alias("s").join(plan.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")) & (F.col("s.bucket") == F.col("g.bucket"))).select(
+        *(["row_key"] if keyed else []), "s.doc_id", "s.source", "size", "key", "before", "source_size", "target", "copies", "rest", "share")
+    whole = dealt.where("share <> 'cut'").withColumn("extra", F.when(F.col("share") == "all", F.col("size")).otherwise(F.lit(0)))
+    # only the bucket in which the rest ends is ordered row by row
     in_order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = dealt.where(here).withColumn("so_far", F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0))).withColumn(
+    cut = dealt.where("share = 'cut'").withColumn("so_far", F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0))).withColumn(
         "extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("so_far")))).drop("so_far")
     every = whole.unionByName(cut)
     full = (F.col("extra") == F.col("size")) & (F.col("size") > 0)
     return every.select(
-        F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
+        *(["row_key"] if keyed else []), F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
         (F.col("copies") + full.cast("bigint")).alias("copies"),
         F.when(full, F.lit(0)).otherwise(F.col("extra")).cast("bigint").alias("part"),
         (F.col("copies") * F.col("size") + F.col("extra")).cast("bigint").alias("taken"),
@@ -123,3 +125,19 @@ mixed as (
 ORACLE = "with " + GOALS_SQL.format(documents="documents") + """
 select doc_id, size, source_size, target, cast(copies * size + extra as bigint) as taken from mixed
 """
+
+
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The mixed corpus: each document with all its columns as often as it is taken whole, and the partial copy of a
+    source's last document with its first words, joined by single spaces. Rows that repeat id, text and source are
+    taken as copies of one of them. The documents are shuffled once, by a key."""
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, keyed=True, **settings)
+    plan = taken.groupBy("row_key").agg(F.sum("copies").alias("copies"), F.sum("part").alias("part")).where("copies > 0 or part > 0")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(id_col, text_col, source_col).alias("row_key"))
+    rows = whole.join(plan, "row_key").dropDuplicates(["row_key"])
+    parts = F.concat(F.array_repeat(F.lit(-1).cast("bigint"), F.col("copies").cast("int")),
+                     F.when(F.col("part") > 0, F.array("part")).otherwise(F.expr("cast(array() as array<bigint>)")))
+    cut = F.array_join(F.slice(F.filter(F.split(F.col(f"row.`{text_col}`"), WORD_GAP), lambda w: w != ""), F.lit(1), F.col("part").cast("int")), " ")
+    text = F.when(F.col("taken") < 0, F.col(f"row.`{text_col}`")).otherwise(cut)
+    return rows.withColumn("taken", F.explode(parts)).select(
+        *(text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
