@@ -130,15 +130,31 @@ def search(texts: list[str | None], by: Windows) -> list[tuple[int, int, int, in
     bands, hits = np.unique(key, return_counts=True)
     window, band = bands // (len(line) + 2 * WINDOW), bands % (len(line) + 2 * WINDOW)
     enough = hits >= by.least[window]
-    window, band = window[enough], band[enough]
-    found = []
-    for i in range(0, len(window), ALIGNED):
-        w = window[i:i + ALIGNED]
-        low = band[i:i + ALIGNED] * (by.edits[w] + 1) - WINDOW
-        edits, end = aligned(line, by.codes[w], by.sizes[w], low - by.edits[w], 4 * int(by.edits[w].max(initial=0)) + 2)
-        good = edits <= by.edits[w]
-        row = np.searchsorted(starts, np.minimum(np.maximum(low, 0) + by.sizes[w] // 2, len(line) - 1), "right") - 1
-        found += zip(row[good].tolist(), w[good].tolist(), edits[good].tolist(), (end - starts[row])[good].tolist(), strict=True)
+    window, band, hits = window[enough], band[enough], hits[enough]
+    low = band * (by.edits[window] + 1) - WINDOW
+    row = np.searchsorted(starts, np.clip(low + by.sizes[window] // 2, 0, len(line) - 1), "right") - 1
+    # the fullest band of a text and window first; the others only where it fails
+    order = np.lexsort((low, -hits, window, row))
+    row, window, low = row[order], window[order], low[order]
+    pair = row * len(by.items) + window
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, np.int64)
+    rank = np.arange(len(pair)) - np.repeat(first, np.diff(np.append(first, len(pair))))
+    found, least, most = [], 0, 1
+    while len(pair):
+        now = np.flatnonzero((rank >= least) & (rank < most))
+        if not len(now):
+            break
+        done = []
+        for i in range(0, len(now), ALIGNED):
+            at = now[i:i + ALIGNED]
+            w = window[at]
+            edits, end = aligned(line, by.codes[w], by.sizes[w], low[at] - by.edits[w], 4 * int(by.edits[w].max()) + 2)
+            good = edits <= by.edits[w]
+            done.append(pair[at][good])
+            found += zip(row[at][good].tolist(), w[good].tolist(), edits[good].tolist(), (end - starts[row[at]])[good].tolist(), strict=True)
+        left = ~np.isin(pair, np.concatenate(done))
+        row, window, low, pair, rank = row[left], window[left], low[left], pair[left], rank[left]
+        least, most = most, most * 4
     return found
 
 
@@ -185,8 +201,8 @@ def _hits(batches: Iterable[pa.RecordBatch], by: Windows) -> Iterator[pa.RecordB
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and benchmark item found in it: windows found, edits of the nearest, its end (in
-    normalised characters)."""
+    """One row per document and benchmark item found in it: windows found, edits in the fullest of the nearest
+    bands, end of that stretch (in normalised characters)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     kind = "doc_id bigint, item_id bigint, windows bigint, edits bigint, end bigint"
