@@ -10,7 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.plans.balance import balanced
 from postsieve.schema import conform
 
 AS_OF = "2024-01-10"
@@ -22,10 +21,10 @@ select doc_id as seq,
  source as company,
  case doc_id % 5 when 0 then 'Berlin, Germany' when 1 then 'München' when 2 then 'Remote' when 3 then 'London' else 'KÖLN' end as location,
  case doc_id % 3 when 0 then 'custom:site' when 1 then 'jobspy:indeed' else 'arbeitsagentur' end as source,
- 'https://www.' || source || '.example.com/jobs/' || cast(doc_id % 700 as string) || '/?utm_source=feed&id=' || cast(doc_id % 700 as string) as url,
+ 'https://www.' || source || '.example.com/jobs/' || cast(doc_id - doc_id % 40 + doc_id % 20 as string) || '/?utm_source=feed&id=' || cast(doc_id - doc_id % 40 + doc_id % 20 as string) as url,
  case doc_id % 11 when 0 then 'Deutschkenntnisse mindestens C1. ' when 1 then 'German B1. ' when 2 then 'German is a plus. C1. '
   when 3 then 'English working language. ' when 4 then 'fließend Deutsch. ' when 5 then 'Python, deep-learning and data. ' when 6 then 'Permanent role, 5+ years. '
-  when 7 then 'UK only. ' else 'We use AI and e-mail. ' end || case when doc_id % 13 = 0 then '' else text end as description,
+  when 7 then 'UK only. ' else 'We use AI and e-mail. ' end || text as description,
  case when doc_id % 17 = 0 then null else cast(date '2024-01-01' + cast(doc_id % 14 as int) as string) end as posted_date
 from documents
 """
@@ -44,7 +43,7 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     def bound(m: re.Match) -> str:
         if m[1] not in TABLES:
             return m[0]
-        balanced(table(spark, sf_dir, m[1])).createOrReplaceTempView(f"input_{m[1]}")
+        table(spark, sf_dir, m[1]).createOrReplaceTempView(f"input_{m[1]}")
         return f"from input_{m[1]}"
 
     return spark.sql(re.sub(r"\bfrom (\w+)", bound, sql))
@@ -54,7 +53,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(view(spark, sf_dir, POSTINGS))
 
 
-FIRST_LINE = "substr(split_part(text, chr(10), 1), 1, 80)"
+FIRST_LINE = "split_part(text, chr(10), 1)"
 
 TITLES = f"""
 select doc_id as seq,
@@ -87,8 +86,8 @@ from documents
 
 BOARD = """
 select doc_id as seq, case doc_id % 5 when 0 then 'LinkedIn' when 1 then 'indeed' when 2 then 'google' when 3 then null else 'glassdoor' end as site,
- case doc_id % 4 when 0 then '' when 1 then null else ' https://jobs.example.com/' || source || '/' || cast(doc_id % 300 as string) || ' ' end as job_url,
- case when doc_id % 9 = 0 then null else 'https://direct.example.com/' || cast(doc_id % 250 as string) end as job_url_direct,
+ case doc_id % 4 when 0 then '' when 1 then null else ' https://jobs.example.com/' || source || '/' || cast(doc_id - doc_id % 40 + doc_id % 20 as string) || ' ' end as job_url,
+ case when doc_id % 9 = 0 then null else 'https://direct.example.com/' || cast(doc_id - doc_id % 2 as string) end as job_url_direct,
  ' ' || source || ' intern ' as title, lang as company,
  case doc_id % 6 when 0 then 'Berlin' when 1 then 'nan' when 2 then '' else null end as city,
  case doc_id % 4 when 0 then ' BE ' when 1 then 'NaN' else null end as state,
@@ -103,7 +102,7 @@ def _item(k: int) -> str:
     n = f"(doc_id * 3 + {k})"
     return (
         f"'{{' || case {n} % 4 when 0 then '\"referenznummer\":\"R' when 1 then '\"referenznummer\":\"\",\"refnr\":\"R' "
-        f"when 2 then '\"hashId\":\"R' else '\"refnr\":\"R' end || cast({n} % 900 as string) || '\",' || "
+        f"when 2 then '\"hashId\":\"R' else '\"refnr\":\"R' end || cast({n} - {n} % 2 as string) || '\",' || "
         f"case {n} % 5 when 0 then '\"stellenangebotsTitel\":\" Praktikum KI ' when 1 then '\"titel\":\"Werkstudent ' "
         f"when 2 then '\"beruf\":\"Koch ' when 3 then '\"hauptberuf\":\"Data Engineer ' else '\"titel\":\"\",\"beruf\":\"Kindergarten ' end || source || '\",' || "
         f"case {n} % 3 when 0 then '\"firma\":\"' || source || '\"' when 1 then '\"arbeitgeber\":{{\"name\":\"' || lang || '\"}}' else '\"firma\":\"\"' end || ',' || "
@@ -126,7 +125,7 @@ select 'R' || cast(doc_id as string) as refnr,
  case doc_id % 4 when 0 then '"externeUrl":"https://ext.example.com/' || cast(doc_id as string) || '"' when 1 then '"url":"https://int.example.com/' || cast(doc_id as string) || '"' else '"url":""' end || ',' ||
  case doc_id % 2 when 0 then '"arbeitgeber":{"name":"Detail AG"}' else '"firma":"Detail GmbH"' end || ',' ||
  case doc_id % 5 when 0 then '"aktuelleVeroeffentlichungsdatum":"2024-01-06"' else '"y":2' end || '}' as body
-from labels where doc_id < 900
+from labels
 """
 
 # Site pages: the raw page with posting-like cards ahead of its own content.

@@ -10,9 +10,15 @@ import re
 
 from catalog import inputs as I
 from catalog.queries import P, REPLAY
-from postsieve.operators.publish import MESSAGE_CHARS
-from postsieve.sources.agency import TITLE_HINTS
 
+MESSAGE_CHARS = 4000
+TITLE_HINTS = (
+    "praktikum praktikant praktikantin werkstudent werkstudentin internship intern trainee hiwi shk hilfskraft studentische student "
+    "abschlussarbeit masterarbeit bachelorarbeit thesis ki ai nlp llm mlops devops python"
+).split() + [
+    "working student", "research assistant", "machine learning", "deep learning", "data science", "data scientist",
+    "künstliche intelligenz", "computer vision", "data engineer", "data analyst",
+]
 LB, RB = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 SEP = r"[\s\-_/]+"
 
@@ -111,7 +117,7 @@ LANGUAGE = f"""case
  when {has(NL, "und", "mit", "wir", "gesucht", "kenntnisse")} then 'de' else 'unknown' end"""
 
 DET = f"det as (select *, {ROLE} as role_type, {LANGUAGE} as language from post)"
-CANON = "'https://' || company || '.example.com/jobs/' || cast(seq % 700 as string) || '?id=' || cast(seq % 700 as string)"
+CANON = "'https://' || company || '.example.com/jobs/' || cast(seq - seq % 40 + seq % 20 as string) || '?id=' || cast(seq - seq % 40 + seq % 20 as string)"
 NORM = f"""uniq as (select seq, title, company, location, source, {CANON} as url, {strip('description')} as description, posted_date
   from post qualify row_number() over (partition by {CANON} order by seq) = 1),
  norm as (select *, {ROLE} as role_type, {LANGUAGE} as language from uniq)"""
@@ -215,9 +221,9 @@ DE = r"(?is).{0,30}(verhandlungssicher|flie[sß]end|deutschkenntnisse|german\s*(
 PAY = "title, company, location, source, description, posted_date"
 
 
-def day_slice(name: str, step: int) -> str:
+def day_slice(name: str, day: int) -> str:
     return f"""{name} as (select {CANON} as url, title, company, location, source, description, posted_date, cast(seq % 101 as double) as fit_score, seq
-  from post where seq % {step} = 0 qualify row_number() over (partition by {CANON} order by seq) = 1)"""
+  from post where (seq - seq % 40 + seq % 20) % 4 <> {day} qualify row_number() over (partition by {CANON} order by seq) = 1)"""
 
 
 def merged(name: str, old: str, new: str, as_of: str) -> str:
@@ -230,7 +236,7 @@ def merged(name: str, old: str, new: str, as_of: str) -> str:
   from {old} h full outer join {new} n on h.url = n.url)"""
 
 
-FIRST = f"""{POST}, {day_slice('s2', 2)}, {day_slice('s3', 3)},
+FIRST = f"""{POST}, {day_slice('s2', 0)}, {day_slice('s3', 1)},
  h1 as (select s.url, title, location, source, fit_score, date '2024-01-10' as first_seen, date '2024-01-10' as last_seen,
    case when l.toxic = 1 then 'dismissed' else 'new' end as status
   from s2 s left join labels l on l.doc_id = s.seq)"""
@@ -251,8 +257,8 @@ def replay() -> str:
     ctes, rows, old = [POST], [], "h0"
     ctes.append("""h0 as (select ''::varchar as url, ''::varchar as title, ''::varchar as location, ''::varchar as source, 0.0::double as fit_score,
       date '2024-01-01' as first_seen, date '2024-01-01' as last_seen, ''::varchar as status where false)""")
-    for i, (as_of, step) in enumerate(REPLAY, start=1):
-        ctes.append(day_slice(f"n{i}", step) if step else day_slice(f"n{i}", 2).replace("where", "where false and"))
+    for i, (as_of, day) in enumerate(REPLAY, start=1):
+        ctes.append(day_slice(f"n{i}", day) if day is not None else day_slice(f"n{i}", 0).replace("where", "where false and"))
         ctes.append(merged(f"m{i}", old, f"n{i}", as_of))
         ctes.append(expired(f"e{i}", f"m{i}", 21, as_of))
         gone = old_expired(180, as_of)
@@ -464,8 +470,10 @@ ORACLES: dict[str, str] = {
     "store_actions": f"with {SECOND}, a as (select unnest(['inserted', 'updated', 'reopened', 'skipped_handled']) as action) select a.action, count(h2.url) as n from a left join h2 on h2.action = a.action group by a.action",
     "store_expire": f"with {SECOND}, {expired('x', 'h2', 21, '2024-02-01')} select {SHOW} from x",
     "store_prune": f"with {SECOND}, {expired('x', 'h2', 21, '2024-02-10')} select {SHOW} from x where not {old_expired(30, '2024-02-10')}",
-    "store_set_status": f"with {FIRST}, {day_slice('s5', 5)} select h1.url, h1.title, h1.fit_score, cast(first_seen as string) as first_seen, cast(last_seen as string) as last_seen, case when s5.url is not null then 'applied' else status end as status from h1 left join s5 on s5.url = h1.url",
+    "store_set_status": f"with {FIRST}, {day_slice('s5', 2)} select h1.url, h1.title, h1.fit_score, cast(first_seen as string) as first_seen, cast(last_seen as string) as last_seen, case when s5.url is not null then 'applied' else status end as status from h1 left join s5 on s5.url = h1.url",
     "store_list_active": f"with {SECOND} select {SHOW}, source, location from h2 where status = 'new' and source ilike '%AGENTUR%' and location ilike '%köln%' and first_seen = date '2024-01-11' and fit_score >= 30 order by fit_score desc, url limit 40",
+    "store_list_by_score": f"with {SECOND} select {SHOW}, source, location from h2 where status = 'new' and fit_score >= 60 order by fit_score desc, url limit 25",
+    "store_list_by_place": f"with {SECOND} select {SHOW}, source, location from h2 where status = 'new' and source ilike '%indeed%' and location ilike '%M_nchen%'",
     "store_counts": f"with {SECOND} select count(*) filter (status = 'new') as total_open, count(*) filter (status = 'new' and first_seen = date '2024-01-11') as new_today from h2",
     "store_last_run": "select (select cast(ts as string) from events where event_type = 'error' order by event_id desc limit 1) as run_ts union all select 'never'",
     "store_upgrade": f"with {FIRST} select url, title, fit_score, cast(first_seen as string) as first_seen, cast(first_seen as string) as last_seen, status from h1",
@@ -490,20 +498,19 @@ ORACLES: dict[str, str] = {
         case when kept then '2024-01-12' else cast(first_seen as string) end as last_seen, case when applied then 'applied' when kept then 'new' else 'dismissed' end as status, not kept as old_reason from k""",
     "board_rows": f"with {BOARD} select title, company, location, source, url, posted_date, length(description) as chars from board",
     "agency_items": f"with {ITEMS} select page, refnr, title, coalesce(company, '') as company, location, substr(posted, 1, 10) as posted from items",
-    "agency_postings": f"""with {ITEMS}, n as (select page, count(*) as n from hinted group by page), c as (select page, sum(n) over (order by page rows between unbounded preceding and 1 preceding) as before from n),
-      capped as (select h.* from hinted h join c using (page) where coalesce(before, 0) < 400), det as ({I.AGENCY_DETAILS})
+    "agency_postings": f"""with {ITEMS}, det as ({I.AGENCY_DETAILS})
       select title, coalesce(company, case when d.body is null then '' else coalesce(json_extract_string(d.body, '$.firma'), json_extract_string(d.body, '$.arbeitgeber.name')) end) as company, location, 'arbeitsagentur' as source,
         coalesce(nullif(json_extract_string(d.body, '$.externeUrl'), ''), nullif(json_extract_string(d.body, '$.url'), ''), 'https://www.arbeitsagentur.de/jobsuche/jobdetail/' || c.refnr) as url,
         coalesce(json_extract_string(d.body, '$.stellenangebotsBeschreibung'), json_extract_string(d.body, '$.beschreibung.text'), '') as description,
-        substr(coalesce(json_extract_string(d.body, '$.aktuelleVeroeffentlichungsdatum'), posted), 1, 10) as posted_date from capped c left join det d using (refnr)""",
+        substr(coalesce(json_extract_string(d.body, '$.aktuelleVeroeffentlichungsdatum'), posted), 1, 10) as posted_date from hinted c left join det d using (refnr)""",
     "agency_cap": f"""with {ITEMS}, n as (select page, count(*) as n from hinted group by page), c as (select *, sum(n) over (order by page rows between unbounded preceding and 1 preceding) as before from n)
       select page, n from c where coalesce(before, 0) < 100""",
     "page_links": f"with {HTML} select page_id, site, title, url, company, location, snippet from plinks",
     "markdown_links": f"with {MD} select page_id, pos, site, title, url, title as snippet from links",
-    "listing_postings": f"""with {MD} select substr(title, 1, 200) as title, site as company, 'Germany' as location, 'custom:' || site as source, url, substr(title, 1, 500) as description from links
+    "listing_postings": f"""with {MD} select title, site as company, 'Germany' as location, 'custom:' || site as source, url, title as description from links
       where rtrim(url, '/') <> rtrim(page_url, '/') qualify row_number() over (partition by site, url order by page_id, pos) = 1""",
-    "source_counts": f"""with {BOARD}, {ITEMS}, {HTML}, n as (select page, count(*) as n from hinted group by page), c as (select *, sum(n) over (order by page rows between unbounded preceding and 1 preceding) as before from n)
-      select 'jobspy' as source, count(*) as n from board union all select 'arbeitsagentur', sum(n)::bigint from c where coalesce(before, 0) < 200
+    "source_counts": f"""with {BOARD}, {ITEMS}, {HTML}
+      select 'jobspy' as source, count(*) as n from board union all select 'arbeitsagentur', count(*) from hinted
       union all select 'custom', count(distinct (site, url)) from plinks where rtrim(url, '/') <> rtrim(page_url, '/')""",
     "failure_streaks": STREAK_ROWS,
     "failure_streak_state": f"with {STREAK} select user_id, arg_max(streak, (ts, event_id)) as streak, bool_or(tripped) as tripped from trp group by user_id",

@@ -46,9 +46,9 @@ def similarity_of(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     return rows.join(sims, "seq", "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
 
 
-def ranked_slice(spark: SparkSession, sf: str, step: int) -> DataFrame:
-    """Every ``step``-th posting as a day's selection, one row per URL."""
-    rows = normalize.clean_fields(I.postings(spark, sf).filter(F.col("seq") % step == 0))
+def ranked_slice(spark: SparkSession, sf: str, day: int) -> DataFrame:
+    """A day's selection, one row per URL: all but a quarter of the URLs, another quarter each day."""
+    rows = normalize.clean_fields(I.postings(spark, sf).filter((F.col("seq") - F.col("seq") % 40 + F.col("seq") % 20) % 4 != day))
     return normalize.first_by(rows, ["url"], "seq").select(
         "url", "title", "company", "location", "source", "description",
         F.lit("").alias("language"), F.lit("").alias("role_type"), "posted_date",
@@ -59,11 +59,11 @@ def ranked_slice(spark: SparkSession, sf: str, step: int) -> DataFrame:
 def dismissals(spark: SparkSession, sf: str) -> DataFrame:
     """URLs of the first day's rows whose document is labelled toxic."""
     toxic = I.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("seq"))
-    return ranked_slice(spark, sf, 2).join(toxic, "seq", "left_semi").select("url", F.lit("dismissed").alias("status"))
+    return ranked_slice(spark, sf, 0).join(toxic, "seq", "left_semi").select("url", F.lit("dismissed").alias("status"))
 
 
 def first_history(spark: SparkSession, sf: str) -> DataFrame:
-    start = history.merge(history.empty_history(spark), ranked_slice(spark, sf, 2), "2024-01-10")
+    start = history.merge(history.empty_history(spark), ranked_slice(spark, sf, 0), "2024-01-10")
     return history.set_status(start.drop("action"), dismissals(spark, sf))
 
 
@@ -267,24 +267,24 @@ def rank_select_by_company(spark, sf):
 
 @query
 def store_merge(spark, sf):
-    merged = history.merge(first_history(spark, sf), ranked_slice(spark, sf, 3), "2024-01-11")
+    merged = history.merge(first_history(spark, sf), ranked_slice(spark, sf, 1), "2024-01-11")
     return shown(merged, F.coalesce("action", F.lit("untouched")).alias("action"))
 
 
 @query
 def store_merge_small(spark, sf):
-    merged = history.merge(first_history(spark, sf), ranked_slice(spark, sf, 3), "2024-01-11", small_new=True)
+    merged = history.merge(first_history(spark, sf), ranked_slice(spark, sf, 1), "2024-01-11")
     return shown(merged, F.coalesce("action", F.lit("untouched")).alias("action"))
 
 
 @query
 def store_actions(spark, sf):
-    merged = history.merge(first_history(spark, sf), ranked_slice(spark, sf, 3), "2024-01-11")
+    merged = history.merge(first_history(spark, sf), ranked_slice(spark, sf, 1), "2024-01-11")
     return history.action_counts(merged)
 
 
 def second_history(spark, sf):
-    return history.merge(first_history(spark, sf), ranked_slice(spark, sf, 3), "2024-01-11").drop("action")
+    return history.merge(first_history(spark, sf), ranked_slice(spark, sf, 1), "2024-01-11").drop("action")
 
 
 @query
@@ -299,7 +299,7 @@ def store_prune(spark, sf):
 
 @query
 def store_set_status(spark, sf):
-    changes = ranked_slice(spark, sf, 5).select("url", F.lit("applied").alias("status"), "seq")
+    changes = ranked_slice(spark, sf, 2).select("url", F.lit("applied").alias("status"), "seq")
     return shown(history.set_status(first_history(spark, sf), changes, order="seq"))
 
 
@@ -312,6 +312,17 @@ def store_list_active(spark, sf):
     return shown(rows, "source", "location")
 
 
+@query
+def store_list_by_score(spark, sf):
+    return shown(history.list_active(second_history(spark, sf), min_score=60, limit=25, as_of="2024-01-11"), "source", "location")
+
+
+@query
+def store_list_by_place(spark, sf):
+    rows = history.list_active(second_history(spark, sf), source="indeed", city="M_nchen", as_of="2024-01-11")
+    return shown(rows, "source", "location")
+
+
 @query
 def store_counts(spark, sf):
     return history.counts(second_history(spark, sf), "2024-01-11")
@@ -329,15 +340,15 @@ def store_upgrade(spark, sf):
     return shown(history.upgrade(first_history(spark, sf).drop("last_seen")))
 
 
-REPLAY = (("2024-01-10", 2), ("2024-01-11", 3), ("2024-02-10", 5), ("2024-02-11", 7), ("2024-09-01", 0))
+REPLAY = (("2024-01-10", 0), ("2024-01-11", 1), ("2024-02-10", 2), ("2024-02-11", 0), ("2024-09-01", None))
 
 
 @query
 def store_replay(spark, sf):
     """Five days of merge, expire (21) and prune (180) with their counts."""
     state, days = history.empty_history(spark), []
-    for day, (as_of, step) in enumerate(REPLAY, start=1):
-        new = ranked_slice(spark, sf, step) if step else ranked_slice(spark, sf, 2).limit(0)
+    for day, (as_of, chosen) in enumerate(REPLAY, start=1):
+        new = ranked_slice(spark, sf, chosen) if chosen is not None else ranked_slice(spark, sf, 0).limit(0)
         merged = cut(history.merge(state, new, as_of))
         expired = history.expire(merged, 21, as_of)
         stale, gone = history.goes_stale(21, as_of), history.outlives(180, as_of)
@@ -455,7 +466,7 @@ def agency_items(spark, sf):
 @query
 def agency_postings(spark, sf):
     return agency.agency_json(
-        I.view(spark, sf, I.AGENCY_PAGES), I.view(spark, sf, I.AGENCY_DETAILS), P.but(max_raw_per_source=400)
+        I.view(spark, sf, I.AGENCY_PAGES), I.view(spark, sf, I.AGENCY_DETAILS), P
     ).select("title", "company", "location", "source", "url", "description", "posted_date")
 
 

@@ -48,26 +48,13 @@ def _merged_columns(as_of) -> list[Column]:
     ]
 
 
-def merge(history: DataFrame, new: DataFrame, as_of, small_new: bool = False) -> DataFrame:
+def merge(history: DataFrame, new: DataFrame, as_of) -> DataFrame:
     """Next history plus an ``action`` column (null where nothing came in).
 
-    ``new`` holds one row per URL, as normalisation leaves it.  In general both
-    sides meet in one shuffled full outer join.  With ``small_new`` (the caller
-    knows ``new`` is bounded, like a day's selection) it is broadcast and the
-    history is not shuffled at all.
+    ``new`` holds one row per URL, as normalisation leaves it.  Both sides meet in one full outer join.
     """
-    h = history.alias("h")
-    n = new.select("url", *PAYLOAD).alias("n")
-    if not small_new:
-        return h.join(n, F.col("h.url") == F.col("n.url"), "full_outer").select(*_merged_columns(as_of))
-    kept = h.join(F.broadcast(n), F.col("h.url") == F.col("n.url"), "left").select(*_merged_columns(as_of))
-    known = history.join(F.broadcast(new.select("url")), "url", "left_semi").select("url")
-    fresh = new.join(F.broadcast(known), "url", "left_anti").select("url", *PAYLOAD)
-    no_history = fresh.sparkSession.createDataFrame([], HISTORY).alias("h")
-    added = fresh.alias("n").join(
-        F.broadcast(no_history), F.col("h.url") == F.col("n.url"), "left"
-    ).select(*_merged_columns(as_of))
-    return kept.unionByName(added)
+    h, n = history.alias("h"), new.select("url", *PAYLOAD).alias("n")
+    return h.join(n, F.col("h.url") == F.col("n.url"), "full_outer").select(*_merged_columns(as_of))
 
 
 def action_counts(merged: DataFrame) -> DataFrame:

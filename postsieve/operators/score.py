@@ -20,7 +20,6 @@ COMPONENTS = ("semantic", "role", "domain", "recency", "language")
 _ENGLISH_QUOTE = (r"(english|working\s*language)", 40)
 _GERMAN_QUOTE = (r"(verhandlungssicher|flie[sß]end|deutschkenntnisse|german\s*(b2|c1|c2))", 30)
 _REASON_CHARS = 400
-_EMBED_CHARS = 3000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,20 +35,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dot_with(vector: Column, profile: Sequence[float]) -> Column:
-    """Dot product with one known vector, written out term by term so that it
-    stays in generated code and needs no second array."""
-    terms = [F.get(vector, F.lit(i)).cast("double") * F.lit(float(p)) for i, p in enumerate(profile)]
-    total = F.lit(0.0)
-    for term in terms:
-        total = total + term
-    return total
+    """Dot product with one known vector of any length."""
+    return dot(vector, F.lit([float(p) for p in profile]))
 
 
 def embedding_text() -> Column:
-    """The text a batch encoder is given for one posting."""
-    return F.concat_ws(
-        "\n", "title", "company", "location", F.substring(text_or_empty("description"), 1, _EMBED_CHARS)
-    )
+    """The text a batch encoder is given for one posting; the encoder decides how much of it it reads."""
+    return F.concat_ws("\n", "title", "company", "location", text_or_empty("description"))
 
 
 def with_similarity(

@@ -15,15 +15,10 @@ from postsieve.operators.gates import GATES, dropoff_counts, with_reason
 from postsieve.operators.normalize import normalize
 from postsieve.operators.publish import digest, sheets
 from postsieve.operators.score import score, select_top
-from postsieve.plans.balance import balanced
 from postsieve.plans.durable import SnapshotTable, cut, written
 from postsieve.policy import Policy
-from postsieve.schema import TEXT_COLUMNS
 from postsieve.sources.union import union_sources
 
-_BROADCAST_BYTES = 64 << 20
-_BROADCAST_KEYS = 1_000_000
-
 
 @dataclass
 class RunResult:
@@ -80,8 +75,6 @@ def rank(
     counts = _Counts(kept.select(F.col("seq").alias("row"), F.col("leader_seq").alias("seq"), "reject_reason",
                                  "fit_score"), *dropoff_counts())
     best = cut(select_top(counts.rows.filter("reject_reason is null"), policy).select("row", F.col("seq").alias("place")))
-    if max(policy.max_per_day, policy.min_results) <= _BROADCAST_KEYS:
-        best = F.broadcast(best)
     chosen = postings.join(best, postings["seq"] == best["row"]).drop("row")
     rows, sim = _sim(chosen, similarity)
     ranked = score(rows, policy, as_of, sim).withColumn("seq", F.col("place")).drop("place")
@@ -105,10 +98,7 @@ class _Counts:
 
 def _next_history(history: DataFrame, ranked: DataFrame, policy: Policy, as_of) -> tuple[DataFrame, _Counts]:
     """Merge, expire and prune in one pass, with the counts of each step observed."""
-    size = ranked.agg(F.coalesce(
-        F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in TEXT_COLUMNS), F.lit(200))), F.lit(0)
-    )).first()[0]
-    merged = hist.merge(history, ranked, as_of, small_new=size <= _BROADCAST_BYTES)
+    merged = hist.merge(history, ranked, as_of)
     after = (
         merged.withColumn("_expired", hist.goes_stale(policy.expire_days, as_of))
         .withColumn("status", F.when(F.col("_expired"), "expired").otherwise(F.col("status")))
@@ -141,7 +131,7 @@ def run(
     history = store.read(before=version)
     history = hist.empty_history(spark) if history is None else hist.upgrade(history)
 
-    raw = _Counts(balanced(union_sources(sources)), F.count(F.lit(1)).alias("n"))
+    raw = _Counts(union_sources(sources), F.count(F.lit(1)).alias("n"))
     normalized = written(normalize(raw.rows, policy))
     ranked, judged = rank(normalized, policy, as_of, similarity)
 

@@ -78,10 +78,9 @@ class Policy:
     min_results: int = 15
     floor_fit_score: float = 50.0
     min_description_chars: int = 60
-    max_raw_per_source: int = 200
+    max_raw_per_source: int | None = None  # no cap unless one is named
     search_location: str = "Berlin"
     blocked_boards: tuple[str, ...] = ("linkedin",)
-    boards: tuple[str, ...] = ("indeed", "glassdoor", "google")
     sites: tuple[dict, ...] = ()
     weights: Weights = field(default_factory=Weights)
     expire_days: int = 21
@@ -127,9 +126,9 @@ class Policy:
             min_results=whole(s, "min_results", base.min_results),
             floor_fit_score=number(s, "floor_fit_score", base.floor_fit_score),
             min_description_chars=whole(s, "min_description_chars", base.min_description_chars),
-            max_raw_per_source=whole(s, "max_raw_per_source", base.max_raw_per_source),
+            max_raw_per_source=None if s.get("max_raw_per_source") is None else whole(s, "max_raw_per_source", 0),
             search_location=s.get("search_location") or base.search_location,
-            boards=tuple(sources.get("jobspy", base.boards) or ()),
+            blocked_boards=words("blocked_boards", base.blocked_boards),
             sites=tuple(enabled_sites(sources.get("custom_sites") or ())),
             weights=Weights.of(s.get("scoring")),
             expire_days=whole(retention, "expire_days", base.expire_days),

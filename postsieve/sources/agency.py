@@ -117,7 +117,9 @@ def agency_json(pages: DataFrame, details: DataFrame, policy: Policy) -> DataFra
     Titles are tested before the lookup, so only hinted items meet the details;
     an item without a detail record is kept.
     """
-    items = cap_pages(hinted(agency_items(pages, policy)), policy.max_raw_per_source)
+    items = hinted(agency_items(pages, policy))
+    if policy.max_raw_per_source is not None:
+        items = cap_pages(items, policy.max_raw_per_source)
     found = details.select("refnr", F.from_json("body", _DETAIL).alias("d"))
     rows = items.join(found, "refnr", "left")
     description = _text_or(_first("d", _TEXTS), "text")

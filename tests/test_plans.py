@@ -41,15 +41,6 @@ def test_selection_is_a_distributed_top_k(spark):
     assert "TakeOrderedAndProject" in text or "GlobalLimit" in text or "CollectLimit" in text
 
 
-def test_small_merge_does_not_shuffle_history(spark, tmp_path):
-    Q.first_history(spark, SF).write.parquet(str(tmp_path / "h"))
-    Q.ranked_slice(spark, SF, 3).write.parquet(str(tmp_path / "n"))
-    old, new = spark.read.parquet(str(tmp_path / "h")), spark.read.parquet(str(tmp_path / "n"))
-    text = plan(history.merge(old, new, "2024-01-11", small_new=True))
-    assert "hashpartitioning" not in text and "BroadcastHashJoin" in text
-    assert "SortMergeJoin" not in text and "Cartesian" not in text
-
-
 def test_list_active_pushes_filters(spark, tmp_path):
     Q.first_history(spark, SF).write.parquet(str(tmp_path / "h"))
     rows = history.list_active(spark.read.parquet(str(tmp_path / "h")), language="en", min_score=30, limit=5)

@@ -202,10 +202,9 @@ def test_handled_rows_are_left_alone(spark, raw):
     ranked = score(gate(normalize(raw, P), P, AS_OF), P, AS_OF)
     start = hist.merge(hist.empty_history(spark), ranked, AS_OF).drop("action")
     applied = hist.set_status(start, start.select("url", F.lit("applied").alias("status")))
-    for small in (False, True):
-        after = hist.merge(applied, ranked, "2024-03-01", small_new=small)
-        assert {r.action for r in after.collect()} == {"skipped_handled"}
-        assert {str(r.last_seen) for r in after.collect()} == {AS_OF}
+    after = hist.merge(applied, ranked, "2024-03-01")
+    assert {r.action for r in after.collect()} == {"skipped_handled"}
+    assert {str(r.last_seen) for r in after.collect()} == {AS_OF}
     assert hist.prune(applied, 1, "2030-01-01").count() == 2
 
 
