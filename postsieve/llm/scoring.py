@@ -170,7 +170,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("good_id")).distinct()
     ids = vocabulary(rows)
-    marked = rows.join(good, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
+    # one plan at every size: the labels grow with the corpus, so they are not broadcast
+    marked = rows.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
     models = train(marked, ids)
     shared = docs.sparkSession.sparkContext.broadcast((ids, *models))
     return rows.mapInArrow(
