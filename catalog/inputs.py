@@ -137,6 +137,17 @@ select page_id, 'site' || cast(page_id % 3 as string) as site, url,
 from pages
 """
 
+OWN_PAGES = "select page_id, 'site0' as site, url, html from pages"
+
+ODD = """
+select doc_id as seq, case doc_id % 4 when 0 then ' - | ' when 1 then null else lang || ' intern ' || cast(doc_id as string) end as title,
+ case doc_id % 3 when 0 then '  ' || source || '   ' || lang || ' ' when 1 then '   ' else null end as company,
+ case doc_id % 5 when 0 then ' Köln   am Rhein ' when 1 then '' else lang end as location, source,
+ case doc_id % 7 when 0 then '' when 1 then '   ' else 'https://odd.example.com/' || cast(doc_id as string) end as url,
+ text as description, case doc_id % 2 when 0 then '2024-01-05T10:00:00' else '05.01.2024 ' end as posted_date
+from documents
+"""
+
 LISTING_MARKDOWN = """
 select page_id, 'site' || cast(page_id % 3 as string) as site, url,
  '# Jobs\n* [ Praktikum Data Science ](https://a.example.org/' || cast(page_id % 50 as string) || ') [About this company](https://a.example.org/about)\n* [See the open job](/jobs/' || cast(page_id as string) || ') [short](/jobs/1) [Impressum here](/imprint)\n* [Any open position](https://b.example.org/JOBS/1)\n' || html as md

@@ -51,6 +51,12 @@ def hits(expr: str, kws) -> str:
     return f"list_filter([{cases}], lambda x: x is not null)"
 
 
+def unescaped(expr: str) -> str:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        expr = f"replace({expr}, {lit(a)}, {lit(b)})"
+    return expr
+
+
 def squeeze(expr: str) -> str:
     return rf"trim(regexp_replace({expr}, '\s+', ' ', 'g'))"
 
@@ -418,6 +424,13 @@ GREEDY_STEPS = r"""
  grp as (select l as seq, l as leader_seq from led union all select y, min(x) from edge join led on l = x where y not in (select l from led) group by y)"""
 GREEDY = f"with recursive near as ({I.NEAR}),{GREEDY_STEPS}"
 
+DAY = f"""with recursive {POST}, {NORM}, near as (select seq, company, title, location, description, posted_date from norm),{GREEDY_STEPS},
+      kept as (select g.leader_seq as seq, n.* exclude (seq) from norm n join grp g using (seq)
+        qualify row_number() over (partition by g.leader_seq order by length(n.description) desc, (n.posted_date is null), n.seq) = 1),
+      g as (select * from kept where {reason()} is null), {scored('g', tag='_d')}, r as (select *, row_number() over (order by fit_score desc, seq) as rk from scored_d),
+      a as (select seq from r where fit_score >= 55 and rk <= 50),
+      b as (select seq from r where seq not in (select seq from a) and fit_score >= 50 order by rk limit greatest(0, 15 - (select count(*) from a))),"""
+
 ORACLES: dict[str, str] = {
     "text_keywords": f"""with {POST} select seq, {has(BLOB, 'ai')} as has_ai, {has(BLOB, *P.must_have_any)} as has_any,
       array_to_string({hits(BLOB, (*P.domains, *P.must_have_any, 'e-mail', '5+ years'))}, ',') as hits, array_to_string({hits('location', P.locations)}, ',') as places from post""",
@@ -506,6 +519,16 @@ ORACLES: dict[str, str] = {
     "agency_cap": f"""with {ITEMS}, n as (select page, count(*) as n from hinted group by page), c as (select *, sum(n) over (order by page rows between unbounded preceding and 1 preceding) as before from n)
       select page, n from c where coalesce(before, 0) < 100""",
     "page_links": f"with {HTML} select page_id, site, title, url, company, location, snippet from plinks",
+    "page_own_links": f"""with op as ({I.OWN_PAGES}), an as (select page_id, url as page_url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href,
+        unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) as t from op),
+      tx as (select page_id, page_url, {unescaped('href')} as href, {squeeze(unescaped('t'))} as title from an)
+      select page_id, title, regexp_extract(page_url, '^([^/]+//[^/?#]*)', 1) || href as url from tx
+      where length(title) >= 8 and regexp_matches(title || ' ' || lower(href), '(?i)(tion|ment|heit)|(ciónes|erth)')""",
+    "normalize_odd": rf"""with o as ({I.ODD}), c as (select seq, trim(regexp_replace(trim(coalesce(title, ''), ' -–—|·' || chr(9) || chr(10)), '\s+', ' ', 'g')) as title,
+        coalesce(nullif({squeeze("coalesce(company, '')")}, ''), 'Unknown') as company, coalesce(nullif({squeeze("coalesce(location, '')")}, ''), 'Germany') as location,
+        trim(url) as url, substr(posted_date, 1, 10) as posted_date from o)
+      select * from c where title <> '' and url <> ''""",
+    "rank_nothing": "select 0::bigint as chosen, count(*) as postings from documents",
     "markdown_links": f"with {MD} select page_id, pos, site, title, url, title as snippet from links",
     "listing_postings": f"""with {MD} select title, site as company, 'Germany' as location, 'custom:' || site as source, url, title as description from links
       where rtrim(url, '/') <> rtrim(page_url, '/') qualify row_number() over (partition by site, url order by page_id, pos) = 1""",
@@ -515,14 +538,12 @@ ORACLES: dict[str, str] = {
     "failure_streaks": STREAK_ROWS,
     "failure_streak_state": f"with {STREAK} select user_id, arg_max(streak, (ts, event_id)) as streak, bool_or(tripped) as tripped from trp group by user_id",
     "failure_streak_stream": STREAK_ROWS,
-    "daily_run_summary": f"""with recursive {POST}, {NORM}, near as (select seq, company, title, location, description, posted_date from norm),{GREEDY_STEPS},
-      kept as (select g.leader_seq as seq, n.* exclude (seq) from norm n join grp g using (seq)
-        qualify row_number() over (partition by g.leader_seq order by length(n.description) desc, (n.posted_date is null), n.seq) = 1),
-      g as (select * from kept where {reason()} is null), {scored('g', tag='_d')}, r as (select *, row_number() over (order by fit_score desc, seq) as rk from scored_d),
-      a as (select seq from r where fit_score >= 55 and rk <= 50),
-      b as (select seq from r where seq not in (select seq from a) and fit_score >= 50 order by rk limit greatest(0, 15 - (select count(*) from a))),
+    "daily_run_summary": f"""{DAY}
       k as (select count(*) as n from (select seq from a union all select seq from b))
       select {lit(I.AS_OF)} as run_date, (select count(*) from post) as raw, (select count(*) from norm) as normalized, (select count(*) from kept) as deduped,
         (select count(*) from g) as filtered, n as ranked, n as inserted, 0::bigint as updated, 0::bigint as reopened, 0::bigint as skipped_handled,
         0::bigint as expired, 0::bigint as pruned, n as new_today, n as total_open from k""",
+    "incremental_history": f"""{DAY}
+      c as (select seq from a union all select seq from b)
+      select url, title, fit_score, {lit(I.AS_OF)} as first_seen, {lit(I.AS_OF)} as last_seen, 'new' as status from r join c using (seq)""",
 }

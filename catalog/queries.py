@@ -14,7 +14,7 @@ from postsieve.operators import dedup, gates, history, normalize, publish, reche
 from postsieve.plans import daily
 from postsieve.plans.durable import SnapshotTable, cut, shared_folder
 from postsieve.policy import Policy
-from postsieve.schema import PAYLOAD, as_day, with_missing
+from postsieve.schema import as_day, conform, with_missing
 from postsieve.sources import agency, board, listings, union
 from postsieve.streaming import incremental, streaks
 
@@ -493,6 +493,32 @@ def page_links(spark, sf):
     )
 
 
+OWN_HINTS = (r"(tion|ment|heit)", r"(ciónes|erth)")
+
+
+@query
+def page_own_links(spark, sf):
+    """The pages' own links, by hints that fit their words."""
+    pages = I.view(spark, sf, I.OWN_PAGES)
+    sites = listings.site_table(spark, P.but(sites=({"url": "https://s0.example.org", "name": "site0"},)))
+    return listings.page_links(pages, sites, *OWN_HINTS).select("page_id", "title", "url")
+
+
+@query
+def normalize_odd(spark, sf):
+    """Blank titles and URLs, padded names and long dates."""
+    rows = normalize.normalize(conform(I.view(spark, sf, I.ODD)), P)
+    return rows.select("seq", "title", "company", "location", "url", "posted_date")
+
+
+@query
+def rank_nothing(spark, sf):
+    """A day on which every posting is rejected: counts stay, nothing is selected."""
+    rows = score.score(gates.gate(normalized(spark, sf), P.but(domains=()), I.AS_OF), P, I.AS_OF)
+    chosen = score.select_top(rows, P).agg(F.count(F.lit(1)).alias("chosen"))
+    return chosen.join(I.postings(spark, sf).agg(F.count(F.lit(1)).alias("postings")))
+
+
 @query
 def markdown_links(spark, sf):
     return listings.markdown_links(I.view(spark, sf, I.LISTING_MARKDOWN)).select(
@@ -542,37 +568,32 @@ def failure_streak_state(spark, sf):
     )
 
 
-def _as_stream(rows: DataFrame, parts: int, order: str) -> tuple[DataFrame, str]:
-    """Write rows as files one after the other and read them back as a stream,
-    one file per batch."""
-    folder = shared_folder(rows.sparkSession)
+def _in_parts(rows: DataFrame, parts: int, order: str, start) -> str:
+    """Write rows one part after the other; after each, let a stream over the folder take in what has come."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
     low, high = rows.agg(F.min(order), F.max(order)).first()
     part = F.floor((F.col(order) - low) * parts / (high - low + 1))
     for i in range(parts):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = (
-        rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
-        .parquet(f"{folder}/in")
-    )
-    return stream, folder
+        rows.filter(part == i).write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder).awaitTermination()
+    return folder
 
 
 @query
 def failure_streak_stream(spark, sf):
-    stream, folder = _as_stream(_log(spark, sf), 3, "event_id")
-    streaks.start_streaks(
+    folder = _in_parts(_log(spark, sf), 3, "event_id", lambda stream, folder: streaks.start_streaks(
         stream, "user_id", F.col("ok"), ("ts", "event_id"), F.date_trunc("day", F.col("ts")),
         SnapshotTable(spark, f"{folder}/state"), f"{folder}/out", f"{folder}/checkpoint",
-    ).awaitTermination()
+    ))
     return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "streak", "tripped")
 
 
 @query
 def incremental_history(spark, sf):
-    stream, folder = _as_stream(I.postings(spark, sf), 2, "seq")
-    store = SnapshotTable(spark, f"{folder}/history")
-    incremental.start_incremental(stream, P, store, I.AS_OF, f"{folder}/checkpoint").awaitTermination()
-    return shown(store.read())
+    """A day's postings in three micro-batches; the history must be that of one run over all of them."""
+    folder = _in_parts(I.postings(spark, sf), 3, "seq", lambda stream, folder: incremental.start_incremental(
+        stream, P, SnapshotTable(spark, f"{folder}/history"), I.AS_OF, f"{folder}/checkpoint"))
+    return shown(SnapshotTable(spark, f"{folder}/history").read())
 
 
 @query

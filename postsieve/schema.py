@@ -34,22 +34,23 @@ HISTORY = T.StructType([
 STATUSES = ("new", "applied", "dismissed", "expired")
 HANDLED = ("applied", "dismissed")
 
-# seq packs (source rank, page, item) so that one bigint keeps the input order.
-_ITEM_BITS = 20
-_PAGE_BITS = 36
+# seq keeps the input order in one bigint: source rank, then a position, or a page and an item on it.
+_POSITION_BITS = 60
+_ITEM_BITS = 24
 
 
 def pack_seq(source_rank: int, page: Column, item: Column | None = None) -> Column:
-    """Order key of an item; out-of-range parts fail the job instead of wrapping."""
-    item = F.lit(0) if item is None else item
-    page, item = page.cast("bigint"), item.cast("bigint")
-    fits = page.between(0, (1 << _PAGE_BITS) - 1) & item.between(0, (1 << _ITEM_BITS) - 1)
-    packed = (
-        F.lit(source_rank).cast("bigint") * F.lit(1 << (_PAGE_BITS + _ITEM_BITS))
-        + page * F.lit(1 << _ITEM_BITS)
-        + item
-    )
-    return F.when(fits, packed).otherwise(F.raise_error(F.lit("seq part out of range")).cast("bigint"))
+    """Order key of a row (60 bits) or of an item on a page (36 and 24 bits); out-of-range parts fail the job instead
+    of wrapping."""
+    page = page.cast("bigint")
+    rank = F.lit(source_rank << _POSITION_BITS).cast("bigint")
+    if item is None:
+        fits, place = page.between(0, (1 << _POSITION_BITS) - 1), page
+    else:
+        item = item.cast("bigint")
+        fits = page.between(0, (1 << (_POSITION_BITS - _ITEM_BITS)) - 1) & item.between(0, (1 << _ITEM_BITS) - 1)
+        place = page * F.lit(1 << _ITEM_BITS) + item
+    return F.when(fits, rank + place).otherwise(F.raise_error(F.lit("seq part out of range")).cast("bigint"))
 
 
 def conform(df: DataFrame, layout: T.StructType = POSTING) -> DataFrame:

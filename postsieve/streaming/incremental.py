@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -19,16 +20,20 @@ def start_incremental(
     as_of: Callable[[int], object] | object,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Run every micro-batch of raw postings through the daily stages.
+    """Run a day's postings through the daily stages as they come in.
 
-    The batch number is the snapshot version: a batch that is run again starts
-    from the snapshot before it, so it cannot be counted twice.  First-wins
-    order needs whole batches, which is why no stateful stream operator is used.
+    A batch first adds its rows to the day's candidates, in a folder named by the batch, so that a batch that is run
+    again replaces its own rows.  The stages then run over all of the day's candidates and commit the day's snapshot,
+    which starts from the day before.  First-wins order, near copies and the day's selection thus see the whole day:
+    the history is the same however the rows fall into batches.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        day = as_of(batch_id) if callable(as_of) else as_of
-        run(batch.sparkSession, policy, [batch], store, day, batch_id)
+        day = date.fromisoformat(str(as_of(batch_id) if callable(as_of) else as_of))
+        candidates = f"{store.root}/candidates/run_date={day}"
+        batch.write.mode("overwrite").parquet(f"{candidates}/batch={batch_id}")
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{candidates}/batch=*")
+        run(batch.sparkSession, policy, [rows], store, str(day), day.toordinal())
 
     return (
         stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -62,9 +62,9 @@ def test_title_hints_are_tested_before_the_lookup(spark):
 
 
 def test_order_key_rejects_what_it_cannot_hold(spark):
-    assert spark.range(1).select(pack_seq(2, F.lit(3), F.lit(5))).first()[0] == (2 << 56) + (3 << 20) + 5
+    assert spark.range(1).select(pack_seq(2, F.lit(3), F.lit(5))).first()[0] == (2 << 60) + (3 << 24) + 5
     with pytest.raises(Exception, match="out of range"):
-        spark.range(1).select(pack_seq(0, F.lit(1), F.lit(1 << 20))).collect()
+        spark.range(1).select(pack_seq(0, F.lit(1), F.lit(1 << 24))).collect()
 
 
 def test_checkpoint_folder_is_the_shared_one(spark):
@@ -77,7 +77,7 @@ def test_html_links(spark):
       <li>x<li><a href="https://o.org/x">Apply to this one now, dear</a> hiwi<script>ignored("hiwi")</script></div>
       <div><a href="/data-science/2"><b>Working</b> here</a><a href="javascript:go()">internship here</a><a>internship</a></div>"""
     pages = spark.createDataFrame([(1, "s", "https://a.org/d/", html)], "page_id long, site string, url string, html string")
-    sites = spark.createDataFrame([("s", {"company": "span.firm"})], "site string, selectors map<string,string>")
+    sites = listings.site_table(spark, P.but(sites=({"url": "u", "name": "s", "selectors": {"company": "span.firm"}},)))
     rows = {r.url: r for r in listings.page_links(pages, sites).collect()}
     assert set(rows) == {"https://a.org/d/go/1", "https://o.org/x", "https://a.org/data-science/2"}
     # A short text gives way to that of its card.
@@ -87,6 +87,18 @@ def test_html_links(spark):
     assert rows["https://o.org/x"].title == "Apply to this one now, dear"
 
 
+def test_odd_pages_take_linear_time(spark):
+    flat = "".join(f'<a href="/jobs/{i}">Working student {i}</a>' for i in range(2000))
+    deep = "<div>" * 1200 + '<a href="?p=1">internship here now<a class=x href=b/c>internship unclosed' + "</div>" * 1200
+    pages = spark.createDataFrame([(1, "s", "https://a.org/d/e?q#f", flat), (2, "s", "https://a.org", deep), (3, "s", "https://a.org", None)],
+                                  "page_id long, site string, url string, html string")
+    rows = listings.page_links(pages, listings.site_table(spark, P.but(sites=({"url": "u", "name": "s", "selectors": {"company": "b"}},)))).collect()
+    assert [r.pos for r in sorted(rows, key=lambda r: (r.page_id, r.pos))] == [*range(2000), 0, 1]
+    assert {r.url for r in rows if r.page_id == 2} == {"https://a.org?p=1", "https://a.org/b/c"}
+    kept = listings.site_table(spark, P.but(sites=({"url": "u", "name": "s", "selectors": {"job_link": "a.x"}},)))
+    assert {r.url for r in listings.page_links(pages, kept).collect()} == {"https://a.org/b/c"}
+
+
 def test_dates_written_per_run(spark, tmp_path):
     rows = Q.open_rows(spark, SF)
     out = str(tmp_path / "sheets")
