@@ -546,4 +546,12 @@ ORACLES: dict[str, str] = {
     "incremental_history": f"""{DAY}
       c as (select seq from a union all select seq from b)
       select url, title, fit_score, {lit(I.AS_OF)} as first_seen, {lit(I.AS_OF)} as last_seen, 'new' as status from r join c using (seq)""",
+    "run_log": f"""{DAY}
+      k as (select count(*) as n from (select seq from a union all select seq from b))
+      select {lit(I.AS_OF)} as run_date, {lit(I.AS_OF)} as last_run, (select count(*) from post) as raw, (select count(*) from norm) as normalized, (select count(*) from kept) as deduped,
+        (select count(*) from g) as filtered, n as ranked, n as inserted, 0::bigint as updated, 0::bigint as reopened, 0::bigint as skipped_handled,
+        0::bigint as expired, 0::bigint as pruned, n as new_today, n as total_open from k""",
+    "run_published": f"""{DAY}
+      c as (select seq from a union all select seq from b), sheet as (select unnest(['All Open', 'New Today']) as sheet)
+      select {lit(I.AS_OF)} as run_date, sheet, title, url as apply_link, fit_score from r join c using (seq) cross join sheet""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalog import inputs as I
 from postsieve.functions import fields, numbers, similarity, text
 from postsieve.operators import dedup, gates, history, normalize, publish, recheck, score
-from postsieve.plans import daily
+from postsieve.plans import daily, publication
 from postsieve.plans.durable import SnapshotTable, cut, shared_folder
 from postsieve.policy import Policy
 from postsieve.schema import as_day, conform, with_missing
@@ -601,3 +601,25 @@ def daily_run_summary(spark, sf):
     folder = shared_folder(spark)
     result = daily.run(spark, P, [I.postings(spark, sf)], SnapshotTable(spark, folder), I.AS_OF, 1)
     return result.summary_row(spark)
+
+
+def _published_day(spark, sf) -> str:
+    folder = shared_folder(spark)
+    result = daily.run(spark, P, [I.postings(spark, sf)], SnapshotTable(spark, f"{folder}/history"), I.AS_OF, 1)
+    publication.publish(spark, result, P, folder)
+    return folder
+
+
+@query
+def run_published(spark, sf):
+    """The sheets a day's run leaves behind."""
+    rows = spark.read.parquet(f"{_published_day(spark, sf)}/sheets")
+    return rows.select(F.col("run_date").cast("string").alias("run_date"), "sheet", "title", "apply_link", "fit_score")
+
+
+@query
+def run_log(spark, sf):
+    """The log after a day's run, and the day that the next run finds there."""
+    folder = _published_day(spark, sf)
+    last = publication.last_run(spark, folder).select(F.col("run_date").alias("last_run"))
+    return publication.run_log(spark, folder).join(last, F.col("run_date") == F.col("last_run"))

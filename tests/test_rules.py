@@ -260,3 +260,14 @@ def test_micro_batches_equal_the_days_run(spark, raw, tmp_path, cuts):
     run(spark, policy, [raw], batch, AS_OF, 1)
     assert len(live.versions()) == 1
     assert sorted(live.read().collect()) == sorted(batch.read().collect()) != []
+
+
+def test_publication_keeps_the_newest_dates(spark, raw, tmp_path):
+    from postsieve.plans.publication import last_run, publish, run_log
+
+    store, out = SnapshotTable(spark, str(tmp_path / "h")), str(tmp_path / "out")
+    for version, day in enumerate((AS_OF, "2024-01-11", "2024-01-11", "2024-01-12"), start=1):
+        publish(spark, run(spark, P, [raw], store, day, version), P.but(keep_exports=2), out)
+    assert {str(r.run_date) for r in spark.read.parquet(f"{out}/sheets").select("run_date").distinct().collect()} == {"2024-01-11", "2024-01-12"}
+    assert sorted(r.run_date for r in run_log(spark, out).collect()) == [AS_OF, "2024-01-11", "2024-01-12"]
+    assert last_run(spark, out).first().run_date == "2024-01-12"
