@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.operators import history as hist
@@ -63,7 +62,7 @@ def verdicts(postings: DataFrame, policy: Policy, as_of, similarity: Similarity
 
 def rank(
     postings: DataFrame, policy: Policy, as_of, similarity: Similarity | None = None
-) -> tuple[DataFrame, _Counts]:
+) -> tuple[DataFrame, dict]:
     """Dedup, gate, score and select, with the counts of the gates.
 
     Only keys, reasons and scores are joined and sorted.  The postings
@@ -72,45 +71,29 @@ def rank(
     """
     groups = leaders(postings)
     kept = representatives(postings, groups).join(verdicts(postings, policy, as_of, similarity), "seq")
-    counts = _Counts(kept.select(F.col("seq").alias("row"), F.col("leader_seq").alias("seq"), "reject_reason",
-                                 "fit_score"), *dropoff_counts())
-    best = cut(select_top(counts.rows.filter("reject_reason is null"), policy).select("row", F.col("seq").alias("place")))
+    judged = written(kept.select(F.col("seq").alias("row"), F.col("leader_seq").alias("seq"), "reject_reason", "fit_score"))
+    best = cut(select_top(judged.filter("reject_reason is null"), policy).select("row", F.col("seq").alias("place")))
     chosen = postings.join(best, postings["seq"] == best["row"]).drop("row")
     rows, sim = _sim(chosen, similarity)
     ranked = score(rows, policy, as_of, sim).withColumn("seq", F.col("place")).drop("place")
-    return cut(ranked), counts
+    return cut(ranked), judged.agg(*dropoff_counts()).first().asDict()
 
 
-class _Counts:
-    """Counts taken while the rows pass by; counted again only if Spark dropped
-    the passing rows from the plan, as it does once it knows there are none."""
-
-    def __init__(self, rows: DataFrame, *columns: Column):
-        self._rows, self._columns, self._seen = rows, columns, Observation()
-        self.rows = rows.observe(self._seen, *columns)
-
-    def get(self) -> dict:
-        try:
-            return self._seen.get
-        except Py4JJavaError:
-            return self._rows.agg(*self._columns).first().asDict()
-
-
-def _next_history(history: DataFrame, ranked: DataFrame, policy: Policy, as_of) -> tuple[DataFrame, _Counts]:
-    """Merge, expire and prune in one pass, with the counts of each step observed."""
+def _next_history(history: DataFrame, ranked: DataFrame, policy: Policy, as_of) -> tuple[DataFrame, dict]:
+    """Merge, expire and prune in one pass.  The counts of each step are an aggregate of their own over keys, dates
+    and states: counts taken while rows pass by would be wrong once a lost task runs again."""
     merged = hist.merge(history, ranked, as_of)
     after = (
         merged.withColumn("_expired", hist.goes_stale(policy.expire_days, as_of))
         .withColumn("status", F.when(F.col("_expired"), "expired").otherwise(F.col("status")))
         .withColumn("_pruned", hist.outlives(policy.db_keep_days, as_of))
     )
-    counts = _Counts(
-        after,
+    counts = after.agg(
         *[F.count_if(F.col("action") == a).alias(a) for a in hist.ACTIONS],
         F.count_if("_expired").alias("expired"),
         F.count_if("_pruned").alias("pruned"),
-    )
-    return counts.rows.filter(~F.col("_pruned")).drop("_expired", "_pruned", "action"), counts
+    ).first().asDict()
+    return after.filter(~F.col("_pruned")).drop("_expired", "_pruned", "action"), counts
 
 
 def run(
@@ -131,24 +114,23 @@ def run(
     history = store.read(before=version)
     history = hist.empty_history(spark) if history is None else hist.upgrade(history)
 
-    raw = _Counts(union_sources(sources), F.count(F.lit(1)).alias("n"))
-    normalized = written(normalize(raw.rows, policy))
-    ranked, judged = rank(normalized, policy, as_of, similarity)
+    raw = union_sources(sources)
+    normalized = written(normalize(raw, policy))
+    ranked, gates = rank(normalized, policy, as_of, similarity)
 
     after, merge_counts = _next_history(history, ranked, policy, as_of)
     current = store.write(after, version)
     open_rows = current.filter(F.col("status") == "new")
     all_open, new_today = sheets(open_rows, as_of)
-    gates = judged.get()
     totals = hist.counts(current, as_of).first()
     summary = {
         "run_date": str(as_of),
-        "raw": raw.get()["n"],
+        "raw": raw.count(),
         "normalized": normalized.count(),
         "deduped": gates["input"],
         "filtered": gates["passed"],
         "ranked": ranked.count(),
-        **merge_counts.get(),
+        **merge_counts,
         "new_today": totals["new_today"],
         "total_open": totals["total_open"],
     }
