@@ -55,13 +55,13 @@ def unique_name(kind: str, partition: int) -> str:
     return f"{kind}-{partition:06d}-{uuid.uuid4().hex}"
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", chars: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that memory follows the longest text and not the row count."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).to_pylist()
         first = used = 0
         for row, size in enumerate(sizes):
-            if used and used + (size or 0) > PIECE_CHARS:
+            if used and used + (size or 0) > chars:
                 yield batch.slice(first, row - first)
                 first, used = row, 0
             used += size or 0

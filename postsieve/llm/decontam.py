@@ -34,6 +34,8 @@ LEAST = 40
 RATE = 0.08
 #: Benchmark characters searched at a time.
 BLOCK_CHARS = 4_000_000
+#: Document characters scanned at a time; the arrays of hashes take about 60 bytes for each.
+SCANNED_CHARS = 1_000_000
 #: Bits of the table that most q-grams of a text are looked up in first.
 SIEVE_BITS = 22
 #: Bands verified at a time.
@@ -190,7 +192,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 
 def _hits(batches: Iterable[pa.RecordBatch], by: Windows) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches):
+    for piece in pieces(batches, chars=SCANNED_CHARS):
         ids, best = piece.column("doc_id").to_pylist(), {}
         for row, window, edits, end in search(piece.column("text").to_pylist(), by):
             best.setdefault((row, int(by.items[window])), {}).setdefault(window, []).append((edits, end))
@@ -215,7 +217,7 @@ def _with(docs: DataFrame, shared, work, schema) -> DataFrame:
 
 
 def _clean(batches: Iterable[pa.RecordBatch], by: Windows) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches):
+    for piece in pieces(batches, chars=SCANNED_CHARS):
         keep = np.ones(piece.num_rows, bool)
         keep[[row for row, *_ in search(piece.column("text").to_pylist(), by)]] = False
         yield piece.filter(pa.array(keep))

@@ -37,7 +37,7 @@ HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
 IDENT = struct.Struct("<BBq")
 #: Words remembered by one Python worker.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 
 def masked(data: bytes) -> int:
