@@ -431,6 +431,15 @@ DAY = f"""with recursive {POST}, {NORM}, near as (select seq, company, title, lo
       a as (select seq from r where fit_score >= 55 and rk <= 50),
       b as (select seq from r where seq not in (select seq from a) and fit_score >= 50 order by rk limit greatest(0, 15 - (select count(*) from a))),"""
 
+LETTERS = ", ".join(f"(length(t) - length(replace(t, '{c}', '')))::double as {c}" for c in "aeiou")
+ENCODED = f"""with {POST}, {DET}, tx as (select *, title || chr(10) || company || chr(10) || location || chr(10) || description as t from det), ct as (select *, {LETTERS} from tx),
+      v as (select *, case when a + e + i + o + u = 0 then 0.0 else 0.5 * (a + e + i + o) / sqrt(a * a + e * e + i * i + o * o + u * u) end as sim from ct)"""
+RECHECK = f"""with {POST}, {DET}, o as (select * exclude (url), url || '&n=' || cast(seq as string) as url, date {lit(I.AS_OF)} - cast(seq % 4 as int) as first_seen from det), {scored('o', '2024-01-12')},
+      v as (select *, {reason(P, '2024-01-12')} as why, seq % 10 = 0 as applied from scored), k as (select *, not applied and why is null and fit_score >= 50 as kept from v)"""
+RECHECKED = f"""{RECHECK}
+      select url, title, case when kept then fit_score else cast(seq % 101 as double) end as fit_score, cast(first_seen as string) as first_seen,
+        case when kept then '2024-01-12' else cast(first_seen as string) end as last_seen, case when applied then 'applied' when kept then 'new' else 'dismissed' end as status, not kept as old_reason from k"""
+
 ORACLES: dict[str, str] = {
     "text_keywords": f"""with {POST} select seq, {has(BLOB, 'ai')} as has_ai, {has(BLOB, *P.must_have_any)} as has_any,
       array_to_string({hits(BLOB, (*P.domains, *P.must_have_any, 'e-mail', '5+ years'))}, ',') as hits, array_to_string({hits('location', P.locations)}, ',') as places from post""",
@@ -464,6 +473,7 @@ ORACLES: dict[str, str] = {
     "gate_empty_lists": dropoff(P.but(domains=(), must_have_any=(), role_types=(), exclude_words=())),
     "rank_semantic": """with p as (select embedding::double[] as v from embeddings where vec_id = 0), s as (select vec_id, list_inner_product(embedding::double[], (select v from p)) as sim from embeddings)
       select vec_id, round(sim, 6) as sim, round(greatest(0.0, least(1.0, (sim - 0.15) / (0.6 - 0.15))), 6) as semantic, 1.0::double as self from s""",
+    "rank_encoded": f"""{ENCODED}, {scored('v', sim='sim')} select seq, round(sim, 6) as sim, round(semantic, 6) as semantic from scored""",
     "rank_components": f"with {POST}, {DET}, {scored('det')} select seq, round(role, 6) as role, round(domain, 6) as domain, round(recency, 6) as recency, round(language_fit, 6) as language_fit from scored",
     "rank_scores": f"with {POST}, {DET}, {scored('det')} select seq, fit_score from scored",
     "rank_scores_with_vectors": f"""with {POST}, {DET}, v as (select d.*, coalesce(list_inner_product(e.embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 0.0) as sim
@@ -505,10 +515,11 @@ ORACLES: dict[str, str] = {
     "recheck_report": f"""with {POST}, {DET}, o as (select * exclude (url), url || '&n=' || cast(seq as string) as url from det where seq % 10 <> 0), {scored('o', '2024-01-12')},
       v as (select *, {reason(P, '2024-01-12')} as why from scored)
       select url, title, cast(seq % 101 as double) as old_score, case when why is null then printf('%.1f', fit_score) else 'filtered out' end as new_score from v where why is not null or fit_score < 50""",
-    "recheck_history": f"""with {POST}, {DET}, o as (select * exclude (url), url || '&n=' || cast(seq as string) as url, date {lit(I.AS_OF)} - cast(seq % 4 as int) as first_seen from det), {scored('o', '2024-01-12')},
-      v as (select *, {reason(P, '2024-01-12')} as why, seq % 10 = 0 as applied from scored), k as (select *, not applied and why is null and fit_score >= 50 as kept from v)
-      select url, title, case when kept then fit_score else cast(seq % 101 as double) end as fit_score, cast(first_seen as string) as first_seen,
-        case when kept then '2024-01-12' else cast(first_seen as string) end as last_seen, case when applied then 'applied' when kept then 'new' else 'dismissed' end as status, not kept as old_reason from k""",
+    "recheck_history": RECHECKED,
+    "recheck_store": RECHECKED,
+    "recheck_published": f"""{RECHECK}, sheet as (select unnest(['All Open', 'New Today']) as sheet)
+      select '2024-01-12' as run_date, sheet, title, url as apply_link, fit_score from k cross join sheet
+      where kept and (sheet = 'All Open' or first_seen = date '2024-01-12')""",
     "board_rows": f"with {BOARD} select title, company, location, source, url, posted_date, length(description) as chars from board",
     "agency_items": f"with {ITEMS} select page, refnr, title, coalesce(company, '') as company, location, substr(posted, 1, 10) as posted from items",
     "agency_postings": f"""with {ITEMS}, det as ({I.AGENCY_DETAILS})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,6 +223,21 @@ def rank_semantic(spark, sf):
     )
 
 
+@query
+def rank_encoded(spark, sf):
+    """The caller's batch encoder: here the shares of five letters, as a vector of length 1."""
+    @F.pandas_udf("array<double>")
+    def letter_shares(texts: pd.Series) -> pd.Series:
+        counts = np.stack([texts.str.count(letter).to_numpy(float) for letter in "aeiou"], axis=1)
+        lengths = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        return pd.Series(list(np.divide(counts, lengths, out=np.zeros_like(counts), where=lengths > 0)))
+
+    profile = [0.5, 0.5, 0.5, 0.5, 0.0]
+    rows = score.with_similarity(detected(spark, sf), letter_shares, profile)
+    r = lambda c: F.round(c, 6).alias(c)
+    return score.components(rows, P, I.AS_OF, F.col("sim")).select("seq", r("sim"), r("semantic"))
+
+
 @query
 def rank_components(spark, sf):
     rows = score.components(detected(spark, sf), P, I.AS_OF)
@@ -427,12 +444,15 @@ def digest_by_company(spark, sf):
 # Recheck
 
 
-def rechecked(spark, sf):
-    base = open_rows(spark, sf).withColumns({
+def recheck_base(spark, sf):
+    return open_rows(spark, sf).withColumns({
         "status": F.when(F.col("seq") % 10 == 0, "applied").otherwise("new"),
         "fit_score": (F.col("seq") % 101).cast("double"), "fit_reason": F.lit("old"),
     }).drop("seq")
-    return recheck.recheck(base, P, "2024-01-12")
+
+
+def rechecked(spark, sf):
+    return recheck.recheck(recheck_base(spark, sf), P, "2024-01-12")
 
 
 @query
@@ -445,6 +465,26 @@ def recheck_history(spark, sf):
     return shown(rechecked(spark, sf)[1], (F.col("fit_reason") == "old").alias("old_reason"))
 
 
+@query
+def recheck_store(spark, sf):
+    """A stored history after a recheck has committed the next one."""
+    store = SnapshotTable(spark, shared_folder(spark))
+    store.write(recheck_base(spark, sf), 1)
+    publication.recheck_store(spark, P, store, "2024-01-12", 2)
+    return shown(store.read(), (F.col("fit_reason") == "old").alias("old_reason"))
+
+
+@query
+def recheck_published(spark, sf):
+    """The sheets that a recheck of a stored history leaves behind."""
+    folder = shared_folder(spark)
+    store = SnapshotTable(spark, f"{folder}/history")
+    store.write(recheck_base(spark, sf), 1)
+    publication.recheck_store(spark, P, store, "2024-01-12", 2, f"{folder}/out")
+    rows = spark.read.parquet(f"{folder}/out/sheets")
+    return rows.select(F.col("run_date").cast("string").alias("run_date"), "sheet", "title", "apply_link", "fit_score")
+
+
 # Sources
 
 
@@ -556,7 +596,7 @@ def _log(spark, sf):
 @query
 def failure_streaks(spark, sf):
     rows = streaks.failure_streaks(
-        _log(spark, sf), "user_id", F.col("ok"), ("ts", "event_id"), F.date_trunc("day", F.col("ts"))
+        _log(spark, sf), "user_id", F.col("ok"), ("ts", "event_id"), F.date_trunc("hour", F.col("ts"))
     )
     return rows.select("event_id", "user_id", "streak", "tripped")
 
@@ -582,7 +622,7 @@ def _in_parts(rows: DataFrame, parts: int, order: str, start) -> str:
 @query
 def failure_streak_stream(spark, sf):
     folder = _in_parts(_log(spark, sf), 3, "event_id", lambda stream, folder: streaks.start_streaks(
-        stream, "user_id", F.col("ok"), ("ts", "event_id"), F.date_trunc("day", F.col("ts")),
+        stream, "user_id", F.col("ok"), ("ts", "event_id"), F.date_trunc("hour", F.col("ts")),
         SnapshotTable(spark, f"{folder}/state"), f"{folder}/out", f"{folder}/checkpoint",
     ))
     return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "streak", "tripped")

@@ -32,10 +32,10 @@ from postsieve.functions.similarity import (
     tokens,
     word_sketch,
 )
-from postsieve.plans.durable import cut, setting
+from postsieve.plans.durable import cut
 
 THRESHOLD = 90
-_FIRST_BATCH = 2048
+_FIRST_BATCH = 1000  # Spark limits ranks before the shuffle up to this many by default
 _BROADCAST_BYTES = 32 << 20
 _TILE_ROWS = 4096
 _PART_ROWS = 50_000
@@ -132,19 +132,16 @@ def _settle(edges: DataFrame) -> DataFrame | None:
     return members
 
 
-def _first_of_blocks(recs: DataFrame, size: int) -> DataFrame:
-    """First ``size`` records of every block.
+def _last_of_batch(recs: DataFrame, size: int) -> DataFrame:
+    """(block, last): the id at place ``size`` of every block that has so many records.
 
-    A block is ranked in lanes before it is ranked as a whole, so even one that
-    holds most records brings at most ``_LANES * size`` of them to one task.
+    Keys alone are ranked, in lanes before blocks as a whole, so even a block that
+    holds most records brings at most ``_LANES * size`` keys to one task.
     """
-    for keys in (["block", "_lane"], ["block"]):
-        recs = recs.withColumn("_lane", F.pmod(F.hash("id"), F.lit(_LANES)))
-        order = Window.partitionBy(*keys).orderBy("id")
-        recs = recs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= size).drop("_n", "_lane")
-    # Rank limits act before the shuffle up to this many rows per key.
-    with setting(recs.sparkSession, "spark.sql.optimizer.windowGroupLimitThreshold", str(size)):
-        return cut(recs)
+    keys = recs.select("block", "id", F.pmod(F.hash("id"), F.lit(_LANES)).alias("_lane"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    keys = keys.withColumn("_n", place("block", "_lane")).filter(F.col("_n") <= size)
+    return keys.withColumn("_n", place("block")).filter(F.col("_n") == size).select("block", F.col("id").alias("last"))
 
 
 def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: int = _FIRST_BATCH) -> DataFrame:
@@ -152,7 +149,9 @@ def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: i
     open_ = cut(_features(recs))
     n_open, size, done = open_.count(), first_batch, None
     while n_open:
-        batch = _first_of_blocks(open_, size)
+        split = open_.join(cut(_last_of_batch(open_, size)), "block", "left")
+        first = F.coalesce(F.col("id") <= F.col("last"), F.lit(True))
+        batch, rest = cut(split.filter(first).drop("last")), split.filter(~first).drop("last")
         n_batch, batch_bytes = _bytes_of(batch)
         edges = cut(_similar(batch, batch, threshold, n_batch, batch_bytes, ordered=True))
         members = _settle(edges)
@@ -169,7 +168,6 @@ def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: i
         done = settled if done is None else done.union(settled)
         if n_batch == n_open:
             break
-        rest = open_.join(batch.select("id"), "id", "left_anti")
         n_leaders, leader_bytes = _bytes_of(leaders)
         near = _similar(leaders, rest, threshold, n_open - n_batch, leader_bytes, ordered=False)
         absorbed = cut(near.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")))

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,26 +43,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A session setting for the actions of one block."""
-    before = spark.conf.get(key)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 class SnapshotTable:
     """Numbered full copies of a table below one folder.
 
     A copy counts only once its write has committed, so a lost driver leaves at
-    worst an unread folder, and writing a number again replaces that copy.
+    worst an unread folder, and writing a number again replaces that copy.  With
+    ``keep``, a commit removes all but so many of the newest copies; two at least
+    stay, as a run that is repeated starts from the copy before its own.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, keep: int | None = None):
         self.spark, self.root = spark, root.rstrip("/")
+        self.keep = None if keep is None else max(2, keep)
 
     def path(self, version: int) -> str:
         return f"{self.root}/snapshot={version}"
@@ -91,4 +80,8 @@ class SnapshotTable:
 
     def write(self, df: DataFrame, version: int, partition_by: tuple[str, ...] = ()) -> DataFrame:
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(version))
+        if self.keep is not None:
+            for old in [v for v in self.versions() if v <= version][: -self.keep]:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(old))
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return self.spark.read.parquet(self.path(version))

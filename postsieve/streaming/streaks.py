@@ -1,8 +1,10 @@
 """Failure streaks per source over a fetch log, in batch and in micro-batches.
 
 A source's log is cut into chunks of its order.  Each chunk is scanned on its
-own; only one summary row per chunk is ordered per source.  A source that holds
-a large part of the log is thus spread over as many tasks as it has chunks.
+own, once, and the scanned rows are written; the summaries of chunks, the rows'
+streaks and the end states all come from that table.  Only one summary row per
+chunk is ordered per source, so a source that holds a large part of the log is
+spread over as many tasks as it has chunks.
 """
 
 from __future__ import annotations
@@ -13,30 +15,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from postsieve.plans.durable import SnapshotTable
+from postsieve.plans.durable import SnapshotTable, written
 
 STATE = "streak bigint, tripped boolean"
 
 
-def _local(log: DataFrame, key: str, ok: Column, order: Sequence[str], chunk: Column) -> DataFrame:
-    """Position and streak of every row inside its own chunk."""
+def _scanned(log: DataFrame, key: str, ok: Column, order: Sequence[str], chunk: Column) -> DataFrame:
+    """Position, streak and longest streaks so far of every row inside its own chunk, as a written table."""
     scan = Window.partitionBy(key, "_chunk").orderBy(*order)
     rows = log.withColumns({"_chunk": chunk, "_ok": F.coalesce(ok, F.lit(False))})
     rows = rows.withColumn("_n", F.row_number().over(scan))
     so_far = scan.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_last_ok", F.max(F.when(F.col("_ok"), F.col("_n"))).over(so_far))
-    return rows.withColumn("_run", F.col("_n") - F.coalesce("_last_ok", F.lit(0)))
+    rows = rows.withColumn("_run", F.col("_n") - F.coalesce("_last_ok", F.lit(0)))
+    before_ok = F.col("_last_ok").isNull()
+    longest = lambda test: F.coalesce(F.max(F.when(test, F.col("_run"))).over(so_far), F.lit(0))
+    return written(rows.withColumns({"_lead": longest(before_ok), "_inner": longest(~before_ok)}))
 
 
 def _chunk_carry(rows: DataFrame, key: str, threshold: int, state: DataFrame | None) -> DataFrame:
     """Per chunk: the streak and trip flag it starts with and ends with."""
-    before_ok = F.col("_last_ok").isNull()
     chunks = rows.groupBy(key, "_chunk").agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.max(F.when(before_ok, F.col("_run"))), F.lit(0)).alias("lead"),
+        F.max("_lead").alias("lead"),
         F.max_by("_run", "_n").alias("tail"),
-        F.every(before_ok).alias("all_failed"),
-        F.coalesce(F.max(F.when(~before_ok, F.col("_run"))), F.lit(0)).alias("inner"),
+        F.every(F.col("_last_ok").isNull()).alias("all_failed"),
+        F.max("_inner").alias("inner"),
     )
     if state is not None:
         # The state before the log is one more chunk, which sorts first.
@@ -64,6 +68,22 @@ def _chunk_carry(rows: DataFrame, key: str, threshold: int, state: DataFrame | N
     })
 
 
+def _with_streaks(rows: DataFrame, chunks: DataFrame, key: str, threshold: int, columns: Sequence[str]) -> DataFrame:
+    """Scanned rows with what their chunk starts with: a join with one row per chunk, and no window."""
+    rows = rows.join(chunks.select(key, "_chunk", "carry_in", "tripped_in"), [key, "_chunk"])
+    from_before = F.when(F.col("_last_ok").isNull(), F.col("carry_in")).otherwise(F.lit(0))
+    over = (F.col("_inner") >= threshold) | (F.col("_lead") > 0) & (F.col("_lead") + F.col("carry_in") >= threshold)
+    return rows.select(
+        *columns, (F.col("_run") + from_before).cast("bigint").alias("streak"), (F.col("tripped_in") | over).alias("tripped"))
+
+
+def _end(chunks: DataFrame, key: str) -> DataFrame:
+    place = F.struct(F.col("_chunk").isNotNull(), F.col("_chunk"))
+    return chunks.groupBy(key).agg(
+        F.max_by("carry_out", place).alias("streak"), F.max("tripped_out").alias("tripped")
+    )
+
+
 def failure_streaks(
     log: DataFrame,
     key: str,
@@ -75,20 +95,12 @@ def failure_streaks(
 ) -> DataFrame:
     """Add ``streak`` (failures in a row up to the row) and ``tripped`` (sticky).
 
-    ``chunk`` must not decrease along ``order``, for instance the day of the
-    time stamp that leads the order.
+    ``chunk`` must not decrease along ``order``, for instance the hour of the
+    time stamp that leads the order; a chunk of one source is one task's work.
     """
     threshold = max(1, threshold)
-    rows = _local(log, key, ok, order, chunk)
-    carry = _chunk_carry(rows, key, threshold, state).select(key, "_chunk", "carry_in", "tripped_in")
-    scan = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    rows = rows.join(carry, [key, "_chunk"])
-    from_before = F.when(F.col("_last_ok").isNull(), F.col("carry_in")).otherwise(F.lit(0))
-    rows = rows.withColumn("streak", (F.col("_run") + from_before).cast("bigint"))
-    over = F.max(F.col("streak") >= threshold).over(scan)
-    return rows.withColumn("tripped", F.col("tripped_in") | over).select(*log.columns, "streak", "tripped")
+    rows = _scanned(log, key, ok, order, chunk)
+    return _with_streaks(rows, _chunk_carry(rows, key, threshold, state), key, threshold, log.columns)
 
 
 def end_state(
@@ -101,12 +113,7 @@ def end_state(
     state: DataFrame | None = None,
 ) -> DataFrame:
     """Streak and trip flag of every source after its last row."""
-    threshold = max(1, threshold)
-    chunks = _chunk_carry(_local(log, key, ok, order, chunk), key, threshold, state)
-    place = F.struct(F.col("_chunk").isNotNull(), F.col("_chunk"))
-    return chunks.groupBy(key).agg(
-        F.max_by("carry_out", place).alias("streak"), F.max("tripped_out").alias("tripped")
-    )
+    return _end(_chunk_carry(_scanned(log, key, ok, order, chunk), key, max(1, threshold), state), key)
 
 
 def start_streaks(
@@ -125,12 +132,14 @@ def start_streaks(
     State and output are stored under the batch number, so a batch that is run
     again after a failure reads the state before it and replaces its output.
     """
+    threshold = max(1, threshold)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = state.read(before=batch_id)
-        args = (key, ok, order, chunk, threshold, before)
-        failure_streaks(batch, *args).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        state.write(end_state(batch, *args), batch_id)
+        rows = _scanned(batch, key, ok, order, chunk)
+        chunks = written(_chunk_carry(rows, key, threshold, state.read(before=batch_id)))
+        streaks = _with_streaks(rows, chunks, key, threshold, batch.columns)
+        streaks.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        state.write(_end(chunks, key), batch_id)
 
     return (
         stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
