@@ -26,8 +26,10 @@ from postsieve.functions.similarity import (
     block_key,
     fingerprint,
     joined,
+    letter_counts,
     may_be_similar,
     sketch,
+    still_similar,
     token_set_ratio,
     tokens,
     word_sketch,
@@ -56,10 +58,10 @@ def records(df: DataFrame, block: Column | None = None) -> DataFrame:
 
 
 def _features(recs: DataFrame) -> DataFrame:
-    text = recs.withColumn("_joined", joined(F.col("words")))
+    text = recs.withColumn("text", joined(F.col("words"))).withColumn("letters", letter_counts(F.col("text")))
     return text.select(
-        "id", "block", F.col("_joined").alias("text"), F.length("_joined").alias("size"),
-        *sketch(F.col("_joined")), *word_sketch(F.col("words")),
+        "id", "block", "text", F.length("text").alias("size"), "letters",
+        *sketch(F.col("letters")), *word_sketch(F.col("words")),
     )
 
 
@@ -67,7 +69,7 @@ def _bytes_of(df: DataFrame) -> tuple[int, int]:
     """Row count and an upper estimate of the rows' size in memory."""
     row = df.agg(
         F.count(F.lit(1)),
-        F.coalesce(F.sum(F.octet_length("text") + F.lit(256)), F.lit(0)),
+        F.coalesce(F.sum(F.octet_length("text") + F.lit(512)), F.lit(0)),
     ).first()
     return row[0], row[1]
 
@@ -105,7 +107,7 @@ def _similar(
     else:
         left, right = _spread_blocks(left, right, n_right)
         keys.append("tile")
-    test = may_be_similar("a", "b", threshold)
+    test = may_be_similar("a", "b", threshold) & still_similar("a", "b", threshold)
     for key in keys:
         test = (F.col(f"a.{key}") == F.col(f"b.{key}")) & test
     if ordered:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from catalog import inputs as I
 from catalog import queries as Q
 from postsieve.operators import gates, history, normalize, publish, score
-from postsieve.plans.durable import ensure_checkpoint_dir
+from postsieve.plans import publication
+from postsieve.plans.durable import SnapshotTable, ensure_checkpoint_dir
 from postsieve.policy import Policy
 from postsieve.schema import conform, pack_seq
 from postsieve.sources import agency, listings
+from postsieve.streaming import streaks
 
 SF = "/root/testdata/sf0.001"
 P = Policy()
@@ -106,3 +108,31 @@ def test_dates_written_per_run(spark, tmp_path):
     publish.write_sheets(rows.limit(3), "2024-01-11", out)
     got = {(r.run_date, r.sheet): r["count"] for r in spark.read.parquet(out).groupBy("run_date", "sheet").count().collect()}
     assert got[dt.date(2024, 1, 10), "All Open"] == 200 and got[dt.date(2024, 1, 11), "All Open"] == 3
+
+
+def test_streaks_scan_the_log_once(spark):
+    log = Q._log(spark, SF)
+    rows = streaks.failure_streaks(log, "user_id", F.col("ok"), ("ts", "event_id"), F.date_trunc("hour", F.col("ts")))
+    assert not any("events.parquet" in f for f in rows.inputFiles())
+
+
+def test_old_copies_are_removed(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"), keep=2)
+    for version in (1, 2, 3, 4):
+        table.write(spark.range(version), version)
+    assert table.versions() == [3, 4] and table.read(before=4).count() == 3
+    table.write(spark.range(7), 4)
+    assert table.versions() == [3, 4] and table.read().count() == 7
+
+
+def test_recheck_of_a_store(spark, tmp_path):
+    store = SnapshotTable(spark, str(tmp_path / "h"))
+    with pytest.raises(ValueError):
+        publication.recheck_store(spark, P, store, "2024-01-12", 2)
+    store.write(Q.recheck_base(spark, SF), 1)
+    dry = publication.recheck_store(spark, P, store, "2024-01-12", 2, str(tmp_path / "out"), dry_run=True)
+    assert store.versions() == [1] and not (tmp_path / "out").exists()
+    wet = publication.recheck_store(spark, P, store, "2024-01-12", 2, str(tmp_path / "out"))
+    assert store.versions() == [1, 2] and sorted(dry.collect()) == sorted(wet.collect())
+    dismissed = store.read().filter("status = 'dismissed'").count()
+    assert dismissed == wet.count() > 0
