@@ -1,12 +1,13 @@
 """Scoring by cross-entropy difference (operator 8).
 
-Two bigram models with one vocabulary, one smoothing and tables of one size: the target model counts the documents
-labelled good, the background model counts all documents. A document's score is the mean over its tokens of the
-target's loss less the background's: the lower, the more it is like the target.
+Two bigram models with one smoothing: the target model counts the documents labelled good, the background model counts
+all documents. A document's score is the mean over its tokens of the target's loss less the background's: the lower,
+the more it is like the target.
 
-The vocabulary holds the most frequent words of the whole corpus, every other word is one token. Bigrams are counted
-in a table of hashed pairs. Word counts and tables are gathered from all rows: each task sends its sums, which are
-added up in Spark, in two levels so that no task reads what all tasks have sent for a block.
+Every word and every pair of words is counted exactly, in Spark tables that grow with the corpus; nothing of them is
+gathered anywhere. A scan cuts the documents into chunks, and each chunk sends its distinct pairs once: they are added up
+by pair, joined to the counts of their two words, and the losses go back to the chunks that hold them, where each
+document's mean is taken. A pair has one row for each chunk, so frequent pairs and words do not follow the tokens.
 
 Cases: null and empty texts have no tokens, null losses and a null score; documents without a label are background
 only; several labels for one id count as good if any is; without target documents the target model is uniform;
@@ -15,165 +16,155 @@ repeated rows count as often; an empty table gives an empty result; extra column
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import pieces
+from postsieve.plans.durable import written
 
-#: Words with an id of their own; id 0 is any other word, id 1 the start of a text.
+#: Words that the smoothing allows for, if the corpus has no more.
 VOCABULARY = 1 << 16
-PAIR_BITS = 20
-PAIRS = 1 << PAIR_BITS
 #: Share of the bigram estimate where its first word is known, and what is added to word counts.
 BIGRAM_WEIGHT = 0.6
 SMOOTHING = 0.5
-#: Words a task counts before it passes its counts on.
-HELD_WORDS = 400_000
-#: Table entries sent together, and groups of tasks that are summed first.
-BLOCK = 4096
-GROUPS = 64
-
-
-def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[str] = Counter()
-    for piece in pieces(batches):
-        for text in piece.column("text").to_pylist():
-            held.update((text or "").lower().split())
-        if len(held) > HELD_WORDS:
-            yield _counted(held)
-            held = Counter()
-    if held:
-        yield _counted(held)
-
-
-def _counted(held: Counter[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-
-
-def vocabulary(rows: DataFrame) -> dict[str, int]:
-    """Ids of the most frequent words; ties go by the word."""
-    counts = rows.select("text").mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 2).select("word").toArrow().column("word").to_pylist()
-    return {word: i for i, word in enumerate(top, 2)}
-
-
-def token_ids(text: str | None, ids: dict[str, int]) -> np.ndarray:
-    words = (text or "").lower().split()
-    return np.fromiter(map(ids.get, words, repeat(0)), np.int64, len(words))
-
-
-def pairs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each token, and the table entry of the two."""
-    before = np.append(1, tokens[:-1])
-    mixed = (before.astype(np.uint64) << np.uint64(32) | tokens.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return before, (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
-def _table_counts(batches: Iterable[pa.RecordBatch], ids: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """Sums of a task: words and pairs behind each other, for the background and for the target."""
-    sums = np.zeros((2, VOCABULARY + PAIRS), np.int64)
+#: Tokens of a chunk, apart from its last document.
+CHUNK_TOKENS = 2_000_000
+#: Rows sent together.
+SENT_ROWS = 50_000
+
+CHUNKS = "chunk bigint, at int, pair string, n bigint, good bigint, doc_id bigint, tokens binary"
+
+
+class _Ids(dict[str, int]):
+    """Numbers in order of arrival."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class _Chunk:
+    """Documents and their tokens; word 0 is the start of a text."""
+
+    def __init__(self, number: int):
+        self.number, self.ids = number, _Ids({"": 0})
+        self.docs: list[int | None] = []
+        self.good: list[bool] = []
+        self.tokens: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, doc_id: int | None, text: str | None, good: bool) -> None:
+        words = (text or "").lower().split()
+        self.docs.append(doc_id)
+        self.good.append(good)
+        self.tokens.append(np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)))
+        self.held += len(words)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """The distinct pairs in order of ``at`` with their counts, then the documents with the ``at`` of each token."""
+        sizes = np.array([len(t) for t in self.tokens])
+        after = np.concatenate(self.tokens)
+        before = np.append(0, after)[:-1]
+        ends = np.cumsum(sizes)
+        before[(ends - sizes)[sizes > 0]] = 0
+        both, at, n = np.unique(before << 32 | after, return_inverse=True, return_counts=True)
+        good = np.bincount(at[np.repeat(np.array(self.good, bool), sizes)], minlength=len(both))
+        names = list(self.ids)
+        for a in range(0, len(both), SENT_ROWS):
+            cut = slice(a, a + SENT_ROWS)
+            pairs = [f"{names[p >> 32]} {names[p & 0xFFFFFFFF]}" for p in both[cut].tolist()]
+            yield self._batch(len(pairs), at=range(a, a + len(pairs)), pair=pairs, n=n[cut], good=good[cut])
+        at = at.astype(np.int32)
+        first = 0
+        for i in range(1, len(self.docs) + 1):
+            if i == len(self.docs) or i - first == SENT_ROWS or ends[i] - ends[first] > SENT_ROWS * 10:
+                tokens = [at[e - k:e].tobytes() for e, k in zip(ends[first:i].tolist(), sizes[first:i].tolist(), strict=True)]
+                yield self._batch(i - first, doc_id=self.docs[first:i], tokens=tokens)
+                first = i
+
+    def _batch(self, size: int, **columns) -> pa.RecordBatch:
+        kinds = {"chunk": pa.int64(), "at": pa.int32(), "pair": pa.string(), "n": pa.int64(), "good": pa.int64(), "doc_id": pa.int64(), "tokens": pa.binary()}
+        columns["chunk"] = np.full(size, self.number)
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in kinds.items()], names=list(kinds))
+
+
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
+    chunk = _Chunk(number)
     for piece in pieces(batches):
-        for text, good in zip(piece.column("text").to_pylist(), piece.column("good").to_pylist(), strict=True):
-            tokens = token_ids(text, ids)
-            if len(tokens):
-                at = np.concatenate([tokens, VOCABULARY + pairs(tokens)[1]])
-                for model in range(1 + bool(good)):
-                    np.add.at(sums[model], at, 1)
-    group = TaskContext.get().partitionId() % GROUPS
-    yield from _sent(((model, block, sums[model, block * BLOCK:(block + 1) * BLOCK])
-                      for model in range(2) for block in range(sums.shape[1] // BLOCK)), group)
-
-
-def _sent(parts: Iterable[tuple[int, int, np.ndarray]], group: int) -> Iterator[pa.RecordBatch]:
-    rows = [(model, block, group, part.tobytes()) for model, block, part in parts if part.any()]
-    if rows:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-            names=["model", "block", "part", "counts"])
-
-
-def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[int, int], np.ndarray] = {}
+        for row in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "text", "good")), strict=True):
+            chunk.add(*row)
+            if chunk.held >= CHUNK_TOKENS:
+                yield from chunk.rows()
+                number += 1
+                chunk = _Chunk(number)
+    if chunk.docs:
+        yield from chunk.rows()
+
+
+def _loss(n: str, of: Column, before: str, size: int, words: int) -> Column:
+    """Loss of a pair that a model counts ``n`` times, its second word ``of`` times and its first ``before`` times."""
+    alone = (of + SMOOTHING) / (size + SMOOTHING * max(VOCABULARY, words))
+    known = F.coalesce(F.col(before), F.lit(0)) > 0
+    return -F.log(F.when(known, alone * (1 - BIGRAM_WEIGHT) + F.col(n) * BIGRAM_WEIGHT / F.col(before)).otherwise(alone))
+
+
+def pair_losses(chunks: DataFrame) -> DataFrame:
+    """Every pair of the corpus with its ``near`` (target) and ``far`` (background) loss."""
+    counts = written(chunks.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).select(
+        "pair", F.substring_index("pair", " ", 1).alias("before"), F.substring_index("pair", " ", -1).alias("word"), "n", "good"))
+    words = written(counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
+    size = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    after = words.select("word", F.col("n").alias("of_n"), F.col("good").alias("of_good"))
+    first = words.select(F.col("word").alias("before"), F.col("n").alias("before_n"), F.col("good").alias("before_good"))
+    joined = counts.join(after, "word").join(first, "before", "left")
+    return joined.select(
+        "pair", _loss("good", F.col("of_good"), "before_good", size[2], size[0]).alias("near"),
+        _loss("n", F.col("of_n"), "before_n", size[1], size[0]).alias("far"))
+
+
+def _scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by chunk: the losses of its pairs in order, then its documents."""
+    place, held, losses = None, [], np.empty((2, 0))
     for batch in batches:
-        for model, block, counts in zip(*(batch.column(c).to_pylist() for c in ("model", "block", "counts")), strict=True):
-            part = np.frombuffer(counts, np.int64)
-            held[model, block] = held[model, block] + part if (model, block) in held else part
-    yield from _sent(((*k, v) for k, v in held.items()), 0)
-
-
-SENT = "model int, block int, part int, counts binary"
-
-
-@dataclass(frozen=True)
-class Bigrams:
-    """Counts as probabilities and a scale: p = first[word] * (1 - w) + pair * scale[before] with w the bigram weight."""
-
-    words: np.ndarray
-    rest: np.ndarray
-    pairs: np.ndarray
-    scale: np.ndarray
-
-    @staticmethod
-    def of(counts: np.ndarray) -> Bigrams:
-        words = counts[:VOCABULARY].astype(np.float64)
-        contexts = words.copy()
-        # every text starts once; its start is a context too, counted by what the pairs hold beyond the words
-        contexts[1] = 0
-        known = contexts > 0
-        weight = np.where(known, BIGRAM_WEIGHT, 0.0)
-        return Bigrams(
-            ((words + SMOOTHING) / (words.sum() + SMOOTHING * VOCABULARY)).astype(np.float32), (1 - weight).astype(np.float32),
-            counts[VOCABULARY:].astype(np.float32), (weight / np.maximum(contexts, 1)).astype(np.float32))
-
-    def losses(self, tokens: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        return -np.log(self.words[tokens] * self.rest[before] + self.pairs[pair] * self.scale[before])
-
-
-def train(rows: DataFrame, ids: dict[str, int]) -> tuple[Bigrams, Bigrams]:
-    """Background and target model from rows (text, good)."""
-    shared = rows.sparkSession.sparkContext.broadcast(ids)
-    sent = rows.mapInArrow(lambda batches: _table_counts(batches, shared.value), SENT)
-    for key in (("model", "block", "part"), ("model", "block")):
-        sent = sent.repartition(*key).mapInArrow(_added, SENT)
-    counts = np.zeros((2, VOCABULARY + PAIRS), np.int64)
-    for r in sent.collect():
-        counts[r.model, r.block * BLOCK:(r.block + 1) * BLOCK] += np.frombuffer(r.counts, np.int64)
-    return Bigrams.of(counts[0]), Bigrams.of(counts[1])
-
-
-def _scores(batches: Iterable[pa.RecordBatch], ids: dict[str, int], background: Bigrams, target: Bigrams) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches):
+        chunk = batch.column("chunk").to_numpy()
+        pair = batch.column("tokens").is_null().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero((chunk[1:] != chunk[:-1]) | (pair[1:] != pair[:-1])) + 1
         rows = []
-        for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
-            tokens = token_ids(text, ids)
-            if len(tokens):
-                before, pair = pairs(tokens)
-                near, far = (float(m.losses(tokens, before, pair).mean(dtype=np.float64)) for m in (target, background))
-                rows.append((doc_id, len(tokens), near, far, near - far))
-            else:
-                rows.append((doc_id, 0, None, None, None))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)],
-            names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(chunk)], strict=True):
+            part = batch.slice(a, z - a)
+            if chunk[a] != place:
+                place, held, losses = chunk[a], [], np.empty((2, 0))
+            if pair[a]:
+                held.append(np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("near", "far")]))
+                continue
+            if held:
+                losses, held = np.concatenate([losses, *held], axis=1), []
+            for doc_id, tokens in zip(part.column("doc_id").to_pylist(), part.column("tokens").to_pylist(), strict=True):
+                at = np.frombuffer(tokens, np.int32)
+                near, far = losses[:, at].mean(1).tolist() if len(at) else (None, None)
+                rows.append((doc_id, len(at), near, far, near - far if len(at) else None))
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)],
+                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss, score."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("good_id")).distinct()
-    ids = vocabulary(rows)
     # one plan at every size: the labels grow with the corpus, so they are not broadcast
-    marked = rows.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
-    models = train(marked, ids)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, *models))
-    return rows.mapInArrow(
-        lambda batches: _scores(batches, *shared.value),
-        "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    marked = rows.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("good"))
+    chunks = written(marked.mapInArrow(_chunks, CHUNKS))
+    back = chunks.where("pair is not null").select("chunk", "at", "pair").join(pair_losses(chunks), "pair").select(
+        "chunk", "at", "near", "far", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("binary").alias("tokens"))
+    held = chunks.where("pair is null").select(
+        "chunk", F.lit(None).cast("int").alias("at"), F.lit(None).cast("double").alias("near"), F.lit(None).cast("double").alias("far"), "doc_id", "tokens")
+    placed = back.unionAll(held).repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_last("at"))
+    return placed.mapInArrow(_scores, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")

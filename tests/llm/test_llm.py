@@ -496,6 +496,30 @@ def test_scores_equal_brute_force(spark, odd, none):
     assert scoring.score(odd, labels.limit(0)).count() == len(TEXTS)
 
 
+def test_scores_count_every_word_and_pair(spark, monkeypatch):
+    """More words than 2^16 and more pairs than 2^20, over several chunks: each keeps counts of its own."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(70_000)]
+    rows = [(0, "rare0 rare1 rare2"), (1, "rare0 rare1 rare3"), (2, "a a a a")] + [(i, " ".join(r.choices(words, k=6000))) for i in range(3, 203)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 100, 2)], "doc_id bigint, quality int")
+    monkeypatch.setattr(scoring, "CHUNK_TOKENS", 20_000)
+    one, two = Counter(), Counter()
+    for _, t in rows:
+        seq = t.split()
+        one.update(seq)
+        two.update(zip(seq, seq[1:]))
+    assert len(one) > 1 << 16 and len(two) > 1 << 20
+    total = sum(one.values()) + scoring.SMOOTHING * len(one)
+    got = {x.doc_id: x for x in scoring.score(docs, labels).collect()}
+    assert len(got) == len(rows)
+    for i in (0, 1, 2, 3, 100, 202):
+        seq = rows[i][1].split()
+        p = [(one[w] + scoring.SMOOTHING) / total for w in seq]
+        p[1:] = [(1 - scoring.BIGRAM_WEIGHT) * q + scoring.BIGRAM_WEIGHT * two[v, w] / one[v] for q, v, w in zip(p[1:], seq, seq[1:])]
+        assert abs(got[i].background_loss + sum(map(np.log, p)) / len(seq)) < 1e-9
+
+
 # 9: lines
 
 
