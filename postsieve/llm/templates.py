@@ -7,7 +7,9 @@ equal words, if that is ``ALIKE`` or more, and words that differ become variable
 
 Shuffled are hashes, and the lines of recurring leaves once. Which leaves recur is exact; the scan that fetches their
 lines looks them up in a bitmap of fixed size, which lets a few more pass and none less. Equal lines are merged before
-they are shuffled. A crowded leaf is divided by the last word of its lines, so a task holds ``LEAF_LINES`` at a time.
+they are shuffled. A leaf is merged whole, as its templates follow from its lines in order: its task holds templates, not
+lines, and compares a line only with the templates that agree with it in one of so many blocks of words that every
+template alike does.
 
 Cases: null and empty texts have no lines to drop; lines of fewer than ``LEAST_WORDS`` words stay; a line that a
 document repeats counts once for it; rows that repeat id and text count as documents of their own and get equal
@@ -16,8 +18,10 @@ answers; an empty table gives an empty result; extra columns are ignored; long t
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +36,8 @@ DEPTH = 3
 ALIKE = 0.75
 LEAST_DOCS = 3
 LEAST_WORDS = 3
-#: Distinct lines of a leaf, or of a division of it, that are merged at a time.
+#: Merged lines that are handed on together.
 LEAF_LINES = 8192
-DIVISIONS = 64
 #: Bits of the bitmap of recurring leaves: 512 parts of 32,768.
 LEAF_BITS = 1 << 24
 FIELD = "<*>"
@@ -73,66 +76,88 @@ def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lines(batches: Iterable[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches):
-        found: dict[int, tuple[int, str, int]] = {}
+        found: dict[int, tuple[int, str]] = {}
         for text in piece.column("text").to_pylist():
             for _, leaf, pattern, words in parse(text or ""):
                 bit = leaf % LEAF_BITS
                 if bitmap[bit >> 3] >> (bit & 7) & 1 and pattern not in found:
-                    found[pattern] = (leaf, " ".join(words), _hash(words[-1]))
+                    found[pattern] = (leaf, " ".join(words))
         if found:
-            leaf, line, last = zip(*found.values(), strict=True)
+            leaf, line = zip(*found.values(), strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf, pa.int64()), pa.array(found.keys(), pa.int64()), pa.array(line, pa.string()), pa.array(last, pa.int64())],
-                names=["leaf", "pattern", "line", "last"])
-
-
-def merge(lines: list[str]) -> list[tuple[int, str]]:
-    """For lines of one length, in order: position of the line that opened its template, and the template."""
-    words: dict[str, int] = {FIELD: 0}
-    rows = np.array([[words.setdefault(w, len(words)) for w in line.split()] for line in lines])
-    templates, opened, joined = np.empty_like(rows), [], []
-    for at, row in enumerate(rows):
-        if opened:
-            equal = (templates[:len(opened)] == row).mean(1)
+                [pa.array(leaf, pa.int64()), pa.array(found.keys(), pa.int64()), pa.array(line, pa.string())],
+                names=["leaf", "pattern", "line"])
+
+
+class Leaf:
+    """The templates of lines of one length that share their first words, which come in order."""
+
+    def __init__(self, size: int):
+        self.names: dict[str, int] = {FIELD: 0}
+        self.templates, self.opened = np.zeros((4, size), np.int64), []
+        # a template alike differs in so many words at most, all behind the shared ones: one block is equal
+        apart, start = size - math.ceil(ALIKE * size), min(DEPTH, size)
+        cuts = [start + (size - start) * i // (apart + 1) for i in range(apart + 2)]
+        self.blocks = [slice(a, z) for a, z in zip(cuts, cuts[1:])]
+        self.found: dict[tuple[int, bytes], list[int]] = {}
+
+    def add(self, pattern: int, words: list[str]) -> int:
+        """The pattern that opened the line's template."""
+        row = np.array([self.names.setdefault(w, len(self.names)) for w in words])
+        keys = self._keys(row)
+        at = np.fromiter(set().union(*(self.found.get(k, ()) for k in keys)), np.int64)
+        if at.size:
+            at.sort()
+            equal = (self.templates[at] == row).mean(1)
             best = int(equal.argmax())
             if equal[best] >= ALIKE:
-                templates[best] = np.where(templates[best] == row, row, 0)
-                joined.append(best)
-                continue
-        templates[len(opened)] = row
-        joined.append(len(opened))
-        opened.append(at)
-    names = list(words)
-    texts = [" ".join(names[w] for w in t) for t in templates[:len(opened)]]
-    return [(opened[t], texts[t]) for t in joined]
+                best = int(at[best])
+                old = self._keys(self.templates[best])
+                self.templates[best] = np.where(self.templates[best] == row, row, 0)
+                for was, now in zip(old, self._keys(self.templates[best]), strict=True):
+                    if was != now:
+                        self.found[was].remove(best)
+                        self.found.setdefault(now, []).append(best)
+                return self.opened[best]
+        if len(self.opened) == len(self.templates):
+            self.templates = np.concatenate([self.templates, np.zeros_like(self.templates)])
+        self.templates[len(self.opened)] = row
+        for k in keys:
+            self.found.setdefault(k, []).append(len(self.opened))
+        self.opened.append(pattern)
+        return pattern
+
+    def _keys(self, row: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(i, row[b].tobytes()) for i, b in enumerate(self.blocks)]
+
+    def rows(self) -> Iterator[tuple[None, int, str]]:
+        names = list(self.names)
+        for pattern, template in zip(self.opened, self.templates):
+            yield None, pattern, " ".join(names[w] for w in template)
 
 
 def _templates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by leaf and division, lines in order."""
-    held: list[tuple[int, str]] = []
-    place = None
-
-    def merged() -> pa.RecordBatch:
-        found = merge([line for _, line in held]) if len(held) > 1 else [(0, held[0][1])]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _ in held], pa.int64()), pa.array([held[at][0] for at, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())],
+    """Rows come by leaf, lines in order. First a row for each line, then one for each template, with its words."""
+
+    def merged() -> Iterator[tuple[int | None, int, str | None]]:
+        leaf, place = None, None
+        for batch in batches:
+            for now, size, pattern, line in zip(*(batch.column(c).to_pylist() for c in ("leaf", "size", "pattern", "line")), strict=True):
+                # two leaves with one hash differ in their number of words
+                if (now, size) != place:
+                    if leaf:
+                        yield from leaf.rows()
+                    leaf, place = Leaf(size), (now, size)
+                yield pattern, leaf.add(pattern, line.split(" ")), None
+        if leaf:
+            yield from leaf.rows()
+
+    rows = merged()
+    while some := list(islice(rows, LEAF_LINES)):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*some, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)],
             names=["pattern", "template", "words"])
 
-    for batch in batches:
-        done = []
-        for leaf, division, pattern, line in zip(*(batch.column(c).to_pylist() for c in ("leaf", "division", "pattern", "line")), strict=True):
-            # two leaves with one hash differ in their number of words
-            now = (leaf, division, line.count(" "))
-            if held and (now != place or len(held) >= LEAF_LINES):
-                done.append(merged())
-                held = []
-            place = now
-            held.append((pattern, line))
-        if done:
-            yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
-    if held:
-        yield merged()
-
 
 def _bitmap(leaves: DataFrame) -> np.ndarray:
     """One bit for each recurring leaf: at most 512 parts of 4 KiB reach the driver."""
@@ -151,17 +176,15 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = written(docs.mapInArrow(_marks, "key binary, number int, leaf bigint, pattern bigint, first boolean"))
     leaves = marks.groupBy("leaf").agg(F.count_if("first").alias("documents")).where(F.col("documents") >= LEAST_DOCS)
     bitmap = spark.sparkContext.broadcast(_bitmap(leaves))
-    lines = docs.select("text").mapInArrow(lambda batches: _lines(batches, bitmap.value), "leaf bigint, pattern bigint, line string, last bigint")
-    distinct = written(lines.groupBy("pattern", "leaf", "line", "last").agg(F.lit(1).alias("one")).drop("one"))
-    crowded = distinct.groupBy("leaf").agg(F.count("*").alias("held")).where(F.col("held") > LEAF_LINES)
-    placed = distinct.join(crowded, "leaf", "left").withColumn(
-        "division", F.when(F.col("held").isNull(), F.lit(0)).otherwise(F.pmod("last", F.lit(DIVISIONS)).cast("int")))
-    ordered = placed.select("leaf", "division", "pattern", "line").repartition("leaf", "division").sortWithinPartitions("leaf", "division", "line")
+    lines = docs.select("text").mapInArrow(lambda batches: _lines(batches, bitmap.value), "leaf bigint, pattern bigint, line string")
+    distinct = lines.groupBy("pattern", "leaf", "line").agg(F.lit(1).alias("one"))
+    sized = distinct.select("leaf", F.size(F.split("line", " ")).alias("size"), "pattern", "line")
+    ordered = sized.repartition("leaf", "size").sortWithinPartitions("leaf", "size", "line")
     templates = written(ordered.mapInArrow(_templates, "pattern bigint, template bigint, words string"))
-    seen = marks.join(templates.select("pattern", "template"), "pattern").select("template", "key", "number")
+    seen = marks.join(templates.where(F.col("pattern").isNotNull()).select("pattern", "template"), "pattern").select("template", "key", "number")
     counted = seen.groupBy("template", "key").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("documents"))
     often = written(counted.where(F.col("documents") >= LEAST_DOCS))
-    named = templates.where(F.col("pattern") == F.col("template")).join(often, "template").select("template", "words", "documents")
+    named = templates.where(F.col("pattern").isNull()).join(often, "template").select("template", "words", "documents")
     return named, seen.join(often, "template").select("key", "number")
 
 

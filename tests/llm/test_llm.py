@@ -576,6 +576,20 @@ def test_crowded_leaves_are_divided(spark, monkeypatch):
     assert all(list(r.dropped) == [0] for r in templates.drop_recurring_lines(df).collect())
 
 
+def test_a_leaf_above_the_bound_is_merged_whole(spark, monkeypatch):
+    """Last words vary without a digit, so no two lines of a template end alike."""
+    monkeypatch.setattr(templates, "LEAF_LINES", 16)
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("bcdfghjklm", k=6))
+    texts = [f"alpha beta gamma user {x} logged in from {word()}" for x in ("anna", "bert", "carl") for _ in range(2 + templates.LEAST_DOCS)]
+    texts += [f"alpha beta gamma {word()} {word()} {word()} {word()} {word()} {word()}" for _ in range(300)]
+    texts += [f"alpha beta gamma {r.choice('xyz')} {r.choice('xyz')} {r.choice('xyz')} {r.choice('xyz')} {word()} {word()}" for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {x.doc_id: list(x.dropped) for x in templates.drop_recurring_lines(df).collect()}
+    want = brute_templates(texts)
+    assert [got[i] for i in range(len(texts))] == want and want[0] == [0] and [] in want
+
+
 # 10: token records
 
 
