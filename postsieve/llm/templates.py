@@ -26,6 +26,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from postsieve.plans.durable import written
 
 DEPTH = 3
 ALIKE = 0.75
-LEAST_DOCS = 3
+LEAST_DOCS = 2
 LEAST_WORDS = 3
 #: Merged lines that are handed on together.
 LEAF_LINES = 8192
@@ -61,17 +62,19 @@ def _hash(text: str) -> int:
 
 
 def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row = TaskContext.get().partitionId() << 40
     for piece in pieces(batches):
         rows = []
         for key, text in zip(piece.column("key").to_pylist(), piece.column("text").to_pylist(), strict=True):
             seen: set[int] = set()
+            row += 1
             for number, leaf, pattern, _ in parse(text or ""):
-                rows.append((key, number, leaf, pattern, leaf not in seen))
+                rows.append((key, row, number, leaf, pattern, leaf not in seen))
                 seen.add(leaf)
         if rows:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)],
-                names=["key", "number", "leaf", "pattern", "first"])
+                [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)],
+                names=["key", "row", "number", "leaf", "pattern", "first"])
 
 
 def _lines(batches: Iterable[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -173,7 +176,7 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From rows (key, text): the recurring templates (template, words, documents), and the lines to drop
     (key, number)."""
     spark = docs.sparkSession
-    marks = written(docs.mapInArrow(_marks, "key binary, number int, leaf bigint, pattern bigint, first boolean"))
+    marks = written(docs.mapInArrow(_marks, "key binary, row bigint, number int, leaf bigint, pattern bigint, first boolean"))
     leaves = marks.groupBy("leaf").agg(F.count_if("first").alias("documents")).where(F.col("documents") >= LEAST_DOCS)
     bitmap = spark.sparkContext.broadcast(_bitmap(leaves))
     lines = docs.select("text").mapInArrow(lambda batches: _lines(batches, bitmap.value), "leaf bigint, pattern bigint, line string")
@@ -181,8 +184,9 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = distinct.select("leaf", F.size(F.split("line", " ")).alias("size"), "pattern", "line")
     ordered = sized.repartition("leaf", "size").sortWithinPartitions("leaf", "size", "line")
     templates = written(ordered.mapInArrow(_templates, "pattern bigint, template bigint, words string"))
-    seen = marks.join(templates.where(F.col("pattern").isNotNull()).select("pattern", "template"), "pattern").select("template", "key", "number")
-    counted = seen.groupBy("template", "key").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("documents"))
+    seen = marks.join(templates.where(F.col("pattern").isNotNull()).select("pattern", "template"), "pattern").select("template", "key", "row", "number")
+    # rows may repeat a key, and are documents of their own
+    counted = seen.groupBy("template", "row").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("documents"))
     often = written(counted.where(F.col("documents") >= LEAST_DOCS))
     named = templates.where(F.col("pattern").isNull()).join(often, "template").select("template", "words", "documents")
     return named, seen.join(often, "template").select("key", "number")

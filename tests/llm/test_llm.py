@@ -590,6 +590,16 @@ def test_a_leaf_above_the_bound_is_merged_whole(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want and want[0] == [0] and [] in want
 
 
+def test_two_documents_and_repeated_rows_recur(spark):
+    long = " ".join(["a", "passage", "of", "many", "words", *(chr(97 + i % 26) * 3 for i in range(60))])
+    copy = "no id but equal text here"
+    rows = [(1, f"{long}\nsomething only here"), (2, f"other words stand here\n{long}"), (3, "a line without any copy")]
+    rows += [(None, copy), (None, copy), (4, "one more of a kind"), (4, "one more of a kind")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = listed(templates.drop_recurring_lines(df), "doc_id", "dropped")
+    assert got == sorted([(1, [0]), (2, [1]), (3, []), (4, [0]), (4, [0]), (None, [0]), (None, [0])], key=repr)
+
+
 # 10: token records
 
 
