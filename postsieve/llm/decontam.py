@@ -1,15 +1,16 @@
 """Benchmark decontamination by the q-gram lemma (operator 5).
 
 Both sides are reduced to lower-case letters and digits with single spaces. A benchmark item is searched in windows of
-``WINDOW`` characters, so a part of it is found as well. A text within k edits of a window of m characters shares at
+``WINDOW`` characters that start every ``STEP``, so a part of it is found as well: one of ``WINDOW + STEP - 1`` characters
+(73) or more holds a whole window wherever it starts. A text within k edits of a window of m characters shares at
 least m + 1 - q(k + 1) q-grams with it, all of them in a band of k + 1 diagonals: hits are counted in overlapping
 diagonal bands, bands that reach the bound are kept, and each is verified by a banded alignment.
 
 The benchmark is the stated query set. It is gone through in blocks of a fixed size, each sent to the executors, so
 what is sent has a bound whatever the benchmark's size; documents are scanned where they lie, nothing is shuffled.
 
-Cases: null and empty texts hold nothing; benchmark items with fewer than ``LEAST`` characters are not searched, as
-they would be found in ordinary prose; equal items are reported one by one; repeated documents are reported as often;
+Cases: null and empty texts hold nothing; benchmark items with fewer than ``LEAST`` characters are searched as exact
+whole words; items without a letter or digit are in no text; equal items are reported one by one; repeated documents are reported as often;
 an empty table on either side gives an empty result; long texts are searched whole; extra columns are ignored.
 """
 
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 from postsieve.llm.common import pieces
 
 Q = 10
-WINDOW = 128
-STEP = 64
+WINDOW = 64
+STEP = Q
 LEAST = 40
 #: Edits allowed for each character of a window.
 RATE = 0.08
 #: Benchmark characters searched at a time.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 #: Document characters scanned at a time; the arrays of hashes take about 60 bytes for each.
 SCANNED_CHARS = 1_000_000
 #: Bits of the table that most q-grams of a text are looked up in first.
@@ -77,34 +78,40 @@ class Windows:
     first: np.ndarray
     window: np.ndarray
     place: np.ndarray
+    short: list[tuple[int, np.ndarray]]  # items that are searched as whole words, numbered behind the windows
 
     @staticmethod
     def of(rows: list[tuple[int, str]]) -> Windows | None:
-        items, cuts = [], []
+        items, cuts, short = [], [], []
         for item, text in rows:
             codes = normalised(text or "")
             if len(codes) < LEAST:
+                if (shown := np.flatnonzero(codes != 32)).size:
+                    short.append((item, codes[shown[0]:shown[-1] + 1]))
                 continue
             for at in {*range(0, max(len(codes) - WINDOW, 0) + 1, STEP), max(len(codes) - WINDOW, 0)}:
                 items.append(item)
                 cuts.append(codes[at:at + WINDOW])
-        if not cuts:
+        if not cuts and not short:
             return None
-        sizes = np.array([len(c) for c in cuts])
+        sizes = np.array([len(c) for c in cuts], np.int64)
         edits = np.minimum((RATE * sizes).astype(np.int64), (sizes - Q) // Q)
         filled = np.zeros((len(cuts), WINDOW), np.uint32)
         for i, c in enumerate(cuts):
             filled[i, :len(c)] = c
         grams = [gram_hashes(c) for c in cuts]
-        every = np.concatenate(grams)
-        window = np.repeat(np.arange(len(cuts)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams])
+        every = np.concatenate([np.empty(0, np.uint64), *grams])
+        window = np.repeat(np.arange(len(cuts)), np.array([len(g) for g in grams], np.int64))
+        place = np.concatenate([np.empty(0, np.int64), *[np.arange(len(g)) for g in grams]])
         order = np.argsort(every, kind="stable")
         hashes, first = np.unique(every[order], return_index=True)
         sieve = np.zeros(1 << SIEVE_BITS, bool)
         sieve[hashes >> np.uint64(64 - SIEVE_BITS)] = True
-        return Windows(np.array(items), filled, sizes, edits, sizes + 1 - Q * (edits + 1), sieve, hashes,
-                       np.append(first, len(every)), window[order], place[order])
+        return Windows(np.array(items, np.int64), filled, sizes, edits, sizes + 1 - Q * (edits + 1), sieve, hashes,
+                       np.append(first, len(every)), window[order], place[order], short)
+
+    def item(self, window: int) -> int:
+        return int(self.items[window]) if window < len(self.items) else self.short[window - len(self.items)][0]
 
 
 def search(texts: list[str | None], by: Windows) -> list[tuple[int, int, int, int]]:
@@ -141,7 +148,7 @@ def search(texts: list[str | None], by: Windows) -> list[tuple[int, int, int, in
     pair = row * len(by.items) + window
     first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, np.int64)
     rank = np.arange(len(pair)) - np.repeat(first, np.diff(np.append(first, len(pair))))
-    found, least, most = [], 0, 1
+    found, least, most = whole_words(line, starts, by), 0, 1
     while len(pair):
         now = np.flatnonzero((rank >= least) & (rank < most))
         if not len(now):
@@ -160,6 +167,35 @@ def search(texts: list[str | None], by: Windows) -> list[tuple[int, int, int, in
     return found
 
 
+def whole_words(line: np.ndarray, starts: np.ndarray, by: Windows) -> list[tuple[int, int, int, int]]:
+    """(row, number, 0, end) of every place of a short item, between spaces or ends of a text."""
+    found = []
+    wide = np.concatenate([[0], line, np.zeros(LEAST + 1, line.dtype)]).astype(np.uint64)
+    bound = (wide == 0) | (wide == 32)
+    for size in sorted({len(c) for _, c in by.short}):
+        held: dict[int, list[int]] = {}
+        for n, (_, codes) in enumerate(by.short):
+            if len(codes) == size:
+                held.setdefault(int(_polynomial(codes.astype(np.uint64), size)[0]), []).append(n)
+        known = np.sort(np.fromiter(held, np.uint64, len(held)))
+        # a text's first letter is at 1, behind the bound at 0
+        at = np.flatnonzero(bound[:len(line)] & bound[size + 1:size + 1 + len(line)]) + 1
+        hashes = _polynomial(wide, size)[at]
+        slot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        for a, h in zip(at[known[slot] == hashes].tolist(), hashes[known[slot] == hashes].tolist(), strict=True):
+            row = int(np.searchsorted(starts, a - 1, "right")) - 1
+            found += [(row, len(by.items) + n, 0, a - 1 + size - int(starts[row])) for n in held[h] if np.array_equal(wide[a:a + size], by.short[n][1])]
+    return found
+
+
+def _polynomial(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every stretch of so many codes."""
+    out = np.zeros(len(codes) - size + 1, np.uint64)
+    for i in range(size):
+        out = out * np.uint64(MULTIPLIERS[0]) + codes[i:i + len(out)]
+    return out
+
+
 def aligned(line: np.ndarray, patterns: np.ndarray, sizes: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Least edits that turn each pattern into a stretch of the line, on the diagonals from ``start`` on, ``width`` of
     them; and where that stretch ends."""
@@ -195,7 +231,7 @@ def _hits(batches: Iterable[pa.RecordBatch], by: Windows) -> Iterator[pa.RecordB
     for piece in pieces(batches, chars=SCANNED_CHARS):
         ids, best = piece.column("doc_id").to_pylist(), {}
         for row, window, edits, end in search(piece.column("text").to_pylist(), by):
-            best.setdefault((row, int(by.items[window])), {}).setdefault(window, []).append((edits, end))
+            best.setdefault((row, by.item(window)), {}).setdefault(window, []).append((edits, end))
         rows = [(ids[row], item, len(found), *min(min(x) for x in found.values())) for (row, item), found in sorted(best.items())]
         if rows:
             yield pa.RecordBatch.from_arrays(

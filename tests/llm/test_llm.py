@@ -358,6 +358,26 @@ def test_benchmark_in_several_blocks(spark, monkeypatch):
     assert plain <= set(whole)
 
 
+def test_quotes_are_found_at_every_offset():
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(n))
+    item, length = prose(60)[:350], decontam.WINDOW + decontam.STEP - 1
+    assert length <= 80
+    by = decontam.Windows.of([(7, item)])
+    at = range(0, len(item) - length + 1)
+    texts = [f"{prose(20)} zz{item[a:a + length]}zz {prose(20)}" for a in at]
+    assert {row for row, *_ in decontam.search(texts, by)} == set(at)
+    assert decontam.search([prose(300)], by) == []
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    texts = [(1, "Who wrote it: Hamlet?"), (2, "hamletx who wrote it hamlets"), (3, "so WHO  wrote it, hamlet then"), (4, "xwho wrote it hamlet"), (5, None), (6, "42")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "Who wrote it? Hamlet."), (2, "42"), (3, "?!"), (4, "")], "item_id bigint, text string")
+    assert listed(decontam.contaminated(docs, bench), "doc_id", "item_id", "edits", "end") == [(1, 1, 0, 19), (3, 1, 0, 22), (6, 2, 0, 2)]
+    assert listed(decontam.decontaminate(docs, bench), "doc_id") == [(2,), (4,), (5,)]
+
+
 # 6: mixing
 
 
