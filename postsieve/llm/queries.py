@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import decontam, exact, language, mixing, pii, scoring, simhash, templates, tokens, warc
+from postsieve.llm import decontam, exact, language, mixing, pii, runs, scoring, simhash, templates, tokens, warc
 from postsieve.llm.common import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,26 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", F.size("dropped").cast("bigint").alias("n_dropped"),
                           F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _repeated_tails(docs: DataFrame) -> DataFrame:
+    """The table's texts, those of a tenth of the documents with a repeated end: with the crc32 h of the id and
+    g = h // 10, the words from a = g % n on become repeats of the first 1 + (n - a) // (3 + g % 8) of them."""
+    tail = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h")).withColumn("g", F.expr("h div 10"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    tail = tail.withColumn("words", F.when(F.col("h") % 10 == 0, words).otherwise(F.array())).withColumn("n", F.size("words"))
+    tail = tail.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    made = ("concat(slice(words, 1, int(a)), slice(flatten(array_repeat(slice(words, int(a + 1), int(p)), int((n - a) div p + 1))), "
+            "1, int(n - a)))")
+    return tail.select("doc_id", F.expr(f"if(n > 0, array_join({made}, ' '), text)").alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_repeated_tails(table(spark, sf_dir, "documents")))
+    top = F.expr("array_min(transform(runs, r -> struct(-r.length as length, r.start as start, r.period as period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "top.start", (-F.col("top.length")).alias("length"), "top.period",
+        F.expr("(-1000 * top.length) div top.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
