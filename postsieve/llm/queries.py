@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import decontam, exact, language, mixing, pii, runs, scoring, simhash, templates, tokens, warc
+from postsieve.llm import decontam, exact, language, mixing, pii, repeats, runs, scoring, simhash, templates, tokens, warc
 from postsieve.llm.common import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,13 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op12_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("repeats", F.lit(0).cast("bigint"), lambda n, r: n + r["length"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _repeated_tails(docs: DataFrame) -> DataFrame:
     """The table's texts, those of a tenth of the documents with a repeated end: with the crc32 h of the id and
     g = h // 10, the words from a = g % n on become repeats of the first 1 + (n - a) // (3 + g % 8) of them."""
