@@ -29,6 +29,8 @@ from postsieve.llm.chunks import in_chunks
 WORDS = 35
 #: Prints of a bucket, by an estimate of six bytes a word.
 BUCKET_PRINTS = 4_000_000
+#: Buckets of a small table, unless its shuffles have fewer partitions; each chunk sends a row to every bucket.
+LEAST_BUCKETS = 64
 #: Bits of a print, besides those of its bucket.
 PRINT_BITS = 32
 #: Different words remembered by one Python worker.
@@ -234,7 +236,7 @@ def find_repeats(docs: DataFrame, words: int = WORDS, text_col: str = "text", pr
     else as well."""
     held = docs.drop("n_words", "repeats", "kept").withColumnRenamed(text_col, "text")
     dealt = in_chunks(held)
-    bits = max(int(max(dealt.text_bytes / 6 / BUCKET_PRINTS, 2 * dealt.parts)).bit_length(), 1)
+    bits = max(int(max(dealt.text_bytes / 6 / BUCKET_PRINTS, min(dealt.parts, LEAST_BUCKETS) - 1)).bit_length(), 1)
     search = Search(words, min(bits, 64 - print_bits), print_bits)
     rows = dealt.rows.groupBy("chunk")
     hits = rows.applyInArrow(lambda t: search.probe(t), SENT).groupBy("bucket").applyInArrow(lambda t: search.meet_blocks(t), BITS)
