@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -69,6 +70,12 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", chars: int =
             yield batch.slice(first)
 
 
+def sorted_set(values: np.ndarray) -> np.ndarray:
+    """Each value once, in order; for millions of values several times faster than ``np.unique``."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[:len(values)]]
+
+
 _LETTERS: dict[str, re.Pattern[str]] = {}
 
 

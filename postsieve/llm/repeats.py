@@ -20,11 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from postsieve.llm.chunks import in_chunks
+from postsieve.llm.common import sorted_set
 
 WORDS = 35
 #: Prints of a bucket, by an estimate of six bytes a word.
@@ -33,45 +33,70 @@ BUCKET_PRINTS = 4_000_000
 LEAST_BUCKETS = 64
 #: Bits of a print, besides those of its bucket.
 PRINT_BITS = 32
-#: Different words remembered by one Python worker.
-KNOWN_WORDS = 500_000
+#: Bytes hashed together.
+HASHED_BYTES = 500_000
 FACTOR = 0x9E3779B97F4A7C15
 
 SENT = "bucket int, chunk int, prints binary, more binary"
 BITS = "chunk int, step int, bucket int, bits binary"
 
 
-class _Hashes(dict[bytes, int]):
-    """Two 64-bit hashes of every word seen, by number."""
+def _powers(factor: int, size: int) -> np.ndarray:
+    out = np.full(size, factor, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.known = bytearray()
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.known += xxhash.xxh3_128_digest(word)
-        return n
+class _Hash:
+    """A 64-bit hash of stretches of bytes: random values of the bytes times powers of an odd factor, summed."""
 
+    def __init__(self, seed: int):
+        draw = np.random.default_rng(seed)
+        self.values = draw.integers(1, 1 << 64, 256, np.uint64)
+        self.factor = int(draw.integers(1 << 62, 1 << 63)) * 2 + 1
+        self.up = self.down = np.empty(0, np.uint64)
 
-_HASHES: list[_Hashes] = []
+    def __call__(self, line: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(self.up) <= len(line):
+            self.up, self.down = (_powers(f, 2 * len(line) + 1) for f in (self.factor, pow(self.factor, -1, 1 << 64)))
+        sums = np.zeros(len(line) + 1, np.uint64)
+        np.cumsum(self.values[line] * self.up[:len(line)], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * self.down[starts]
+        # sums of powers are even in too regular a way; words are to look drawn at random
+        found = (found ^ found >> np.uint64(31)) * np.uint64(FACTOR)
+        return found ^ found >> np.uint64(29)
+
+
+#: Two hashes of words that have nothing in common, and the bytes that part words.
+_HASHES = (_Hash(1), _Hash(2))
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 class Line:
-    """The words of a chunk's documents behind each other."""
+    """The words of a chunk's documents behind each other, as hashes."""
 
-    def __init__(self, texts: list[str | None]):
-        if not _HASHES or len(_HASHES[0]) > KNOWN_WORDS:
-            _HASHES[:] = [_Hashes()]
-        number = _HASHES[0].__getitem__
-        each = [np.empty(0, np.int64)]
+    def __init__(self, texts: list[str | None], hashes: int = 2):
+        sizes, words, held, used = [np.empty(0, np.int64)], [np.empty((0, hashes), np.uint64)], [], 0
         for text in texts:
-            words = text.encode().split() if text else []
-            each.append(np.fromiter(map(number, words), np.int64, len(words)))
-        self.sizes = np.array([len(x) for x in each[1:]], np.int64)
+            held.append((text or "").encode())
+            used += len(held[-1])
+            if used > HASHED_BYTES:
+                self._add(held, sizes, words)
+                held, used = [], 0
+        if held:
+            self._add(held, sizes, words)
+        self.sizes, self.words = np.concatenate(sizes), np.concatenate(words)
         self.ends = np.cumsum(self.sizes)
-        hashes = np.frombuffer(bytes(_HASHES[0].known), np.uint64).reshape(-1, 2)
-        self.words = hashes[np.concatenate(each)]
+
+    @staticmethod
+    def _add(texts: list[bytes], sizes: list[np.ndarray], words: list[np.ndarray]) -> None:
+        line = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+        space = _SPACE[line]
+        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        before = np.searchsorted(starts, np.cumsum([1] + [len(t) + 1 for t in texts]))
+        sizes.append(np.diff(before))
+        words.append(np.stack([h(line, starts, ends) for h in _HASHES[:words[0].shape[1]]], 1))
 
     def starts(self, size: int) -> np.ndarray:
         """Where a stretch of so many words of one document begins."""
@@ -86,12 +111,7 @@ class Line:
 
     def rolled(self, column: int, size: int, at: np.ndarray) -> np.ndarray:
         """A hash of the stretch of so many words from each place on."""
-        powers = np.full(len(self.words) + 1, FACTOR, np.uint64)
-        powers[:1] = 1
-        powers = np.multiply.accumulate(powers)
-        back = np.full(len(self.words) + 1, pow(FACTOR, -1, 1 << 64), np.uint64)
-        back[:1] = 1
-        back = np.multiply.accumulate(back)
+        powers, back = _powers(FACTOR, len(self.words) + 1), _powers(pow(FACTOR, -1, 1 << 64), len(self.words) + 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words[:, column] * powers[:-1])])
         return (sums[at + size] - sums[at]) * back[at]
 
@@ -116,9 +136,9 @@ class Search:
 
     def probe(self, table: pa.Table) -> pa.Table:
         """First step of a chunk: the prints of all its stretches, and those of its blocks."""
-        chunk, line = _chunk(table)
+        chunk, line = _chunk(table, 1)
         _, held, block = self.prints(line)
-        held, blocks, low = np.unique(held), np.unique(held[block]), np.uint64(self.print_bits)
+        held, blocks, low = sorted_set(held), sorted_set(held[block]), np.uint64(self.print_bits)
         rows, own = [], {b: cut for b, cut in self.cut(blocks >> low)}
         for bucket, cut in self.cut(held >> low):
             sent = blocks[own[bucket]] if bucket in own else blocks[:0]
@@ -156,7 +176,7 @@ class Search:
 
     def extend(self, table: pa.Table, replies: pa.Table) -> pa.Table:
         """Second step of a chunk: the hashes of its windows around hits."""
-        chunk, line = _chunk(table)
+        chunk, line = _chunk(table, 2)
         _, wide, more = self.around_hits(line, _bits(replies, 1))
         order, new, _ = _distinct(wide, more)
         wide, more = wide[order][new], more[order][new]
@@ -193,8 +213,8 @@ class Search:
         return out
 
 
-def _chunk(table: pa.Table) -> tuple[int, Line]:
-    return table.column("chunk")[0].as_py(), Line(_texts(table))
+def _chunk(table: pa.Table, hashes: int) -> tuple[int, Line]:
+    return table.column("chunk")[0].as_py(), Line(_texts(table), hashes)
 
 
 def _texts(table: pa.Table) -> list[str | None]:
