@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import decontam, exact, language, mixing, pii, repeats, runs, scoring, simhash, templates, tokens, warc
+from postsieve.llm import alignment, decontam, exact, language, mixing, pii, repeats, runs, scoring, simhash, templates, tokens, warc
 from postsieve.llm.common import importable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,14 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op11_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), *paths)
+    shown = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", *alignment.RESULTS, shown.alias("groups_sha256"))
+
+
 @query
 def op12_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
