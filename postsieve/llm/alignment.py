@@ -23,6 +23,7 @@ an empty result; long texts are taken whole; other columns are passed on, but fo
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -37,9 +38,12 @@ from postsieve.llm.common import sorted_set
 from postsieve.llm.tokens import _byte_letters
 
 #: Characters of the stretches that one Python worker remembers.
-KNOWN_CHARS = 6_000_000
-#: Characters tokenized together.
+KNOWN_CHARS = 4_000_000
+#: Characters of text worked on together, and of a line that is tokenized.
 LEARNT_CHARS = 1_000_000
+LINE_CHARS = 1_000
+#: How byte-level vocabularies of this kind part texts (a fixed value).
+PARTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 _SPACE = "\u2581"
@@ -82,6 +86,9 @@ class Tokenizers:
     #: White space other than space and line end, control characters, and the mark that stands for a space.
     _odd = re.compile(f"[^\\S \\n]|[\x00-\x09\x0b-\x1f\x7f-\x9f\u180e{_SPACE}]")
 
+    #: Characters about whose kind two versions of Unicode may differ.
+    _beyond = re.compile("[^\x00-\u024f]")
+
     def __init__(self, byte_level: str, piece_model: str):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -95,6 +102,7 @@ class Tokenizers:
         for entry, i in entries.items():
             known = all(ord(c) in stand_in for c in entry)
             self.bytes_a[i] = bytes(stand_in[ord(c)] for c in entry) if known else entry.encode()
+        self.ranked = self._by_rank()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         #: Whether no piece goes on over a border of stretches.
@@ -105,6 +113,24 @@ class Tokenizers:
         self.size_a, self.size_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         self.forget()
 
+    def _by_rank(self):
+        """The vocabulary of side a for the library that merges by rank, several times faster: the same tokens if the
+        nth merge makes the nth id behind the single bytes. None if that does not hold or the library is absent."""
+        try:
+            import tiktoken
+        except ImportError:
+            return None
+        made = json.loads(self.a.to_str())
+        merges = [x.split(" ") if isinstance(x, str) else x for x in made["model"]["merges"]]
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        ranks = {self.bytes_a[i]: i for entry, i in vocabulary.items() if i < 256 + len(merges)}
+        ordered = all(vocabulary.get(x + y) == 256 + n for n, (x, y) in enumerate(merges))
+        if not ordered or len(ranks) != 256 + len(merges) or sum(len(x) == 1 for x in self.bytes_a[:256]) != 256:
+            return None
+        if made["normalizer"] is not None or made["pre_tokenizer"].get("type") != "ByteLevel" or made["pre_tokenizer"].get("add_prefix_space"):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.chars = 0
@@ -116,6 +142,16 @@ class Tokenizers:
         """The stretches of each text by number; numbers hold until the next call."""
         if self.chars > KNOWN_CHARS:
             self.forget()
+        out, held, used = [], [], 0
+        for text in texts:
+            held.append(text)
+            used += len(text or "")
+            if used > LEARNT_CHARS:
+                out += self._numbers(held)
+                held, used = [], 0
+        return out + self._numbers(held)
+
+    def _numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         split: list[list[str]] = []
         alone: set[str] = set()
         for text in texts:
@@ -129,26 +165,37 @@ class Tokenizers:
             split.append(parts)
         for stretch in alone - self.known.keys():
             self._learn([stretch])
-        missing, held = [], 0
-        for stretch in set().union(*split) - self.known.keys():
-            missing.append(stretch)
-            held += len(stretch)
-            if held > LEARNT_CHARS:
-                self._learn(missing)
-                missing, held = [], 0
-        if missing:
+        if missing := list(set().union(*split) - self.known.keys()):
             self._learn(missing)
         number = self.known.__getitem__
         return [np.fromiter(map(number, parts), np.int64, len(parts)) for parts in split]
 
+    def _encoded(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both sides for the stretches behind each other, a line of them at a time."""
+        lines, first, used = [], 0, 0
+        for i, stretch in enumerate(stretches):
+            used += len(stretch)
+            if used > LINE_CHARS or i + 1 == len(stretches):
+                lines.append("".join(stretches[first:i + 1]))
+                first, used = i + 1, 0
+        left: list[int] = []
+        for line in lines:
+            if self.ranked is not None and not self._beyond.search(line):
+                left += self.ranked.encode_ordinary(line)
+            else:
+                left += self.a.encode_batch_fast([line], add_special_tokens=False)[0].ids
+        # the piece tokenizer adds a space to a text; where the line has none, that token goes
+        right: list[int] = []
+        for line, ids in zip(lines, self.b.encode([x[1:] if x[0] == " " else x for x in lines], num_threads=1), strict=True):
+            right += ids if line[0] == " " else ids[1:]
+        return np.array(left, np.int64), np.array(right, np.int64)
+
     def _learn(self, stretches: list[str]) -> None:
         """Tokenize and align stretches, as one text if there are several."""
         alone = len(stretches) == 1
-        # a first stretch that begins with a space, as the tokenizer adds one to the text
-        text = stretches[0] if alone else "".join([" a", *stretches])
-        ids_a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-        ids_b = np.array(self.b.encode(text[1:], num_threads=1) if text[0] == " " else self.b.encode(text, num_threads=1)[1:], np.int64)
-        whole = text.encode()
+        ids_a, ids_b = self._encoded(stretches)
+        sizes = [len(s.encode()) for s in stretches]
+        whole = "".join(stretches).encode()
         if any(b"".join(map(side.__getitem__, ids.tolist())) != whole for side, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
             if alone:
                 self._add(stretches, np.array([[-1, 0, 0]]), [""], np.zeros(1, np.int64), np.empty(0, np.int64))
@@ -157,8 +204,7 @@ class Tokenizers:
                 self._learn(stretches[len(stretches) // 2:])
             return
         ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
-        sizes = [len(s) for s in stretches] if len(whole) == len(text) else [len(s.encode()) for s in stretches]
-        cuts = np.cumsum([0, *sizes] if alone else [0, 2, *sizes])
+        cuts = np.cumsum([0, *sizes])
         cuts_a, cuts_b = np.searchsorted(ends_a, cuts, "right"), np.searchsorted(ends_b, cuts, "right")
         leaves = leaf_groups(ends_a, ends_b, cuts_a, cuts_b)
         # every byte range between neighbouring ends is the overlap of one pair
@@ -168,9 +214,8 @@ class Tokenizers:
         of_leaf, of_link = np.searchsorted(leaves[:, 0], cuts_a), np.searchsorted(ends, cuts, "right")
         counts = np.stack([np.diff(cuts_a), np.diff(cuts_b), np.diff(of_leaf)], 1)
         bounds = places[of_leaf].tolist()
-        skip = 0 if alone else 1
-        groups = [shown[i:j - 1] for i, j in zip(bounds[skip:-1], bounds[skip + 1:], strict=True)]
-        self._add(stretches, counts[skip:], groups, of_link[skip + 1:] - of_link[skip], links[of_link[skip]:])
+        groups = [shown[i:j - 1] for i, j in zip(bounds, bounds[1:], strict=False)]
+        self._add(stretches, counts, groups, of_link[1:], links)
 
     def _shown(self, ids_a: np.ndarray, ids_b: np.ndarray, leaves: np.ndarray) -> tuple[str, np.ndarray]:
         """All leaves as text, with a semicolon behind each, and where each begins in it."""
