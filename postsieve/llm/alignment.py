@@ -79,6 +79,19 @@ def leaf_groups(ends_a: np.ndarray, ends_b: np.ndarray, cuts_a: np.ndarray, cuts
     return found[np.argsort(found[:, 0])]
 
 
+class _Numbers(dict[str, int]):
+    """Numbers of stretches in order of arrival; the new ones are kept to be learnt."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, stretch: str) -> int:
+        self[stretch] = n = len(self)
+        self.new.append(stretch)
+        return n
+
+
 class Tokenizers:
     """A byte-level BPE (a) and a piece BPE with byte fallback (b), and the stretches aligned so far."""
 
@@ -132,7 +145,7 @@ class Tokenizers:
         return tiktoken.Encoding("ranked", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.chars = 0
         self.groups: list[str] = []
         #: By stretch: tokens of a, of b and groups (a is -1 if the bytes are not given back), and where its links end.
@@ -152,8 +165,7 @@ class Tokenizers:
         return out + self._numbers(held)
 
     def _numbers(self, texts: list[str | None]) -> list[np.ndarray]:
-        split: list[list[str]] = []
-        alone: set[str] = set()
+        number, out = self.known.__getitem__, []
         for text in texts:
             parts = []
             if text:
@@ -161,14 +173,18 @@ class Tokenizers:
                     parts = self._stretch.findall(f" {text}")
                 if not parts or parts[-1][-1] in " \n":
                     parts = [f" {text}"]
-                    alone.update(parts)
-            split.append(parts)
-        for stretch in alone - self.known.keys():
-            self._learn([stretch])
-        if missing := list(set().union(*split) - self.known.keys()):
-            self._learn(missing)
-        number = self.known.__getitem__
-        return [np.fromiter(map(number, parts), np.int64, len(parts)) for parts in split]
+                    if parts[0] not in self.known:
+                        self._learn_new()
+                        number(parts[0])
+                        self._learn_new()
+            out.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+        self._learn_new()
+        return out
+
+    def _learn_new(self) -> None:
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
 
     def _encoded(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides for the stretches behind each other, a line of them at a time."""
@@ -231,7 +247,6 @@ class Tokenizers:
         return "".join(map(self.signs.__getitem__, signs.tolist())), places
 
     def _add(self, stretches: list[str], counts: np.ndarray, groups: list[str], ends: np.ndarray, links: np.ndarray) -> None:
-        self.known.update(zip(stretches, range(len(self.groups), len(self.groups) + len(stretches)), strict=True))
         self.chars += sum(map(len, stretches))
         self.groups += groups
         self.counts.append(counts)
