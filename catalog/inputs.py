@@ -129,13 +129,18 @@ from labels
 """
 
 # Site pages: the raw page with posting-like cards ahead of its own content.
-LISTING_PAGES = """
-select page_id, 'site' || cast(page_id % 3 as string) as site, url,
- '<div class="card"><a href="/jobs/' || cast(page_id % 40 as string) || '?x=1">Machine learning internship</a><span class="firm">Firm ' || cast(page_id % 7 as string) || '</span><span class="city">Berlin</span></div>' ||
+_FLAT_CARDS = """'<div class="card"><a href="/jobs/' || cast(page_id % 40 as string) || '?x=1">Machine learning internship</a><span class="firm">Firm ' || cast(page_id % 7 as string) || '</span><span class="city">Berlin</span></div>' ||
  '<ul><li><a href="https://other.example.org/p/' || cast(page_id as string) || '">Apply here now</a> for this data science role</li>' ||
- '<li><a href="/about-us">About this company</a></li><li><a href="mailto:jobs@example.org">Werkstudent per mail</a></li><li><a href="/jobs/x">Short</a></li></ul>' || html as html
-from pages
-"""
+ '<li><a href="/about-us">About this company</a></li><li><a href="mailto:jobs@example.org">Werkstudent per mail</a></li><li><a href="/jobs/x">Short</a></li></ul>'"""
+# Nested cards, a quoted sign, a card without a hint of its own, character references, open rows.
+_NESTED_CARDS = """case page_id % 5
+  when 0 then '<section><li><a href="/p/' || cast(page_id as string) || '">Apply here now</a><div class="firm">Nested ' || cast(page_id as string) || '</div><div>data <b>science</b> role</div></li></section>'
+  when 1 then '<a title="a>b" href="/y/' || cast(page_id as string) || '">Machine learning internship</a>'
+  when 2 then '<div><div><a href="/z/' || cast(page_id as string) || '">Open position</a></div><div class="firm">Far off</div><div>hiwi</div></div>'
+  when 3 then '<div><a href="../q/./r?x=' || cast(page_id as string) || '">Offene Stelle</a><p class="big firm">K&uuml;hl &#38; S&#xF6;hne<span class=city>K&ouml;ln</span><script>x("hiwi")</script> Praktikum</div>'
+  else '<table><tr><td><a href="/t/' || cast(page_id as string) || '">Apply here now</a><td>shk ' || cast(page_id as string) || '<tr><td><a href="/u/1">Apply here now</a></table>' end"""
+FLAT_PAGES = f"select page_id, 'site' || cast(page_id % 3 as string) as site, url, {_FLAT_CARDS} || html as html from pages"
+LISTING_PAGES = f"select page_id, 'site' || cast(page_id % 3 as string) as site, url, {_FLAT_CARDS} || {_NESTED_CARDS} || html as html from pages"
 
 OWN_PAGES = "select page_id, 'site0' as site, url, html from pages"
 

@@ -378,14 +378,22 @@ MD = f"""md as ({I.LISTING_MARKDOWN}),
  links as (select * from lnk where {relevant("(title || ' ' || url)", 'path')})"""
 
 # Posting-like anchors of the listing pages: the cards ahead of the page, and the page's own.
-HTML = f"""hp as ({I.LISTING_PAGES}),
+HTML = f"""hp as ({I.FLAT_PAGES}),
  anc as (select page_id, site, url as page_url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href,
    unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) as t from hp where site in ('site0', 'site1')),
  fit as (select *, case when t = 'Apply here now' then 'Apply here now for this data science role' else t end as title,
    case when href like 'http%' then href else regexp_extract(page_url, '^([^/]+//[^/?#]*)', 1) || href end as url from anc
    where length(t) >= 8 and href not like 'mailto:%'),
- plinks as (select page_id, site, title, url, page_url, case when site = 'site0' and title = 'Machine learning internship' then 'Firm ' || cast(page_id % 7 as string) else '' end as company,
-   case when site = 'site0' and title = 'Machine learning internship' then 'Berlin' else '' end as location, title as snippet from fit where {relevant("(title || ' ' || href)", 'href')})"""
+ flat as (select page_id, site, title, url, page_url, case when site = 'site0' and title = 'Machine learning internship' then 'Firm ' || cast(page_id % 7 as string) else '' end as company,
+   case when site = 'site0' and title = 'Machine learning internship' then 'Berlin' else '' end as location, title as snippet from fit where {relevant("(title || ' ' || href)", 'href')}),
+ near_pg as (select page_id, 'site' || cast(page_id % 3 as string) as site, url as page_url, page_id % 5 as k, page_id % 3 = 0 as near, cast(page_id as string) as n,
+   regexp_extract(url, '^([^/]+//[^/?#]*)', 1) as org, regexp_extract(url, '^[^/]+//[^/?#]*([^?#]*)', 1) as pth from pages where page_id % 3 < 2),
+ deep as (select page_id, site, page_url, 'Apply here now Nested ' || n || ' data science role' as title, org || '/p/' || n as url, case when near then 'Nested ' || n else '' end as company, '' as location from near_pg where k = 0
+  union all select page_id, site, page_url, 'Machine learning internship', org || '/y/' || n, case when near then 'Firm ' || cast(page_id % 7 as string) else '' end, case when near then 'Berlin' else '' end from near_pg where k = 1
+  union all select page_id, site, page_url, 'Offene Stelle Kühl & Söhne Köln Praktikum', org || coalesce(nullif(regexp_extract(pth, '^(.*/)[^/]*/[^/]*$', 1), ''), '/') || 'q/r?x=' || n,
+    case when near then 'Kühl & Söhne Köln Praktikum' else '' end, case when near then 'Köln' else '' end from near_pg where k = 3
+  union all select page_id, site, page_url, 'Apply here now shk ' || n, org || '/t/' || n, '', '' from near_pg where k = 4),
+ plinks as (select page_id, site, title, url, page_url, company, location, snippet from flat union all select page_id, site, title, url, page_url, company, location, title from deep)"""
 
 STREAK = """lg as (select user_id, ts, event_id, event_type <> 'error' as ok from events),
  isl as (select *, sum(case when ok then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as island from lg),

@@ -517,7 +517,7 @@ def agency_cap(spark, sf):
 
 
 def site_rows(spark):
-    near = {"company": "span.firm", "location": ".city"}
+    near = {"company": ".card > span.firm, div.firm, p.big", "location": ".city"}
     policy = P.but(sites=(
         {"url": "https://s0.example.org", "name": "site0", "selectors": near},
         {"url": "https://s1.example.org", "name": "site1", "selectors": {}},

@@ -1,6 +1,9 @@
 """The physical plans the operators are meant to get."""
 
 import datetime as dt
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from postsieve.plans import publication
 from postsieve.plans.durable import SnapshotTable, ensure_checkpoint_dir
 from postsieve.policy import Policy
 from postsieve.schema import conform, pack_seq
-from postsieve.sources import agency, listings
+from postsieve.sources import agency, listings, markup
 from postsieve.streaming import streaks
 
 SF = "/root/testdata/sf0.001"
@@ -89,6 +92,70 @@ def test_html_links(spark):
     assert rows["https://o.org/x"].title == "Apply to this one now, dear"
 
 
+#: Pages, and what the links of each are: title, link, company, place.
+CARDS = (
+    ("<li><a href=/1>Apply here now</a><div>data science role</div></li>", [("Apply here now data science role", "https://a.org/1", "", "")]),
+    ('<a title="a>b" href=/2>Machine learning internship</a>', [("Machine learning internship", "https://a.org/2", "", "")]),
+    ("<li><a href=/3>Praktikum in Bonn</a><div class='x firm'>Firm <b>A</b></div></li>", [("Praktikum in Bonn", "https://a.org/3", "Firm A", "")]),
+    ("<div><p><a href=/4>Praktikum in Bonn</a></p><div class=firm>Not in the parent</div></div>", [("Praktikum in Bonn", "https://a.org/4", "", "")]),
+    ("<div><a href=/5>K&uuml;nstliche Dinge</a> &#72;iwi, <i id=city>K&ouml;ln &amp;c</i></div>", [("Künstliche Dinge Hiwi, Köln &c", "https://a.org/5", "", "Köln &c")]),
+    ("<div>hiwi<div><a href=/6>Far from hints</a></div></div>", []),
+    ("<div>work<div><a href=/7>A position</a></div>ing student</div>", []),
+    ("<table><tr><td><a href=../8/./x>Apply now</a><td>shk<tr><td><a href=/9>Apply now</a></table>", [("Apply now shk", "https://a.org/8/x", "", "")]),
+    ("<div><!-- hiwi --><script>hiwi()</script><style>hiwi</style><a href=/10>Not for you</a></b></div>", []),
+    ("<div><a href=/11 HREF=/12>Trainee<br>wanted</a><a href='http://[x'>Trainee wanted</a></div>", [("Trainee wanted", "https://a.org/11", "", "")]),
+    ("<ul><li><b>hiwi<li><a href=/13>Some position</a></ul>", []),
+    ("<p>shk<div><a href=/14>Some position</a> a</div>", []),
+    ("<div><span><a href=/15>One position</span> <i>hiwi</i></div>", [("One position hiwi", "https://a.org/15", "", "")]),
+    ("", []), ("no tags < at & all", []),
+)
+
+
+def test_cards_around_links(spark):
+    pages = spark.createDataFrame([(i, "s", "https://a.org/d/", html) for i, (html, _) in enumerate(CARDS)], "page_id long, site string, url string, html string")
+    sites = listings.site_table(spark, P.but(sites=({"url": "u", "name": "s", "selectors": {"company": "li > .firm, p .firm", "location": "#city"}},)))
+    got = {}
+    for r in sorted(listings.page_links(pages.repartition(3), sites).collect(), key=lambda r: (r.page_id, r.pos)):
+        got.setdefault(r.page_id, []).append((r.title, r.url, r.company, r.location))
+    assert [got.get(i, []) for i in range(len(CARDS))] == [want for _, want in CARDS]
+
+
+def test_selectors():
+    page = markup.Page('<div id=a class="x y"><p data-k="v w"><b>1</b></p><b class=x>2</b></div><b>3</b>')
+    taken = lambda s: [page.text(e) for e in page.fitting(markup.selector(s))]
+    assert taken("b") == ["1", "2", "3"] and taken("div b") == ["1", "2"] and taken("div > b") == ["2"]
+    assert taken(".x.y b.x, p") == ["1", "2"] and taken("#a [data-k='v w'] > *") == ["1"] and taken("[DATA-k]") == ["1"]
+    assert taken("section b") == []
+    for bad in ("", "a:hover", "a + b", "a,,b", "> a", "a >"):
+        with pytest.raises(ValueError, match="selector"):
+            markup.selector(bad)
+
+
+def test_hits_inside_elements_equal_a_search():
+    r = random.Random(1)
+    hint = re.compile(r"data\s*science|working\s*student|student\s*job|\bki\b|a+b", re.I)
+    for _ in range(300):
+        html = "".join(r.choice(["<div>", "</div>", "<p>", "<b>", "</b>", "data ", "Science", "working", " student ", "job", "ki", "aab", " x "]) for _ in range(40))
+        page = markup.Page(html)
+        hits = markup.Hits(page, hint)
+        assert [hits.inside(e) for e in range(len(page.names))] == [hint.search(page.text(e)) is not None for e in range(len(page.names))]
+        assert all(page.first[e] <= page.end[e] and page.last[e] >= e for e in range(len(page.names)))
+
+
+def test_nested_pages_take_linear_time():
+    hint = re.compile(listings.ROLE_HINT, re.I)
+    sought = listings._Sought(None, "div.firm", None)
+
+    def seconds(n):
+        html = "".join(f"<div><div class=firm>f{i}</div><a href=/p/{i}>Nothing of note {i}</a></b>" for i in range(n))
+        start = time.process_time()
+        assert sum(1 for _ in listings.page_rows(html, "https://a.org", sought, hint)) == n
+        return time.process_time() - start
+
+    few = min(seconds(2000) for _ in range(3))
+    assert seconds(32_000) < 16 * 4 * few
+
+
 def test_odd_pages_take_linear_time(spark):
     flat = "".join(f'<a href="/jobs/{i}">Working student {i}</a>' for i in range(2000))
     deep = "<div>" * 1200 + '<a href="?p=1">internship here now<a class=x href=b/c>internship unclosed' + "</div>" * 1200
