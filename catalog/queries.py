@@ -79,13 +79,14 @@ def shown(rows: DataFrame, *extra: str) -> DataFrame:
 
 @query
 def text_keywords(spark, sf):
-    rows = I.postings(spark, sf)
-    blob = gates.body_text()
+    blob, listed = gates.body_text(), (*P.domains, *P.must_have_any, "e-mail", "5+ years")
+    rows = I.postings(spark, sf).withColumn("words", text.words_present(blob, listed))
+    words = F.col("words")
     return rows.select(
         "seq",
-        text.contains(blob, "ai").alias("has_ai"),
-        text.any_match(blob, P.must_have_any).alias("has_any"),
-        F.array_join(text.matched(blob, (*P.domains, *P.must_have_any, "e-mail", "5+ years")), ",").alias("hits"),
+        text.contains(blob, "ai", words).alias("has_ai"),
+        text.any_match(blob, P.must_have_any, words).alias("has_any"),
+        F.array_join(text.matched(blob, listed, words), ",").alias("hits"),
         F.array_join(text.matched(F.col("location"), P.locations), ",").alias("places"),
     )
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,33 +59,79 @@ def keywords_pattern(keywords: Iterable[str]) -> str | None:
     return _FLAGS + "(?:" + "|".join(branches) + ")" if branches else None
 
 
-def contains(text: Column, keyword: str) -> Column:
+# Words that are looked up as they are: letters whose only other forms are their capitals, and these characters, which
+# a case-blind pattern takes for i and s.
+_PLAIN = re.compile(r"[a-z0-9äöüß]+")
+_FOLDED = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"))
+#: What parts words, and underscores, which words of a phrase may be joined by.
+_PARTS = r"(?U)[\W_]+"
+
+
+def _whole_words(keyword: str) -> list[str]:
+    """Words that stand whole in any text that holds the keyword, as far as they can be looked up."""
+    phrase = keyword.strip().lower()
+    runs = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W_]+", phrase)]
+    # separators at an end of the keyword are not part of its pattern, and no boundary is asked for there
+    loose = [bool(re.fullmatch(r"[\s\-_/]+", x)) for x in ((phrase[:runs[0][0]], phrase[runs[-1][1]:]) if runs else ())]
+    held = runs[any(loose[:1]):len(runs) - any(loose[1:])]
+    return [w for _, _, w in held if _PLAIN.fullmatch(w)]
+
+
+def words_present(text: Column, *lists: Iterable[str]) -> Column:
+    """Which words of the keywords in some lists stand in the text, as an array, by one reading of the text.
+
+    Given to the functions below, it takes the place of a scan of the text for each keyword.
+    """
+    sought = sorted({w for keywords in lists for kw in keywords for w in _whole_words(kw)})
+    if not sought:
+        return F.array().cast("array<string>")
+    folded = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), _FOLDED, text)
+    words = F.split(F.lower(folded), _PARTS)
+    return F.coalesce(F.array_intersect(words, F.array(*[F.lit(w) for w in sought])), F.array().cast("array<string>"))
+
+
+def _holds(text: Column, keyword: str, present: Column) -> Column | None:
+    """Whether the keyword stands in the text; the text is read only if all its words are there and that does not
+    settle it. None for a keyword without text."""
+    found = keywords_pattern([keyword])
+    if found is None:
+        return None
+    words = _whole_words(keyword)
+    there = reduce(lambda x, y: x & y, [F.array_contains(present, w) for w in dict.fromkeys(words)], F.lit(True))
+    read = F.coalesce(text.rlike(found), F.lit(False))
+    if words == [keyword.strip().lower()]:
+        # the word itself; only next to an underscore it is part of a longer one
+        return there & (~F.contains(text, F.lit("_")) | read)
+    return there & read
+
+
+def contains(text: Column, keyword: str, present: Column | None = None) -> Column:
     """True where the keyword stands in the text as a whole word or phrase."""
-    return any_match(text, [keyword])
+    return any_match(text, [keyword], present)
 
 
-def any_match(text: Column, keywords: Iterable[str]) -> Column:
-    """True where at least one keyword is present: one scan for the whole list."""
+def any_match(text: Column, keywords: Iterable[str], present: Column | None = None) -> Column:
+    """True where at least one keyword is present: one scan for the whole list, or none but for phrases where the
+    words present are known."""
+    if present is not None:
+        each = [h for kw in dict.fromkeys(keywords) if (h := _holds(text, kw, present)) is not None]
+        return reduce(lambda x, y: x | y, each, F.lit(False))
     found = keywords_pattern(keywords)
     return F.lit(False) if found is None else F.coalesce(text.rlike(found), F.lit(False))
 
 
-def matched(text: Column, keywords: Iterable[str]) -> Column:
-    """Array of the keywords present, distinct, in the order of the list.
+def with_words(text: Column, keywords: Iterable[str], use: Callable[[Column], Column]) -> Column:
+    """A column made from the words present, which are found once for all its parts."""
+    return F.transform(F.array(words_present(text, keywords)), use)[0]
 
-    One scan for the whole list comes first: most texts hold none of it and are
-    not read once per keyword.
-    """
-    keywords = list(keywords)
-    hits = [
-        F.when(text.rlike(found), F.lit(kw))
-        for kw in dict.fromkeys(keywords)
-        if (found := keywords_pattern([kw]))
-    ]
-    if not hits:
-        return F.array().cast("array<string>")
-    found = F.array_compact(F.array(*hits))
-    return F.when(any_match(text, keywords), found).otherwise(F.array().cast("array<string>"))
+
+def matched(text: Column, keywords: Iterable[str], present: Column | None = None) -> Column:
+    """Array of the keywords present, distinct, in the order of the list, by one reading of the text for all."""
+    keywords = list(dict.fromkeys(keywords))
+    if present is None:
+        return with_words(text, keywords, lambda words: matched(text, keywords, words))
+    hits = [F.when(h, F.lit(kw)) for kw in keywords if (h := _holds(text, kw, present)) is not None]
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
 def squeeze(text: Column) -> Column:
@@ -150,7 +197,7 @@ def snippet(core: str, window: int, text: Column) -> Column:
     """First match of a fixed phrase in the text read as one line, with up to
     ``window`` characters on each side, trimmed.  The span is as long as it can
     be: it may reach to a later phrase that lies inside the window."""
-    line = F.translate(text, "\n", " ")
+    line = F.replace(text, F.lit("\n"), F.lit(" "))
     near = _from(line, _before_first(line, F.lit(pattern(core, dot_all=True))), window)
     span = pattern(rf"\A.{{0,{window}}}(?:{core}).{{0,{window}}}", dot_all=True)
     return strip(F.regexp_extract(near, span, 0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postsieve.functions.fields import role_outputs
 from postsieve.functions.numbers import clamp, rescale, round_tenth, whole_text
-from postsieve.functions.text import age_days, any_match, contains, matched, quote_around_any, snippet
+from postsieve.functions.text import age_days, any_match, contains, matched, quote_around_any, snippet, words_present
 from postsieve.operators.gates import body_text, german_too_high
 from postsieve.policy import Policy
 from postsieve.schema import as_day, text_or_empty
@@ -56,14 +56,19 @@ def hits(df: DataFrame, policy: Policy) -> DataFrame:
     """Keyword hits and language facts that scores and reasons share."""
     title, description = text_or_empty("title"), text_or_empty("description")
     text = body_text()
+    # each text is read once for all lists; title and description are parted by a space, which parts words as well
+    lists = (policy.role_types, policy.domains, policy.exclude_words, ("english",))
+    df = df.withColumns({"_words_title": words_present(title, *lists), "_words_body": words_present(description, *lists)})
+    in_title, in_body = F.col("_words_title"), F.col("_words_body")
+    df = df.withColumn("_words", F.array_union(in_title, in_body))
     df = df.withColumns({
-        "_role_title": matched(title, policy.role_types),
-        "_role_body": matched(description, policy.role_types),
-        "_domain_title": matched(title, policy.domains),
-        "_domain_body": matched(description, policy.domains),
-        "_english": (text_or_empty("language") == "en") | contains(text, "english"),
+        "_role_title": matched(title, policy.role_types, in_title),
+        "_role_body": matched(description, policy.role_types, in_body),
+        "_domain_title": matched(title, policy.domains, in_title),
+        "_domain_body": matched(description, policy.domains, in_body),
+        "_english": (text_or_empty("language") == "en") | contains(text, "english", F.col("_words")),
         "_german": german_too_high(text, policy.german_max_level),
-        "_excluded": any_match(text, policy.exclude_words),
+        "_excluded": any_match(text, policy.exclude_words, F.col("_words")),
     })
     role_type = text_or_empty("role_type")
     return df.withColumns({

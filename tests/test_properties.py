@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postsieve.functions import similarity as sim
 from postsieve.functions.fields import canonical_url
 from postsieve.functions.numbers import round_tenth, whole_text
+from postsieve.functions import text
 from postsieve.functions.text import quote_around
 from postsieve.operators import dedup
 from postsieve.operators.normalize import normalize
@@ -21,6 +22,29 @@ from postsieve.streaming import streaks
 WORDS = "data science intern machine learning berlin team python lab gmbh werkstudent ml ai köln remote".split()
 
 
+KEYWORDS = ("ai", "machine learning", "data", "data science", "c++", "c", "5+ years", "e-mail", "künstliche intelligenz", "straße", "résumé", "ki",
+            "ML", "-x-", "+", "is sk", "a_b", "größe", " ", "")
+PIECES = ("ai", "AI", "machine", "Learning", "data", "science", "c", "C++", "+", "5+", "5", "years", "e", "mail", "KÜNSTLICHE", "intelligenz", "stra\u00dfe", "STRASSE",
+          "stra\u1e9ee", "r\u00e9sum\u00e9", "re\u0301sume\u0301", "k\u0131", "\u212aI", "K\u0130", "i\u017f", "\u017f\u212a", "is", "sk", "ml", "x", "a_b", "a", "b", "gr\u00f6\u00dfe",
+          "GRO\u0308SSE", "\ufb01", "\u0301", "\u200d", "7")
+GAPS = (" ", " ", "  ", "-", "_", "/", "\n", "\x1c", "\u00a0", ".", "", "\u2013", " - ", "\u2028")
+
+
+def test_words_looked_up_equal_a_scan_per_keyword(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(PIECES) + rng.choice(GAPS) for _ in range(rng.randint(0, 9))) for _ in range(3000)] + [None, "", "_ai_ data"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    t = F.col("t")
+    scans = F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(k)) for k in KEYWORDS if (p := text.keywords_pattern([k]))]))
+    words = text.words_present(t, KEYWORDS)
+    got = rows.withColumn("w", words).select("t", "w", scans.alias("want"), text.matched(t, KEYWORDS).alias("got"), text.matched(t, KEYWORDS, F.col("w")).alias("known"),
+                      text.any_match(t, KEYWORDS).alias("any"), text.any_match(t, KEYWORDS, F.col("w")).alias("any_known")).collect()
+    assert sum(len(r.want or ()) for r in got) > 1000
+    for r in got:
+        assert r.got == r.known == (r.want or []), r
+        assert r.any == r.any_known == bool(r.want), r
+
+
 def typo(rng, word):
     i = rng.randrange(len(word))
     return rng.choice([word[:i] + word[i + 1:], word[:i] + rng.choice("aeinrst") + word[i:], word])
