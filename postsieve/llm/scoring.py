@@ -4,167 +4,188 @@ Two bigram models with one smoothing: the target model counts the documents labe
 all documents. A document's score is the mean over its tokens of the target's loss less the background's: the lower,
 the more it is like the target.
 
-Every word and every pair of words is counted exactly, in Spark tables that grow with the corpus; nothing of them is
-gathered anywhere. A scan cuts the documents into chunks, and each chunk sends its distinct pairs once: they are added up
-by pair, joined to the counts of their two words, and the losses go back to the chunks that hold them, where each
-document's mean is taken. A pair has one row for each chunk, so frequent pairs and words do not follow the tokens.
+Every word and every pair of words is counted, whatever their number, and nothing of them is gathered anywhere. Documents
+are dealt into chunks by their id once, and the good ids go to the same chunks. A chunk numbers its words, counts its
+distinct pairs and sends both to the buckets of their hash, 64 bits each besides those of the bucket, so that in a
+corpus of 10^12 pairs about one in ten such runs mistakes a single pair. A bucket adds up what it holds and answers only
+for what several chunks hold: a chunk's own counts are the totals of the rest, which are most. The chunk then reads its
+texts again from the same shuffle and takes each document's mean. A frequent word or pair is sent once by each chunk.
 
 Cases: null and empty texts have no tokens, null losses and a null score; documents without a label are background
-only; several labels for one id count as good if any is; without target documents the target model is uniform;
-repeated rows count as often; an empty table gives an empty result; extra columns are ignored.
+only; several labels for one id count as good if any is; rows without an id are background; without target documents
+the target model is uniform; repeated rows count as often; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import pieces
-from postsieve.plans.durable import written
+from postsieve.llm.repeats import Line
 
 #: Words that the smoothing allows for, if the corpus has no more.
 VOCABULARY = 1 << 16
 #: Share of the bigram estimate where its first word is known, and what is added to word counts.
 BIGRAM_WEIGHT = 0.6
 SMOOTHING = 0.5
-#: Tokens of a chunk, apart from its last document.
-CHUNK_TOKENS = 2_000_000
-#: Rows sent together.
-SENT_ROWS = 50_000
+#: Bytes of text of a chunk, and of the text that a bucket answers for.
+CHUNK_BYTES = 8_000_000
+BUCKET_BYTES = 16_000_000
+LEAST_BUCKETS = 64
+#: Chunks that rows of one id are spread over, by the part of the input they come from.
+LANES = 4
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+#: Kinds of rows that pass between chunks and buckets: good ids, words, pairs, and how many words a bucket knows.
+GOOD, WORDS, PAIRS, SIZES = range(4)
+SENT = "bucket int, kind int, chunk int, keys binary, n binary, good binary"
+REPLY = "chunk int, kind int, bucket int, bits binary, n binary, good binary, words bigint, tokens bigint, good_tokens bigint"
+_REPLY_KINDS = (*[pa.int32()] * 3, *[pa.binary()] * 3, *[pa.int64()] * 3)
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    keys = (keys ^ keys >> np.uint64(32)) * np.uint64(FACTORS[1])
+    return keys ^ keys >> np.uint64(29)
 
-CHUNKS = "chunk bigint, at int, pair string, n bigint, good bigint, doc_id bigint, tokens binary"
 
+class _Counts:
+    """Distinct keys of a chunk in the order in which they are sent, with their counts."""
 
-class _Ids(dict[str, int]):
-    """Numbers in order of arrival."""
+    def __init__(self, keys: np.ndarray, spread: np.ndarray, n: np.ndarray, good: np.ndarray, bits: int):
+        self.bucket = spread >> np.uint64(64 - bits)
+        self.order = np.lexsort((keys, self.bucket))
+        self.keys, self.n, self.good = keys, n, good
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+    def parts(self) -> list[tuple[int, np.ndarray]]:
+        """Each bucket and the keys sent to it, by number."""
+        found, first = np.unique(self.bucket[self.order], return_index=True)
+        return list(zip(found.tolist(), np.split(self.order, first[1:]), strict=True)) if len(found) else []
 
 
 class _Chunk:
-    """Documents and their tokens; word 0 is the start of a text."""
-
-    def __init__(self, number: int):
-        self.number, self.ids = number, _Ids({"": 0})
-        self.docs: list[int | None] = []
-        self.good: list[bool] = []
-        self.tokens: list[np.ndarray] = []
-        self.held = 0
-
-    def add(self, doc_id: int | None, text: str | None, good: bool) -> None:
-        words = (text or "").lower().split()
-        self.docs.append(doc_id)
-        self.good.append(good)
-        self.tokens.append(np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)))
-        self.held += len(words)
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """The distinct pairs in order of ``at`` with their counts, then the documents with the ``at`` of each token."""
-        sizes = np.array([len(t) for t in self.tokens])
-        after = np.concatenate(self.tokens)
-        before = np.append(0, after)[:-1]
-        ends = np.cumsum(sizes)
-        before[(ends - sizes)[sizes > 0]] = 0
-        both, at, n = np.unique(before << 32 | after, return_inverse=True, return_counts=True)
-        good = np.bincount(at[np.repeat(np.array(self.good, bool), sizes)], minlength=len(both))
-        names = list(self.ids)
-        for a in range(0, len(both), SENT_ROWS):
-            cut = slice(a, a + SENT_ROWS)
-            pairs = [f"{names[p >> 32]} {names[p & 0xFFFFFFFF]}" for p in both[cut].tolist()]
-            yield self._batch(len(pairs), at=range(a, a + len(pairs)), pair=pairs, n=n[cut], good=good[cut])
-        at = at.astype(np.int32)
-        first = 0
-        for i in range(1, len(self.docs) + 1):
-            if i == len(self.docs) or i - first == SENT_ROWS or ends[i] - ends[first] > SENT_ROWS * 10:
-                tokens = [at[e - k:e].tobytes() for e, k in zip(ends[first:i].tolist(), sizes[first:i].tolist(), strict=True)]
-                yield self._batch(i - first, doc_id=self.docs[first:i], tokens=tokens)
-                first = i
-
-    def _batch(self, size: int, **columns) -> pa.RecordBatch:
-        kinds = {"chunk": pa.int64(), "at": pa.int32(), "pair": pa.string(), "n": pa.int64(), "good": pa.int64(), "doc_id": pa.int64(), "tokens": pa.binary()}
-        columns["chunk"] = np.full(size, self.number)
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in kinds.items()], names=list(kinds))
-
-
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    chunk = _Chunk(number)
-    for piece in pieces(batches):
-        for row in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "text", "good")), strict=True):
-            chunk.add(*row)
-            if chunk.held >= CHUNK_TOKENS:
-                yield from chunk.rows()
-                number += 1
-                chunk = _Chunk(number)
-    if chunk.docs:
-        yield from chunk.rows()
-
-
-def _loss(n: str, of: Column, before: str, size: int, words: int) -> Column:
-    """Loss of a pair that a model counts ``n`` times, its second word ``of`` times and its first ``before`` times."""
+    """A chunk's documents, its words and its pairs of words; the word before the first of a document has number 0."""
+
+    def __init__(self, table: pa.Table, good_ids: np.ndarray, bits: int):
+        self.ids = table.column("doc_id")
+        texts = [" ".join(t.lower().split()) if t else "" for t in table.column("text").to_pylist()]
+        line = Line(texts)
+        self.sizes, self.ends = line.sizes, line.ends
+        known, number, count = np.unique(line.words[:, 0], return_inverse=True, return_counts=True)
+        first = np.empty(len(known), np.int64)
+        first[number] = np.arange(len(number))
+        seconds = line.words[first, 1]
+        ids = np.array([-1 if i is None else i for i in self.ids.to_pylist()], np.int64)
+        labelled = np.isin(ids, good_ids) & ~self.ids.is_null().to_numpy()
+        of_good = np.repeat(labelled, self.sizes)
+        self.words = _Counts(known, seconds, count, np.bincount(number[of_good], minlength=len(known)), bits)
+        before = np.append(0, number + 1)[:-1]
+        before[(self.ends - self.sizes)[self.sizes > 0]] = 0
+        pairs, self.pair, count = np.unique(before << 32 | number, return_inverse=True, return_counts=True)
+        self.before, self.word = pairs >> 32, pairs & 0xFFFFFFFF
+        hashes = (np.append(np.uint64(0), x) for x in (known, seconds))
+        keys, spread = (_mixed(h[self.before] * np.uint64(f) + h[self.word + 1]) for h, f in zip(hashes, FACTORS, strict=True))
+        self.pairs = _Counts(keys, spread, count, np.bincount(self.pair[of_good], minlength=len(pairs)), bits)
+
+
+def _good(replies: pa.Table) -> np.ndarray:
+    return replies.column("good_id").drop_null().to_numpy().astype(np.int64)
+
+
+def send(table: pa.Table, replies: pa.Table, bits: int) -> pa.Table:
+    """A chunk's words and pairs with their counts, by bucket."""
+    chunk = table.column("chunk")[0].as_py() if table.num_rows else -1
+    held = _Chunk(table, _good(replies), bits)
+    rows = [(bucket, kind, chunk, c.keys[at].tobytes(), c.n[at].astype(np.uint32).tobytes(), c.good[at].astype(np.uint32).tobytes())
+            for kind, c in ((WORDS, held.words), (PAIRS, held.pairs)) for bucket, at in c.parts()]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "kind", "chunk", "keys", "n", "good"])
+
+
+def meet(table: pa.Table) -> pa.Table:
+    """A bucket's answers: which keys of a chunk others hold as well, and the totals of these; and how many words and
+    tokens it knows."""
+    bucket, kind = table.column("bucket")[0].as_py(), table.column("kind")[0].as_py()
+    keys, n, good = ([np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("keys", np.uint64), ("n", np.uint32), ("good", np.uint32)))
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    first = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
+    group = np.empty(len(every), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(every))))
+    shared = np.diff(np.append(first, len(every))) > 1
+    totals = [np.add.reduceat(np.concatenate(x)[order].astype(np.int64), first) for x in (n, good)]
+    rows, at = [], 0
+    for chunk, own in zip(table.column("chunk").to_pylist(), keys, strict=True):
+        mine = group[at:at + len(own)]
+        told = mine[shared[mine]]
+        rows.append((chunk, kind, bucket, np.packbits(shared[mine]).tobytes(), *(t[told].tobytes() for t in totals), None, None, None))
+        at += len(own)
+    if kind == WORDS:
+        rows.append((-1, SIZES, bucket, None, None, None, len(first), int(totals[0].sum()), int(totals[1].sum())))
+    names = [c.split(" ")[0] for c in REPLY.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(_REPLY_KINDS)], names=names)
+
+
+def _totals(counts: _Counts, kind: int, replies: dict[tuple[int, int], tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    n, good = counts.n.astype(np.float64), counts.good.astype(np.float64)
+    for bucket, at in counts.parts():
+        bits, all_n, all_good = replies[kind, bucket]
+        told = at[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)]
+        n[told], good[told] = np.frombuffer(all_n, np.int64), np.frombuffer(all_good, np.int64)
+    return n, good
+
+
+def _losses(pair: np.ndarray, of: np.ndarray, before: np.ndarray, size: int, words: int) -> np.ndarray:
+    """Losses of pairs that a model counts ``pair`` times, their second words ``of`` and their first ``before`` times."""
     alone = (of + SMOOTHING) / (size + SMOOTHING * max(VOCABULARY, words))
-    known = F.coalesce(F.col(before), F.lit(0)) > 0
-    return -F.log(F.when(known, alone * (1 - BIGRAM_WEIGHT) + F.col(n) * BIGRAM_WEIGHT / F.col(before)).otherwise(alone))
-
-
-def pair_losses(chunks: DataFrame) -> DataFrame:
-    """Every pair of the corpus with its ``near`` (target) and ``far`` (background) loss."""
-    counts = written(chunks.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).select(
-        "pair", F.substring_index("pair", " ", 1).alias("before"), F.substring_index("pair", " ", -1).alias("word"), "n", "good"))
-    words = written(counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
-    size = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    after = words.select("word", F.col("n").alias("of_n"), F.col("good").alias("of_good"))
-    first = words.select(F.col("word").alias("before"), F.col("n").alias("before_n"), F.col("good").alias("before_good"))
-    joined = counts.join(after, "word").join(first, "before", "left")
-    return joined.select(
-        "pair", _loss("good", F.col("of_good"), "before_good", size[2], size[0]).alias("near"),
-        _loss("n", F.col("of_n"), "before_n", size[1], size[0]).alias("far"))
-
-
-def _scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by chunk: the losses of its pairs in order, then its documents."""
-    place, held, losses = None, [], np.empty((2, 0))
-    for batch in batches:
-        chunk = batch.column("chunk").to_numpy()
-        pair = batch.column("tokens").is_null().to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero((chunk[1:] != chunk[:-1]) | (pair[1:] != pair[:-1])) + 1
-        rows = []
-        for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(chunk)], strict=True):
-            part = batch.slice(a, z - a)
-            if chunk[a] != place:
-                place, held, losses = chunk[a], [], np.empty((2, 0))
-            if pair[a]:
-                held.append(np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("near", "far")]))
-                continue
-            if held:
-                losses, held = np.concatenate([losses, *held], axis=1), []
-            for doc_id, tokens in zip(part.column("doc_id").to_pylist(), part.column("tokens").to_pylist(), strict=True):
-                at = np.frombuffer(tokens, np.int32)
-                near, far = losses[:, at].mean(1).tolist() if len(at) else (None, None)
-                rows.append((doc_id, len(at), near, far, near - far if len(at) else None))
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return -np.log(np.where(before > 0, alone * (1 - BIGRAM_WEIGHT) + pair * BIGRAM_WEIGHT / before, alone))
+
+
+def finish(table: pa.Table, replies: pa.Table, bits: int) -> pa.Table:
+    """A chunk's documents with their mean losses."""
+    held = _Chunk(table, _good(replies), bits)
+    known = replies.column("sizes").drop_null()
+    sizes = tuple(known[0].as_py().values()) if len(known) else (0, 0, 0)
+    told = {(kind, bucket): x for kind, bucket, *x in zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "bits", "n", "good")), strict=True)}
+    words, pairs = (_totals(c, kind, told) for c, kind in ((held.words, WORDS), (held.pairs, PAIRS)))
+    columns = []
+    for model, size in ((1, sizes[2]), (0, sizes[1])):
+        before = np.append(0.0, words[model])[held.before]
+        loss = _losses(pairs[model], words[model][held.word], before, size, sizes[0])[held.pair]
+        sums = np.append(0.0, np.cumsum(loss))
+        with np.errstate(invalid="ignore"):
+            columns.append((sums[held.ends] - sums[held.ends - held.sizes]) / held.sizes)
+    empty = held.sizes == 0
+    near, far = columns
+    return pa.table([held.ids, pa.array(held.sizes), *(pa.array(x, mask=empty) for x in (near, far, near - far))],
+                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss, score."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(2 * least, -(-total // CHUNK_BYTES))
+    parts = max(least, -(-chunks // 2))
+    bits = max(int(max(total / BUCKET_BYTES, min(parts, LEAST_BUCKETS) - 1)).bit_length(), 1)
+    lane = f"pmod(spark_partition_id(), {LANES})"
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("good_id")).distinct()
-    # one plan at every size: the labels grow with the corpus, so they are not broadcast
-    marked = rows.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("good"))
-    chunks = written(marked.mapInArrow(_chunks, CHUNKS))
-    back = chunks.where("pair is not null").select("chunk", "at", "pair").join(pair_losses(chunks), "pair").select(
-        "chunk", "at", "near", "far", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("binary").alias("tokens"))
-    held = chunks.where("pair is null").select(
-        "chunk", F.lit(None).cast("int").alias("at"), F.lit(None).cast("double").alias("near"), F.lit(None).cast("double").alias("far"), "doc_id", "tokens")
-    placed = back.unionAll(held).repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_last("at"))
-    return placed.mapInArrow(_scores, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    rows = rows.select(F.expr(f"int(pmod(if(doc_id is null, xxhash64(text, {lane}), xxhash64(doc_id, {lane})), {chunks}))").alias("chunk"), "doc_id", "text")
+    dealt = rows.repartition(parts, "chunk").groupBy("chunk")
+    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("bigint").alias("good_id")).where("good_id is not null").distinct()
+    good = good.select("good_id", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"))
+    ids = good.select(F.expr(f"int(pmod(xxhash64(good_id, lane), {chunks}))").alias("chunk"), "good_id")
+    sent = dealt.cogroup(ids.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(lambda t, r: send(t, r, bits), SENT)
+    told = sent.groupBy("kind", "bucket").applyInArrow(lambda t: meet(t), REPLY)
+    sizes = told.where(F.col("kind") == SIZES).agg(F.struct(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "tokens", "good_tokens"))).alias("sizes"))
+    back = told.where(F.col("kind") != SIZES).select("chunk", "kind", "bucket", "bits", "n", "good", sizes.scalar().alias("sizes"))
+    back = back.unionByName(ids.withColumn("kind", F.lit(GOOD)), allowMissingColumns=True)
+    return dealt.cogroup(back.groupBy("chunk")).applyInArrow(
+        lambda t, r: finish(t, r, bits), "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+
+
+__all__ = ["score"]

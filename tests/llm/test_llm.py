@@ -523,7 +523,7 @@ def test_scores_count_every_word_and_pair(spark, monkeypatch):
     rows = [(0, "rare0 rare1 rare2"), (1, "rare0 rare1 rare3"), (2, "a a a a")] + [(i, " ".join(r.choices(words, k=6000))) for i in range(3, 203)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     labels = spark.createDataFrame([(i, 1) for i in range(0, 100, 2)], "doc_id bigint, quality int")
-    monkeypatch.setattr(scoring, "CHUNK_TOKENS", 20_000)
+    monkeypatch.setattr(scoring, "CHUNK_BYTES", 100_000)
     one, two = Counter(), Counter()
     for _, t in rows:
         seq = t.split()
