@@ -34,7 +34,7 @@ SMOOTHING = 0.5
 #: Bytes of text of a chunk, and of the text that a bucket answers for.
 CHUNK_BYTES = 8_000_000
 BUCKET_BYTES = 16_000_000
-LEAST_BUCKETS = 64
+LEAST_BUCKETS = 128
 #: Chunks that rows of one id are spread over, by the part of the input they come from.
 LANES = 4
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -46,6 +46,15 @@ REPLY = "chunk int, kind int, bucket int, bits binary, n binary, good binary, wo
 _REPLY_KINDS = (*[pa.int32()] * 3, *[pa.binary()] * 3, *[pa.int64()] * 3)
 
 
+def _packed(counts: np.ndarray, kind: type) -> bytes:
+    """Counts as all their lowest bytes, then all their next ones: the higher ones are zeros, which shuffles compress."""
+    return counts.astype(kind).view(np.uint8).reshape(len(counts), -1).T.tobytes()
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _mixed(keys: np.ndarray) -> np.ndarray:
     keys = (keys ^ keys >> np.uint64(32)) * np.uint64(FACTORS[1])
     return keys ^ keys >> np.uint64(29)
@@ -98,7 +107,7 @@ def send(table: pa.Table, replies: pa.Table, bits: int) -> pa.Table:
     """A chunk's words and pairs with their counts, by bucket."""
     chunk = table.column("chunk")[0].as_py() if table.num_rows else -1
     held = _Chunk(table, _good(replies), bits)
-    rows = [(bucket, kind, chunk, c.keys[at].tobytes(), c.n[at].astype(np.uint32).tobytes(), c.good[at].astype(np.uint32).tobytes())
+    rows = [(bucket, kind, chunk, c.keys[at].tobytes(), _packed(c.n[at], np.uint32), _packed(c.good[at], np.uint32))
             for kind, c in ((WORDS, held.words), (PAIRS, held.pairs)) for bucket, at in c.parts()]
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "kind", "chunk", "keys", "n", "good"])
@@ -108,7 +117,8 @@ def meet(table: pa.Table) -> pa.Table:
     """A bucket's answers: which keys of a chunk others hold as well, and the totals of these; and how many words and
     tokens it knows."""
     bucket, kind = table.column("bucket")[0].as_py(), table.column("kind")[0].as_py()
-    keys, n, good = ([np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("keys", np.uint64), ("n", np.uint32), ("good", np.uint32)))
+    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    n, good = ([_unpacked(x, np.uint32) for x in table.column(c).to_pylist()] for c in ("n", "good"))
     every = np.concatenate(keys)
     order = np.argsort(every)
     first = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
@@ -120,7 +130,7 @@ def meet(table: pa.Table) -> pa.Table:
     for chunk, own in zip(table.column("chunk").to_pylist(), keys, strict=True):
         mine = group[at:at + len(own)]
         told = mine[shared[mine]]
-        rows.append((chunk, kind, bucket, np.packbits(shared[mine]).tobytes(), *(t[told].tobytes() for t in totals), None, None, None))
+        rows.append((chunk, kind, bucket, np.packbits(shared[mine]).tobytes(), *(_packed(t[told], np.int64) for t in totals), None, None, None))
         at += len(own)
     if kind == WORDS:
         rows.append((-1, SIZES, bucket, None, None, None, len(first), int(totals[0].sum()), int(totals[1].sum())))
@@ -133,7 +143,7 @@ def _totals(counts: _Counts, kind: int, replies: dict[tuple[int, int], tuple[byt
     for bucket, at in counts.parts():
         bits, all_n, all_good = replies[kind, bucket]
         told = at[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)]
-        n[told], good[told] = np.frombuffer(all_n, np.int64), np.frombuffer(all_good, np.int64)
+        n[told], good[told] = _unpacked(all_n, np.int64), _unpacked(all_good, np.int64)
     return n, good
 
 
