@@ -52,7 +52,8 @@ def _packed(counts: np.ndarray, kind: type) -> bytes:
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
 
 
 def _mixed(keys: np.ndarray) -> np.ndarray:
