@@ -48,7 +48,7 @@ _REPLY_KINDS = (*[pa.int32()] * 3, *[pa.binary()] * 3, *[pa.int64()] * 3)
 
 def _packed(counts: np.ndarray, kind: type) -> bytes:
     """Counts as all their lowest bytes, then all their next ones: the higher ones are zeros, which shuffles compress."""
-    return counts.astype(kind).view(np.uint8).reshape(len(counts), -1).T.tobytes()
+    return counts.astype(kind).view(np.uint8).reshape(len(counts), np.dtype(kind).itemsize).T.tobytes()
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
