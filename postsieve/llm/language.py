@@ -33,8 +33,6 @@ ROUNDS = 10
 PENALTY = 3.0
 #: Languages with less of a text than this are not tried in a set.
 LEAST_SHARE = 0.02
-#: Most languages of one text.
-MOST_LANGUAGES = 4
 #: Languages whose counts a training task holds before it passes them on.
 HELD = 64
 UNKNOWN = "und"
@@ -137,7 +135,7 @@ def infer(texts: list[str | None], model: Model) -> list[tuple[str, float, list[
     first = single.argmax(1)
     best_set[np.arange(len(rows)), first] = 1
     best = single.max(1)
-    for size in range(2, min(MOST_LANGUAGES, k) + 1):
+    for size in range(2, k + 1):
         heavy = np.take_along_axis(share, order[:, size - 1:size], 1)[:, 0] >= LEAST_SHARE
         if not heavy.any():
             break

@@ -258,6 +258,20 @@ def test_language_cases(spark, docs, odd, none):
     assert kept.columns == odd.columns and not {2, 3, 4, 6} & {r.doc_id for r in kept.collect()}
 
 
+def test_a_text_of_six_languages_has_six():
+    """The penalised likelihood alone ends the search."""
+    r = random.Random(2)
+    alphabets = ["abcdef", "ghijkl", "mnopqr", "stuvwx", "yzäöüß", "éèêçñó", "àâîôûë"]
+    said = [" ".join("".join(r.choice(a) for _ in range(r.randint(3, 7))) for _ in range(400)) for a in alphabets]
+    counts = np.stack([language.gram_counts(t) + language.SMOOTHING for t in said], 1)
+    model = language.Model(tuple("abcdefg"), np.log(counts / counts.sum(0)).astype(np.float32))
+    for n in (1, 3, 6):
+        (_, _, chosen), = language.infer([" ".join(t[:600] for t in said[:n])], model)
+        assert sorted(name for name, _ in chosen) == list("abcdefg"[:n])
+        assert all(abs(part - 1 / n) < 0.05 for _, part in chosen)
+
+
+
 def test_repeated_rows_and_order_do_not_matter(docs):
     model = language.train(docs)
     texts = [r.text for r in docs.limit(30).collect()]
