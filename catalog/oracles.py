@@ -574,3 +574,5 @@ ORACLES: dict[str, str] = {
       c as (select seq from a union all select seq from b), sheet as (select unnest(['All Open', 'New Today']) as sheet)
       select {lit(I.AS_OF)} as run_date, sheet, title, url as apply_link, fit_score from r join c using (seq) cross join sheet""",
 }
+
+ORACLES["store_delta_replay"] = ORACLES["store_replay"]

@@ -14,6 +14,7 @@ from catalog import inputs as I
 from postsieve.functions import fields, numbers, similarity, text
 from postsieve.operators import dedup, gates, history, normalize, publish, recheck, score
 from postsieve.plans import daily, publication
+from postsieve.plans.deltas import DeltaTable
 from postsieve.plans.durable import SnapshotTable, cut, shared_folder
 from postsieve.policy import Policy
 from postsieve.schema import as_day, conform, with_missing
@@ -386,6 +387,21 @@ def store_replay(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), days)
 
 
+@query
+def store_delta_replay(spark, sf):
+    """The same five days on a history of a base and deltas; two of the commits fold them into a base."""
+    store, days, version = DeltaTable(spark, shared_folder(spark), compact_after=2, buckets=4), [], 0
+    for day, (as_of, chosen) in enumerate(REPLAY, start=1):
+        new = ranked_slice(spark, sf, chosen) if chosen is not None else ranked_slice(spark, sf, 0).limit(0)
+        version += 1
+        counts = store.commit(cut(new), as_of, version, 21, 180)
+        days.append({**counts, "day": day, "rows_after": store.read().count()})
+        if day == 1:
+            version += 1
+            store.set_status(dismissals(spark, sf), as_of, version)
+    return spark.createDataFrame([tuple(d.values()) for d in days], ", ".join(f"{k} bigint" for k in days[0]))
+
+
 # Publication
 
 

@@ -14,6 +14,7 @@ from postsieve.operators.gates import GATES, dropoff_counts, with_reason
 from postsieve.operators.normalize import normalize
 from postsieve.operators.publish import digest, sheets
 from postsieve.operators.score import score, select_top
+from postsieve.plans.deltas import DeltaTable
 from postsieve.plans.durable import SnapshotTable, cut, written
 from postsieve.policy import Policy
 from postsieve.sources.union import union_sources
@@ -79,47 +80,48 @@ def rank(
     return cut(ranked), judged.agg(*dropoff_counts()).first().asDict()
 
 
-def _next_history(history: DataFrame, ranked: DataFrame, policy: Policy, as_of) -> tuple[DataFrame, dict]:
-    """Merge, expire and prune in one pass.  The counts of each step are an aggregate of their own over keys, dates
-    and states: counts taken while rows pass by would be wrong once a lost task runs again."""
-    merged = hist.merge(history, ranked, as_of)
+def _advance(store: SnapshotTable | DeltaTable, ranked: DataFrame, policy: Policy, as_of, version: int) -> tuple[DataFrame, dict]:
+    """Merge, expire and prune once and commit; the counts are read from the marks that were committed with the rows.
+    Counts taken while rows pass by would be wrong once a lost task runs again."""
+    if isinstance(store, DeltaTable):
+        counts = store.commit(ranked, as_of, version, policy.expire_days, policy.db_keep_days)
+        return store.read(before=version + 1), counts
+    spark, history = ranked.sparkSession, store.read(before=version)
+    history = hist.empty_history(spark) if history is None else hist.upgrade(history)
     after = (
-        merged.withColumn("_expired", hist.goes_stale(policy.expire_days, as_of))
-        .withColumn("status", F.when(F.col("_expired"), "expired").otherwise(F.col("status")))
-        .withColumn("_pruned", hist.outlives(policy.db_keep_days, as_of))
+        hist.merge(history, ranked, as_of).withColumn("expired_now", hist.goes_stale(policy.expire_days, as_of))
+        .withColumn("status", F.when(F.col("expired_now"), "expired").otherwise(F.col("status")))
+        .withColumn("pruned_now", hist.outlives(policy.db_keep_days, as_of))
     )
-    counts = after.agg(
+    current = store.write(after, version)
+    counts = spark.read.parquet(store.path(version)).agg(
         *[F.count_if(F.col("action") == a).alias(a) for a in hist.ACTIONS],
-        F.count_if("_expired").alias("expired"),
-        F.count_if("_pruned").alias("pruned"),
+        F.count_if("expired_now").alias("expired"), F.count_if("pruned_now").alias("pruned"),
     ).first().asDict()
-    return after.filter(~F.col("_pruned")).drop("_expired", "_pruned", "action"), counts
+    return current, counts
 
 
 def run(
     spark: SparkSession,
     policy: Policy,
     sources: list[DataFrame],
-    store: SnapshotTable,
+    store: SnapshotTable | DeltaTable,
     as_of,
     version: int,
     similarity: Similarity | None = None,
 ) -> RunResult:
-    """Run the stages for one day and commit the next history as ``version``.
+    """Run the stages for one day and commit the next history as ``version``: as a whole copy, or as the rows that the
+    day touches if the store keeps deltas.
 
     ``similarity`` adds a ``sim`` column (a cosine) to postings.
 
-    Running a version again starts from the snapshot before it and replaces it.
+    Running a version again starts from the history before it and replaces it.
     """
-    history = store.read(before=version)
-    history = hist.empty_history(spark) if history is None else hist.upgrade(history)
-
-    raw = union_sources(sources)
+    raw = written(union_sources(sources))
     normalized = written(normalize(raw, policy))
     ranked, gates = rank(normalized, policy, as_of, similarity)
 
-    after, merge_counts = _next_history(history, ranked, policy, as_of)
-    current = store.write(after, version)
+    current, merge_counts = _advance(store, ranked, policy, as_of, version)
     open_rows = current.filter(F.col("status") == "new")
     all_open, new_today = sheets(open_rows, as_of)
     totals = hist.counts(current, as_of).first()

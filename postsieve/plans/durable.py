@@ -44,6 +44,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Columns of a copy that say what the run behind it did with a row; rows that it pruned are in the copy, marked.
+FLAGS = ("action", "expired_now", "pruned_now")
+
+
+def _visible(df: DataFrame) -> DataFrame:
+    return df.filter("not pruned_now").drop(*FLAGS) if "pruned_now" in df.columns else df
+
+
 class SnapshotTable:
     """Numbered full copies of a table below one folder.
 
@@ -77,7 +85,7 @@ class SnapshotTable:
     def read(self, before: int | None = None) -> DataFrame | None:
         """Newest copy, or the newest below a number; None if there is none."""
         known = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(self.path(known[-1])) if known else None
+        return _visible(self.spark.read.parquet(self.path(known[-1]))) if known else None
 
     def write(self, df: DataFrame, version: int, partition_by: tuple[str, ...] = ()) -> DataFrame:
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(version))
@@ -85,4 +93,4 @@ class SnapshotTable:
             for old in [v for v in self.versions() if v <= version][: -self.keep]:
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(old))
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        return self.spark.read.parquet(self.path(version))
+        return _visible(self.spark.read.parquet(self.path(version)))
