@@ -34,8 +34,8 @@ COVER, MODULUS = (0, 1, 3, 9), 13
 #: Shortest run reported.
 LEAST = 12
 #: Characters searched together, and places of the grids looked at together.
-PIECE = 2_000_000
-BLOCK = 1_000_000
+PIECE = 1_000_000
+BLOCK = 250_000
 
 #: The step that brings two places into the cover, by their residues.
 STEP = np.array([[min(s for s in range(MODULUS) if (i + s) % MODULUS in COVER and (j + s) % MODULUS in COVER)
