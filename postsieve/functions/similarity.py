@@ -8,10 +8,12 @@ similar one.  Python sees only the pairs they leave open.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -29,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _UNARY, _PER_LONG = 14, 4
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 N_SKETCH = 7
+N_GRAMS = 128
 SKETCH = tuple(f"s{i}" for i in range(N_SKETCH))
 # Word sketches: column -> (shortest, longest, least length + 1) of its words.
 WORD_CLASSES = {"w0": (1, 3, 2), "w1": (4, 6, 5), "w2": (7, 1 << 30, 8)}
@@ -65,6 +68,22 @@ def letter_counts(text: Column) -> Column:
     return F.array(*counts)
 
 
+@F.pandas_udf(T.ArrayType(T.ByteType()))
+def gram_counts(text: pd.Series) -> pd.Series:
+    """How often each of ``N_GRAMS`` classes of two neighbouring characters occurs in words joined by blanks.
+
+    Blanks stand around each word, so the counts of a text are the sum of those of its words.  A count above 127 is
+    stored as 127, which can only make the bound on them looser.
+    """
+    counts = []
+    for words in text:
+        codes = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        classes = ((codes[:-1] * np.uint64(1_000_003) + codes[1:]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
+        found = np.bincount(classes.astype(np.int64), minlength=N_GRAMS)
+        counts.append(np.minimum(found, 127).astype(np.int8))
+    return pd.Series(counts, dtype=object)
+
+
 def sketch(letters: Column) -> list[Column]:
     """The letter counts of a text as ``N_SKETCH`` longs."""
     longs = []
@@ -100,58 +119,93 @@ def _only(x: str, y: str, name: str) -> Column:
     return F.bit_count(F.col(f"{x}.{name}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{name}"))))
 
 
+def _total(terms: list[Column]) -> Column:
+    return reduce(lambda p, q: p + q, terms)
+
+
+def edit_budget(a: str, b: str, threshold: float) -> Column:
+    """The most characters by which the unshared words of two similar records may differ in edit form."""
+    return (F.col(f"{a}.size") + F.col(f"{b}.size")) * F.lit(1.0 - threshold / 100.0) + F.lit(1e-6)
+
+
+def unshared_budget(size: Column, threshold: float) -> Column:
+    """The most that the unshared words of a record may weigh (length + 1 each) if the other one nearly contains it."""
+    e = 1.0 - threshold / 100.0
+    return size * F.lit(2 * e / (1 + e)) + F.lit(1e-6)
+
+
+def may_be_edited(a: str, b: str, threshold: float) -> Column:
+    """Necessary condition, on sketches, for a ratio of at least ``threshold`` in edit form.
+
+    ``a`` and ``b`` are the prefixes of two records that carry ``size`` (length of the joined words) and the sketches.
+    Shared words cancel out, so the letters only one side has are at most the distance of the unshared words, and
+    that is at most (1 - threshold / 100) * (size_a + size_b).
+    """
+    letters = _total([_only(x, y, s) for x, y in ((a, b), (b, a)) for s in SKETCH])
+    budget = edit_budget(a, b, threshold)
+    return (F.abs(F.col(f"{a}.size") - F.col(f"{b}.size")) <= budget) & (letters <= budget)
+
+
+def may_be_inside(a: str, b: str, threshold: float) -> Column:
+    """Necessary condition, on word sketches, for a ratio of at least ``threshold`` as b nearly contains a.
+
+    With e = 1 - threshold / 100 and u the joined length of a's unshared words, that is u = 0 or
+    1 + u <= 2 * e * size / (1 + e), where 1 + u is the sum of (length + 1) over the unshared words.
+    """
+    weight = _total([_only(a, b, n) * F.lit(w) for n, (_, _, w) in WORD_CLASSES.items()])
+    return weight <= unshared_budget(F.col(f"{a}.size"), threshold)
+
+
 def may_be_similar(a: str, b: str, threshold: float) -> Column:
-    """Necessary condition for a ratio of at least ``threshold``.
-
-    ``a`` and ``b`` are the prefixes of two records that carry ``size`` (length
-    of the joined words) and both sketches.  Shared words cancel out in both, so
-    the letters and the words only one side has never weigh more than that
-    side's unshared words.  With e = 1 - threshold / 100, and u the joined
-    length of one side's unshared words, a similar pair meets one of these:
-
-    * edit form: letters only one side has <= distance <= e * (size_a + size_b);
-    * one side nearly contained in the other: u = 0 or
-      1 + u <= 2 * e * size / (1 + e), where 1 + u is the sum of (length + 1)
-      over the unshared words.
+    """Necessary condition, on sketches, for a ratio of at least ``threshold`` in any form."""
+    return may_be_edited(a, b, threshold) | may_be_inside(a, b, threshold) | may_be_inside(b, a, threshold)
+
+
+def still_edited(a: str, b: str, threshold: float) -> Column:
+    """The condition of :func:`may_be_edited` on whole letter counts, then on counts of neighbouring characters.
+
+    A character put in or taken out changes three pairs of neighbours at most, and those of shared words cancel out.
+    The tests take a few microseconds, where the ratio costs up to a thousand times as much.
     """
-    e = 1.0 - threshold / 100.0
-    slack = F.lit(1e-6)
-    total = lambda terms: reduce(lambda p, q: p + q, terms)
-    letters = lambda x, y: total([_only(x, y, s) for s in SKETCH])
-    weight = lambda x, y: total(
-        [_only(x, y, n) * F.lit(w) for n, (_, _, w) in WORD_CLASSES.items()]
-    )
-    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
-    budget = (size_a + size_b) * F.lit(e) + slack
-    inside = lambda w, size: (w == 0) | (w <= size * F.lit(2 * e / (1 + e)) + slack)
-    return (
-        ((F.abs(size_a - size_b) <= budget) & (letters(a, b) + letters(b, a) <= budget))
-        | inside(weight(a, b), size_a)
-        | inside(weight(b, a), size_b)
-    )
+    budget = edit_budget(a, b, threshold)
+
+    def apart(name: str) -> Column:
+        gaps = F.zip_with(F.col(f"{a}.{name}"), F.col(f"{b}.{name}"), lambda x, y: F.abs(x - y))
+        return F.aggregate(gaps, F.lit(0), lambda acc, n: acc + n)
+
+    return (apart("letters") <= budget) & (apart("grams") <= F.lit(3) * budget)
 
 
-def still_similar(a: str, b: str, threshold: float) -> Column:
-    """The condition of :func:`may_be_similar` on whole counts instead of sketches.
+def is_inside(a: str, b: str, threshold: float) -> Column:
+    """The condition of :func:`may_be_inside` on whole words, which the records carry as ``text``."""
+    words_a, words_b = F.split(F.col(f"{a}.text"), " "), F.split(F.col(f"{b}.text"), " ")
+    weight = F.aggregate(F.array_except(words_a, words_b), F.lit(0), lambda acc, w: acc + F.length(w) + 1)
+    return weight <= unshared_budget(F.col(f"{a}.size"), threshold)
+
 
-    Its bounds hold for the same reasons.  It costs a few microseconds a pair, where
-    the ratio costs up to a thousand times as much, and is for pairs the sketches
-    leave open: counts above what a sketch can hold and words that share a bit.
-    The records also carry ``letters`` and their words as ``text``.
+def size_band(size: Column, threshold: float) -> Column:
+    """A number of sizes such that two records in edit form are in the same band or in neighbouring ones.
+
+    Their sizes differ by at most e * (size_a + size_b), so the larger is at most (1 + e) / (1 - e) times the smaller.
+    Null for an empty text, which is similar to nothing.
     """
     e = 1.0 - threshold / 100.0
-    slack = F.lit(1e-6)
-    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
-    apart = F.zip_with(F.col(f"{a}.letters"), F.col(f"{b}.letters"), lambda x, y: F.abs(x - y))
-    words_a, words_b = F.split(F.col(f"{a}.text"), " "), F.split(F.col(f"{b}.text"), " ")
-    total = lambda x, of: F.aggregate(x, F.lit(0), lambda acc, w: acc + of(w))
-    weight = lambda x, y: total(F.array_except(x, y), lambda w: F.length(w) + 1)
-    inside = lambda w, size: w <= size * F.lit(2 * e / (1 + e)) + slack
-    return (
-        (total(apart, lambda n: n) <= (size_a + size_b) * F.lit(e) + slack)
-        | inside(weight(words_a, words_b), size_a)
-        | inside(weight(words_b, words_a), size_b)
-    )
+    step = math.log((1 + e) / max(1 - e, 1e-9) * (1 + 1e-6))
+    return F.floor(F.ln(F.when(size > 0, size)) / F.lit(step))
+
+
+def needed_words(words: Column, size: Column, threshold: float) -> Column:
+    """The shortest beginning of ``words`` of which any record that nearly contains this one holds a word.
+
+    Together the words weigh more than unshared words may, so they cannot all be unshared.
+    """
+    budget = unshared_budget(size, threshold)
+    start = F.struct(F.lit(0).alias("weight"), F.slice(words, 1, 0).alias("kept"))
+    step = lambda acc, w: F.when(
+        acc["weight"] <= budget,
+        F.struct((acc["weight"] + F.length(w) + 1).alias("weight"), F.concat(acc["kept"], F.array(w)).alias("kept")),
+    ).otherwise(acc)
+    return F.aggregate(words, start, step, lambda acc: acc["kept"])
 
 
 def common_length(a: str, b: str) -> int:
@@ -167,27 +221,95 @@ def common_length(a: str, b: str) -> int:
     return len(a) - open_.bit_count()
 
 
-def _ratio(a: str, b: str) -> float:
-    """Token-set ratio of two texts of distinct words; white space separates words."""
-    words_a, words_b = set(a.split()), set(b.split())
-    if not words_a or not words_b:
-        return 0.0
-    shared = " ".join(sorted(words_a & words_b))
-    only_a = " ".join(sorted(words_a - words_b))
-    only_b = " ".join(sorted(words_b - words_a))
-    if shared and not (only_a and only_b):
-        return 100.0
-    gap = 1 if shared else 0
-    s, n_a, n_b = len(shared), len(only_a), len(only_b)
-    whole_a, whole_b = s + gap + n_a, s + gap + n_b
-    distance = n_a + n_b - 2 * common_length(only_a, only_b)
-    best = 100.0 - 100.0 * distance / (whole_a + whole_b)
-    if shared:
-        best = max(
-            best,
-            100.0 - 100.0 * (gap + n_a) / (s + whole_a),
-            100.0 - 100.0 * (gap + n_b) / (s + whole_b),
-        )
+# The batch form keeps up to this many 64-bit words a text and this many words of match masks at once.
+_KERNEL_WORDS, _KERNEL_MASKS = 16, 1 << 20
+
+
+def _points(texts: list[str], width: int) -> np.ndarray:
+    """Code points of texts, one row each, -1 behind their end."""
+    rows = np.full((len(texts), width), -1, np.int64)
+    for row, text in zip(rows, texts):
+        row[: len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return rows
+
+
+def _common_in_step(left: list[str], right: list[str]) -> np.ndarray:
+    """:func:`common_length` of many pairs at once: a row of 64-bit words a pair, all pairs one character at a time."""
+    n, words = len(left), -(-max(map(len, left)) // 64)
+    points = _points(left, max(map(len, left))), _points(right, max(map(len, right)))
+    letters = np.unique(points[0])
+    letters = letters[letters >= 0]
+    kinds = len(letters) + 1  # the last kind stands for a character that the left text cannot have
+    place = np.minimum(np.searchsorted(letters, points[1]), kinds - 2)
+    coded = np.where(letters[place] == points[1], place, kinds - 1)
+    row = np.arange(n) * kinds
+    masks = np.zeros((words, n * kinds), np.uint64)
+    for i in range(points[0].shape[1]):
+        here = points[0][:, i] >= 0
+        masks[i // 64, row[here] + np.searchsorted(letters, points[0][here, i])] |= np.uint64(1 << (i % 64))
+    open_ = np.full((words, n), ~np.uint64(0))
+    for j in range(coded.shape[1]):
+        at = row + coded[:, j]
+        carry = np.zeros(n, np.uint64)
+        for w in range(words):
+            hits, before = masks[w, at], open_[w]
+            added = before & hits
+            total = before + added
+            over = total < added
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            open_[w] = total | (before & ~hits)
+    return 64 * words - np.bitwise_count(open_).sum(axis=0, dtype=np.int64)
+
+
+def common_lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """:func:`common_length` of each pair.
+
+    Pairs of like length share the steps of one NumPy kernel; texts above 1,024 characters take the big integers,
+    which are as fast there.
+    """
+    found = np.zeros(len(left), np.int64)
+    short, width = [], 64 * _KERNEL_WORDS
+    for k, (a, b) in enumerate(zip(left, right)):
+        if a and b:
+            if max(len(a), len(b)) <= width:
+                short.append(k)
+            else:
+                found[k] = common_length(a, b)
+    short.sort(key=lambda k: (-(-len(left[k]) // 64), len(right[k])))
+    while short:
+        words = -(-len(left[short[-1]]) // 64)
+        size = max(1, _KERNEL_MASKS // (words * 128))
+        part, short = short[-size:], short[:-size]
+        found[part] = _common_in_step([left[k] for k in part], [right[k] for k in part])
+    return found
+
+
+def ratios(left: list[str], right: list[str]) -> np.ndarray:
+    """Token-set ratios of pairs of texts of distinct words; white space separates words."""
+    best, pairs, sizes = np.zeros(len(left)), [], []
+    for k, (a, b) in enumerate(zip(left, right)):
+        words_a, words_b = set(a.split()), set(b.split())
+        if not words_a or not words_b:
+            continue
+        shared = " ".join(words_a & words_b)
+        only_a = " ".join(sorted(words_a - words_b))
+        only_b = " ".join(sorted(words_b - words_a))
+        if shared and not (only_a and only_b):
+            best[k] = 100.0
+            continue
+        pairs.append((k, only_a, only_b))
+        sizes.append((len(shared), 1 if shared else 0, len(only_a), len(only_b)))
+    if not pairs:
+        return best
+    at, only_a, only_b = (list(part) for part in zip(*pairs))
+    shared, gap, n_a, n_b = np.array(sizes, np.int64).T
+    whole_a, whole_b = shared + gap + n_a, shared + gap + n_b
+    distance = n_a + n_b - 2 * common_lengths(only_a, only_b)
+    found = 100.0 - 100.0 * distance / (whole_a + whole_b)
+    with_a = 100.0 - 100.0 * (gap + n_a) / (shared + whole_a)
+    with_b = 100.0 - 100.0 * (gap + n_b) / (shared + whole_b)
+    best[at] = np.where(gap > 0, np.maximum(found, np.maximum(with_a, with_b)), found)
     return best
 
 
@@ -195,7 +317,7 @@ def _ratio(a: str, b: str) -> float:
 def token_set_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Token-set ratio from 0 to 100 of two text columns.
 
-    Kept for the pairs that :func:`may_be_similar` leaves open; the distance
-    behind it has no built-in counterpart (it counts a substitution as two).
+    Kept for the pairs that the bounds leave open; the distance behind it has no
+    built-in counterpart (it counts a substitution as two).
     """
-    return pd.Series([_ratio(a or "", b or "") for a, b in zip(left, right)], dtype="float64")
+    return pd.Series(ratios(left.fillna("").tolist(), right.fillna("").tolist()), dtype="float64")

@@ -11,37 +11,53 @@ enough, else it becomes a leader.  The sequential rule is met exactly, in rounds
    the similar ones are settled, so a large group of near copies is gone after
    the round that finds its leader.
 
-Record pairs are tested inside the join; only similar ones leave it.
+Two records can be similar in two ways, and each has an index of its own:
+
+* one nearly contains the other: it asks for its rarest words, of which the other
+  must hold one, and meets the records listed under them;
+* the unshared words differ by few characters: the records are in the same or in
+  neighbouring bands of size, and their counts of letters and of neighbouring
+  characters differ by few.
+
+Lists and bands that are long are kept in tiles, and who asks for them goes to
+each tile.  Pairs are tested inside the joins; only similar ones leave them.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postsieve.functions.similarity import (
     SKETCH,
+    WORD_CLASSES,
     block_key,
     fingerprint,
+    gram_counts,
+    is_inside,
     joined,
     letter_counts,
-    may_be_similar,
+    may_be_edited,
+    may_be_inside,
+    needed_words,
+    size_band,
     sketch,
-    still_similar,
+    still_edited,
     token_set_ratio,
     tokens,
     word_sketch,
 )
-from postsieve.plans.durable import cut
+from postsieve.plans.durable import cut, shared_folder
 
 THRESHOLD = 90
 _FIRST_BATCH = 1000  # Spark limits ranks before the shuffle up to this many by default
-_BROADCAST_BYTES = 32 << 20
-_TILE_ROWS = 4096
+_TILE_ROWS = 1024
 _PART_ROWS = 50_000
 _MAX_HOT = 50_000
+_LEAST_COUNTED = 64
 _LANES = 64
 
 
@@ -57,65 +73,96 @@ def records(df: DataFrame, block: Column | None = None) -> DataFrame:
     )
 
 
-def _features(recs: DataFrame) -> DataFrame:
-    text = recs.withColumn("text", joined(F.col("words"))).withColumn("letters", letter_counts(F.col("text")))
-    return text.select(
-        "id", "block", "text", F.length("text").alias("size"), "letters",
-        *sketch(F.col("letters")), *word_sketch(F.col("words")),
-    )
-
+def _band_key(band: Column) -> Column:
+    """Bands are listed beside words; no word has a blank."""
+    return F.concat(F.lit(" "), band.cast("string"))
 
-def _bytes_of(df: DataFrame) -> tuple[int, int]:
-    """Row count and an upper estimate of the rows' size in memory."""
-    row = df.agg(
-        F.count(F.lit(1)),
-        F.coalesce(F.sum(F.octet_length("text") + F.lit(512)), F.lit(0)),
-    ).first()
-    return row[0], row[1]
 
+def _long_lists(recs: DataFrame) -> DataFrame:
+    """(block, key, n): how many records are listed under a word or a band, where they are many.
 
-def _spread_blocks(left: DataFrame, right: DataFrame, n_right: int) -> tuple[DataFrame, DataFrame]:
-    """Split hot blocks of ``right`` into tiles and copy ``left`` to each tile.
-
-    A block is hot above ``tile`` rows, so there are at most n_right / tile hot
-    blocks; the tile grows with the data to keep that table small enough to
-    broadcast.
+    A list counts as long above ``least`` records, and ``least`` grows with all entries, so there are at most
+    ``_MAX_HOT`` long lists and their table can be broadcast.
     """
-    tile = max(_TILE_ROWS, math.ceil(n_right / _MAX_HOT))
-    hot = (
-        right.groupBy("block").count().filter(F.col("count") > tile)
-        .select("block", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    )
-    tiles = F.coalesce(F.col("tiles"), F.lit(1))
-    spread = lambda df: df.join(F.broadcast(hot), "block", "left")
-    right = spread(right).withColumn("tile", F.pmod(F.hash("id"), tiles)).drop("tiles")
-    left = spread(left).withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1))).drop("tiles")
-    return left, right
-
-
-def _similar(
-    left: DataFrame, right: DataFrame, threshold: float, n_right: int, left_bytes: int, ordered: bool
-) -> DataFrame:
-    """Pairs (a, b) of similar records of one block, a from left and b from right."""
-    keys = ["block"]
-    spark = right.sparkSession
-    if left_bytes <= _BROADCAST_BYTES:
-        # Size was measured: no shuffle, and a hot block stays spread over the
-        # partitions it is in.
-        left = F.broadcast(left)
-        right = right.repartition(max(spark.sparkContext.defaultParallelism, n_right // _PART_ROWS), "id")
-    else:
-        left, right = _spread_blocks(left, right, n_right)
-        keys.append("tile")
-    test = may_be_similar("a", "b", threshold) & still_similar("a", "b", threshold)
-    for key in keys:
-        test = (F.col(f"a.{key}") == F.col(f"b.{key}")) & test
+    total = recs.agg(F.coalesce(F.sum(F.size("words") + 1), F.lit(0))).first()[0]
+    least = max(_LEAST_COUNTED, math.ceil(total / _MAX_HOT))
+    keys = F.concat("words", F.array_compact(F.array(_band_key(F.col("band")))))
+    listed = recs.select("block", F.explode(keys).alias("key"))
+    return listed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+
+
+def _features(recs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Records with their sketches and ``keys``: words and the bands around their own, with the tiles of each list,
+    and ``needed``: the words to ask for, rarest first (those of short lists before all others, long words first)."""
+    text = recs.withColumn("text", joined(F.col("words"))).withColumn("size", F.length("text"))
+    text = text.withColumn("letters", letter_counts(F.col("text"))).withColumn("band", size_band(F.col("size"), threshold))
+    text = cut(text.select(
+        "id", "block", "words", "text", "size", "band", "letters", gram_counts("text").alias("grams"),
+        *sketch(F.col("letters")), *word_sketch(F.col("words")),
+    ))
+    around = F.array_compact(F.array(*[_band_key(F.col("band") + i) for i in (-1, 0, 1)]))
+    asked = text.select("id", "block", F.explode(F.concat("words", around)).alias("key"))
+    asked = asked.join(F.broadcast(cut(_long_lists(text))), ["block", "key"], "left")
+    rare = F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("key")).alias("short"), "key")
+    keys = asked.groupBy("id").agg(F.array_sort(F.collect_list(rare)).alias("keys"))
+    rows = text.drop("words").join(keys, "id", "left")
+    is_word = lambda k: ~F.startswith(k["key"], F.lit(" "))
+    by_rarity = F.transform(F.filter("keys", is_word), lambda k: k["key"])
+    return rows.withColumn("needed", needed_words(by_rarity, F.col("size"), threshold))
+
+
+_TESTS = ("letters", "grams", *SKETCH)
+_WORD_TESTS = tuple(WORD_CLASSES)
+
+
+def _lists(df: DataFrame, wanted, columns: tuple[str, ...], each_tile: bool) -> DataFrame:
+    """One row for each wanted key of a record: in one tile of its list, or to be taken to each tile."""
+    rows = df.select("id", "block", "text", "size", *columns, F.explode(F.filter("keys", wanted)).alias("_k"))
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("_k.n") / _TILE_ROWS).cast("int"))
+    tile = F.explode(F.sequence(F.lit(0), tiles - 1)) if each_tile else F.pmod(F.hash("id"), tiles)
+    return rows.select("id", "block", "text", "size", *columns, F.col("_k.key").alias("key"), tile.alias("tile"))
+
+
+def _met(asking: DataFrame, listed: DataFrame, parts: int, test: Column, ordered: bool, flipped: bool = False) -> DataFrame:
+    """Pairs that meet in a tile of a list and pass the test: a from the left side of the comparison, b from the right."""
+    on = ["block", "key", "tile"]
+    x, y = asking.repartition(parts, *on).alias("x"), listed.repartition(parts, *on).alias("y")
+    for key in on:
+        test = (F.col(f"x.{key}") == F.col(f"y.{key}")) & test
+    a, b = ("y", "x") if flipped else ("x", "y")
     if ordered:
-        test = test & (F.col("a.id") < F.col("b.id"))
-    near = left.alias("a").join(right.alias("b"), test).select(
-        F.col("a.id").alias("a"), F.col("b.id").alias("b"),
-        F.col("a.text").alias("text_a"), F.col("b.text").alias("text_b"),
+        test = (F.col(f"{a}.id") < F.col(f"{b}.id")) & test
+    return x.join(y, test).select(
+        F.col(f"{a}.id").alias("a"), F.col(f"{b}.id").alias("b"),
+        F.col(f"{a}.text").alias("text_a"), F.col(f"{b}.text").alias("text_b"),
+    )
+
+
+def _similar(left: DataFrame, right: DataFrame, threshold: float, n_right: int, ordered: bool) -> DataFrame:
+    """Pairs (a, b) of similar records of one block, a from left and b from right; a pair may come more than once."""
+    parts = max(right.sparkSession.sparkContext.defaultParallelism, n_right // _PART_ROWS)
+    is_band = lambda k: F.startswith(k["key"], F.lit(" "))
+    is_word = lambda k: ~F.startswith(k["key"], F.lit(" "))
+    own_band = lambda k: k["key"] == _band_key(F.col("band"))
+    needed = lambda k: F.array_contains(F.col("needed"), k["key"])
+
+    edited = _met(
+        _lists(left, is_band, _TESTS, each_tile=True), _lists(right, own_band, _TESTS, each_tile=False), parts,
+        may_be_edited("x", "y", threshold) & still_edited("x", "y", threshold), ordered,
     )
+    inside = [
+        # the left record is nearly contained in the right one
+        _met(
+            _lists(left, needed, _WORD_TESTS, each_tile=True), _lists(right, is_word, _WORD_TESTS, each_tile=False), parts,
+            may_be_inside("x", "y", threshold) & is_inside("x", "y", threshold), ordered,
+        ),
+        # the right record is nearly contained in the left one
+        _met(
+            _lists(right, needed, _WORD_TESTS, each_tile=True), _lists(left, is_word, _WORD_TESTS, each_tile=False), parts,
+            may_be_inside("x", "y", threshold) & is_inside("x", "y", threshold), ordered, flipped=True,
+        ),
+    ]
+    near = reduce(DataFrame.union, inside, edited)
     return near.filter(token_set_ratio("text_a", "text_b") >= threshold).select("a", "b")
 
 
@@ -147,15 +194,28 @@ def _last_of_batch(recs: DataFrame, size: int) -> DataFrame:
 
 
 def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: int = _FIRST_BATCH) -> DataFrame:
-    """(id, leader) for every record of :func:`records`."""
-    open_ = cut(_features(recs))
-    n_open, size, done = open_.count(), first_batch, None
+    """(id, leader) for every record of :func:`records`.
+
+    What a round settles is written beside what the rounds before it did, so no plan grows with the rounds.
+    """
+    spark, folder, turn = recs.sparkSession, shared_folder(recs.sparkSession), 0
+    open_ = cut(_features(recs, threshold))
+    n_open, size = open_.count(), first_batch
+
+    def settle(part: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/round={turn}-{name}"
+        part.write.mode("overwrite").parquet(path)
+        return spark.read.schema(part.schema).parquet(path)
+
+    if not n_open:
+        return recs.select("id", F.col("id").alias("leader"))
     while n_open:
+        turn += 1
         split = open_.join(cut(_last_of_batch(open_, size)), "block", "left")
         first = F.coalesce(F.col("id") <= F.col("last"), F.lit(True))
         batch, rest = cut(split.filter(first).drop("last")), split.filter(~first).drop("last")
-        n_batch, batch_bytes = _bytes_of(batch)
-        edges = cut(_similar(batch, batch, threshold, n_batch, batch_bytes, ordered=True))
+        n_batch = batch.count()
+        edges = cut(_similar(batch, batch, threshold, n_batch, ordered=True))
         members = _settle(edges)
         if members is None:
             leaders = batch
@@ -167,20 +227,16 @@ def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: i
             settled = leaders.select("id", F.col("id").alias("leader")).union(
                 to_leader.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
             )
-        done = settled if done is None else done.union(settled)
+        settle(settled, "batch")
         if n_batch == n_open:
             break
-        n_leaders, leader_bytes = _bytes_of(leaders)
-        near = _similar(leaders, rest, threshold, n_open - n_batch, leader_bytes, ordered=False)
-        absorbed = cut(near.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")))
-        done = done.union(absorbed)
+        near = _similar(leaders, rest, threshold, n_open - n_batch, ordered=False)
+        absorbed = settle(near.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")), "rest")
         open_ = cut(rest.join(absorbed.select("id"), "id", "left_anti"))
         n_open = open_.count()
         # Widen while most of a batch leads; after a batch of copies, go narrow.
-        size = size * 2 if 2 * n_leaders >= n_batch else max(first_batch, size // 2)
-    if done is None:
-        return recs.select("id", F.col("id").alias("leader"))
-    return done
+        size = size * 2 if 2 * leaders.count() >= n_batch else max(first_batch, size // 2)
+    return spark.read.schema("id bigint, leader bigint").parquet(f"{folder}/round=*")
 
 
 def leaders(df: DataFrame, threshold: float = THRESHOLD, block: Column | None = None, **kw) -> DataFrame:

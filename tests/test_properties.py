@@ -110,12 +110,12 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "seq long, company string, title string, location string")
 
 
-@pytest.mark.parametrize("seed,batch,broadcast,threshold", [(1, 4096, True, 90), (2, 16, True, 90), (3, 24, False, 80)])
-def test_leaders_equal_the_sequential_rule(spark, monkeypatch, seed, batch, broadcast, threshold):
+@pytest.mark.parametrize("seed,batch,whole_lists,threshold", [(1, 4096, True, 90), (2, 16, True, 90), (3, 24, False, 80)])
+def test_leaders_equal_the_sequential_rule(spark, monkeypatch, seed, batch, whole_lists, threshold):
     rows = postings(random.Random(seed), 220, ["Acme GmbH", "Acme AG", "", "Unknown", "Ünder & Co"])
-    if not broadcast:
-        monkeypatch.setattr(dedup, "_BROADCAST_BYTES", -1)
+    if not whole_lists:
         monkeypatch.setattr(dedup, "_TILE_ROWS", 20)
+        monkeypatch.setattr(dedup, "_LEAST_COUNTED", 4)
     got = dict(dedup.leaders(frame(spark, rows), threshold, first_batch=batch).collect())
     assert got == sequential_leaders(rows, threshold)
 
@@ -145,6 +145,31 @@ def test_bounds_never_drop_a_similar_pair(spark):
     assert sum(p.m90 for p in pairs) < len(pairs) / 2
 
 
+@pytest.mark.parametrize("threshold", [0, 70, 90, 100])
+def test_the_index_finds_every_similar_pair(spark, monkeypatch, threshold):
+    monkeypatch.setattr(dedup, "_TILE_ROWS", 7)
+    monkeypatch.setattr(dedup, "_LEAST_COUNTED", 3)
+    rng = random.Random(11)
+    words = ["data", "Daten", "engineer", "intern", "müller", "ab", "x", "learning", "日本", "python"]
+    rows = [(i, "Acme", " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 5, 9, 30]))) + rng.choice(["", "s", " 42"]), None)
+            for i in range(120)]
+    recs = dedup.records(frame(spark, rows))
+    found = dedup._features(recs, threshold)
+    texts = {r.id: r.text for r in found.collect()}
+    got = {tuple(r) for r in dedup._similar(found, found, threshold, 120, ordered=True).collect()}
+    want = {(a, b) for a in texts for b in texts if a < b and ratio(texts[a], texts[b]) >= threshold}
+    assert got == want
+
+
+def test_common_lengths_of_many_pairs():
+    rng = random.Random(3)
+    for signs in ("ab", "abcdefgh ", "äöüß𝒳😀日本 é"):
+        text = lambda: "".join(rng.choices(signs, k=rng.choice([0, 1, 5, 63, 64, 65, 128, 129, 200, 1024, 1030])))  # noqa: B023, E731
+        left, right = [text() for _ in range(60)], [text() for _ in range(60)]
+        assert sim.common_lengths(left, right).tolist() == [sim.common_length(a, b) for a, b in zip(left, right)]
+    assert sim.common_lengths([], []).tolist() == [] and sim.ratios(["", "a"], ["a", "a b"]).tolist() == [0.0, 100.0]
+
+
 def test_common_length():
     rng = random.Random(7)
     for _ in range(300):
