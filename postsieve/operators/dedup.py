@@ -50,7 +50,7 @@ from postsieve.functions.similarity import (
     tokens,
     word_sketch,
 )
-from postsieve.plans.durable import cut, shared_folder
+from postsieve.plans.durable import cut, shared_folder, written
 
 THRESHOLD = 90
 _FIRST_BATCH = 1000  # Spark limits ranks before the shuffle up to this many by default
@@ -197,9 +197,20 @@ def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: i
     """(id, leader) for every record of :func:`records`.
 
     What a round settles is written beside what the rounds before it did, so no plan grows with the rounds.
+
+    With a column ``leader`` the records that have one are settled already; within a block they must all come before
+    those that have none. Open records then meet the known leaders first, and only what is left goes through the rounds.
     """
     spark, folder, turn = recs.sparkSession, shared_folder(recs.sparkSession), 0
-    open_ = cut(_features(recs, threshold))
+    known = leading = None
+    if "leader" in recs.columns:
+        known = recs.filter("leader is not null").select("id", "leader")
+        standing = recs.filter("leader = id").join(recs.filter("leader is null").select("block").distinct(), "block", "left_semi")
+        found = cut(_features(recs.filter("leader is null").unionByName(standing), threshold))
+        leading = cut(found.join(known.select("id"), "id", "left_semi"))
+        open_ = cut(found.join(known.select("id"), "id", "left_anti"))
+    else:
+        open_ = cut(_features(recs, threshold))
     n_open, size = open_.count(), first_batch
 
     def settle(part: DataFrame, name: str) -> DataFrame:
@@ -208,7 +219,12 @@ def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: i
         return spark.read.schema(part.schema).parquet(path)
 
     if not n_open:
-        return recs.select("id", F.col("id").alias("leader"))
+        return recs.select("id", F.col("id").alias("leader")) if known is None else known
+    if leading is not None:
+        near = _similar(leading, open_, threshold, n_open, ordered=False)
+        absorbed = settle(near.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")), "known")
+        open_ = cut(open_.join(absorbed.select("id"), "id", "left_anti"))
+        n_open = open_.count()
     while n_open:
         turn += 1
         split = open_.join(cut(_last_of_batch(open_, size)), "block", "left")
@@ -236,7 +252,8 @@ def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: i
         n_open = open_.count()
         # Widen while most of a batch leads; after a batch of copies, go narrow.
         size = size * 2 if 2 * leaders.count() >= n_batch else max(first_batch, size // 2)
-    return spark.read.schema("id bigint, leader bigint").parquet(f"{folder}/round=*")
+    led = spark.read.schema("id bigint, leader bigint").parquet(f"{folder}/round=*")
+    return led if known is None else led.unionByName(known)
 
 
 def leaders(df: DataFrame, threshold: float = THRESHOLD, block: Column | None = None, **kw) -> DataFrame:
@@ -249,6 +266,35 @@ def leaders(df: DataFrame, threshold: float = THRESHOLD, block: Column | None =
     return _join_copies(rows, led, recs).select("seq", F.col("leader").alias("leader_seq"))
 
 
+def keyed(df: DataFrame, block: Column | None = None) -> DataFrame:
+    """Postings with what dedup needs of them: ``block``, ``words`` and ``rich``, which is least for the richest copy."""
+    return df.withColumns({
+        "block": block_key(F.col("company")) if block is None else block,
+        "words": tokens(fingerprint(F.col("company"), F.col("title"), F.col("location"))),
+        "rich": _rich(),
+    })
+
+
+def relead(rows: DataFrame, changed: DataFrame, threshold: float = THRESHOLD, **kw) -> DataFrame:
+    """Leaders after a change: ``rows`` (:func:`keyed`, all there are now) with ``leader_seq`` brought up to date.
+
+    Rows that are new have no ``leader_seq``, the others that of the last time; ``changed`` holds (block, seq) of every
+    row that came or went. The rule goes through a block in order of ``seq``, so what precedes its first change keeps
+    its leader; only the records behind it are compared, with the leaders before them and with each other. Blocks
+    without a change are passed through.
+    """
+    border = changed.groupBy("block").agg(F.min("seq").alias("border"))
+    tagged = rows.join(border, "block", "left")
+    touched = written(tagged.filter("border is not null"))
+    recs = touched.groupBy("block", "words", "border").agg(
+        F.min("seq").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("leader_seq").alias("leader"))
+    recs = cut(recs.withColumn("leader", F.when(F.col("id") < F.col("border"), F.col("leader"))).drop("border"))
+    led = recs.drop("leader").join(record_leaders(recs, threshold, **kw), "id").select("block", "words", "copies", "leader")
+    anew = _join_copies(touched.drop("leader_seq", "border"), led, recs).withColumnRenamed("leader", "leader_seq")
+    same = tagged.filter("border is null").select(*rows.columns)
+    return same.unionByName(anew.select(*rows.columns))
+
+
 def _join_copies(rows: DataFrame, led: DataFrame, recs: DataFrame) -> DataFrame:
     """Join postings to their records; the copies of a hot record go to several tasks.
 
@@ -265,20 +311,21 @@ def _join_copies(rows: DataFrame, led: DataFrame, recs: DataFrame) -> DataFrame:
     return rows.join(led, ["block", "words", "_salt"])
 
 
+def _rich() -> Column:
+    return F.struct(
+        (-F.length(F.coalesce("description", F.lit("")))).alias("chars"),
+        F.when(F.coalesce("posted_date", F.lit("")) != "", 0).otherwise(1).alias("undated"),
+        F.col("seq").alias("seq"),
+    )
+
+
 def representatives(df: DataFrame, groups: DataFrame) -> DataFrame:
     """(seq, leader_seq) of the copy to keep per group.
 
     Longest description, then one with a date, then the earliest.  A map-side
     aggregation, so the size of a group does not matter.
     """
-    rich = df.select(
-        "seq",
-        F.struct(
-            (-F.length(F.coalesce("description", F.lit("")))).alias("chars"),
-            F.when(F.coalesce("posted_date", F.lit("")) != "", 0).otherwise(1).alias("undated"),
-            F.col("seq").alias("seq"),
-        ).alias("rich"),
-    )
+    rich = df.select("seq", _rich().alias("rich"))
     return (
         rich.join(groups, "seq").groupBy("leader_seq").agg(F.min("rich").alias("rich"))
         .select(F.col("rich.seq").alias("seq"), "leader_seq")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,22 +42,24 @@ def _sim(rows: DataFrame, similarity: Similarity | None) -> tuple[DataFrame, Col
     return (rows, None) if similarity is None else (similarity(rows), F.col("sim"))
 
 
-def verdicts(postings: DataFrame, policy: Policy, as_of, similarity: Similarity | None = None) -> DataFrame:
-    """(seq, reject_reason, fit_score) of every posting, from scans alone.
+def verdicts(
+    postings: DataFrame, policy: Policy, as_of, similarity: Similarity | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(seq, reject_reason, fit_score) of every posting and the columns to ``keep``, from scans alone.
 
     Rejected rows are not scored: their texts are blanked first, or, where a
     similarity has to be computed, they are left out of that branch.
     """
     judged = with_reason(postings, policy, as_of)
     passes = F.col("reject_reason").isNull()
-    narrow = ("seq", "reject_reason", "fit_score")
+    narrow = ("seq", *keep, "reject_reason", "fit_score")
     if similarity is None:
         blanked = judged.withColumns({c: F.when(passes, F.col(c)) for c in ("title", "description")})
         return score(blanked, policy, as_of, reason=False).select(*narrow)
     rows, sim = _sim(judged.filter(passes), similarity)
     scored = score(rows, policy, as_of, sim, reason=False).select(*narrow)
     return scored.unionByName(
-        judged.filter(~passes).select("seq", "reject_reason", F.lit(0.0).alias("fit_score"))
+        judged.filter(~passes).select("seq", *keep, "reject_reason", F.lit(0.0).alias("fit_score"))
     )
 
 
@@ -73,14 +75,21 @@ def rank(
     groups = leaders(postings)
     kept = representatives(postings, groups).join(verdicts(postings, policy, as_of, similarity), "seq")
     judged = written(kept.select(F.col("seq").alias("row"), F.col("leader_seq").alias("seq"), "reject_reason", "fit_score"))
+    return selected(postings, judged, policy, as_of, similarity), judged.agg(*dropoff_counts()).first().asDict()
+
+
+def selected(
+    postings: DataFrame, judged: DataFrame, policy: Policy, as_of, similarity: Similarity | None = None
+) -> DataFrame:
+    """The best of the judged rows (``row`` of the posting, its place ``seq``, reason and score), with reasons."""
     best = cut(select_top(judged.filter("reject_reason is null"), policy).select("row", F.col("seq").alias("place")))
     chosen = postings.join(best, postings["seq"] == best["row"]).drop("row")
     rows, sim = _sim(chosen, similarity)
     ranked = score(rows, policy, as_of, sim).withColumn("seq", F.col("place")).drop("place")
-    return cut(ranked), judged.agg(*dropoff_counts()).first().asDict()
+    return cut(ranked)
 
 
-def _advance(store: SnapshotTable | DeltaTable, ranked: DataFrame, policy: Policy, as_of, version: int) -> tuple[DataFrame, dict]:
+def advance(store: SnapshotTable | DeltaTable, ranked: DataFrame, policy: Policy, as_of, version: int) -> tuple[DataFrame, dict]:
     """Merge, expire and prune once and commit; the counts are read from the marks that were committed with the rows.
     Counts taken while rows pass by would be wrong once a lost task runs again."""
     if isinstance(store, DeltaTable):
@@ -121,7 +130,7 @@ def run(
     normalized = written(normalize(raw, policy))
     ranked, gates = rank(normalized, policy, as_of, similarity)
 
-    current, merge_counts = _advance(store, ranked, policy, as_of, version)
+    current, merge_counts = advance(store, ranked, policy, as_of, version)
     open_rows = current.filter(F.col("status") == "new")
     all_open, new_today = sheets(open_rows, as_of)
     totals = hist.counts(current, as_of).first()

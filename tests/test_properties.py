@@ -15,6 +15,7 @@ from postsieve.functions.text import quote_around
 from postsieve.operators import dedup
 from postsieve.operators.normalize import normalize
 from postsieve.operators.score import select_top
+from postsieve.plans.durable import cut
 from postsieve.policy import Policy
 from postsieve.schema import conform
 from postsieve.streaming import streaks
@@ -120,6 +121,25 @@ def test_leaders_equal_the_sequential_rule(spark, monkeypatch, seed, batch, whol
     assert got == sequential_leaders(rows, threshold)
 
 
+def test_leaders_after_changes_equal_the_sequential_rule(spark):
+    """Rows come in any order, and some that were there go: each time the leaders are those of all rows there are."""
+    rng = random.Random(37)
+    rows = postings(rng, 150, ["Acme GmbH", "Beta", ""])
+    rng.shuffle(rows)
+    there, led = [], None
+    for came, gone in ((rows[:70], []), (rows[70:110], rng.sample(rows[:70], 6)), ([], rows[100:103]), (rows[110:], [])):
+        there = [r for r in there if r not in gone] + came
+        fresh = dedup.keyed(frame(spark, came).withColumns({"description": F.lit(""), "posted_date": F.lit("")}))
+        fresh = fresh.select("seq", "block", "words", F.lit(None).cast("bigint").alias("leader_seq"))
+        lost = frame(spark, gone).select("seq")
+        left = fresh if led is None else led.join(lost, "seq", "left_anti").unionByName(fresh)
+        changed = fresh.select("block", "seq")
+        if led is not None:
+            changed = changed.unionByName(led.join(lost, "seq").select("block", "seq"))
+        led = cut(dedup.relead(left, changed, first_batch=16))
+        assert {r.seq: r.leader_seq for r in led.collect()} == sequential_leaders(there)
+
+
 def test_one_block_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(dedup, "_PART_ROWS", 50)
     rows = [(i, "Unknown", f"machine learning internship in the data team number {i}", "Berlin") for i in range(400)]

@@ -262,6 +262,24 @@ def test_micro_batches_equal_the_days_run(spark, raw, tmp_path, cuts):
     assert sorted(live.read().collect()) == sorted(batch.read().collect()) != []
 
 
+def test_batches_in_any_order_and_twice(spark, raw, tmp_path):
+    """Later rows first, a batch run again over what a lost run left of it, an empty batch: the selection is that of
+    the day as a whole."""
+    from postsieve.plans.daily import rank
+    from postsieve.streaming.incremental import add_batch
+
+    again = raw.withColumn("seq", F.col("seq") + 100)  # every URL once more: first from these, then taken over
+    folder, late = str(tmp_path / "day"), raw.filter("seq % 2 = 0")
+    add_batch(again, P, AS_OF, folder, 0)
+    add_batch(raw.filter("seq % 2 = 1").limit(1), P, AS_OF, folder, 1)
+    add_batch(raw.filter("seq % 2 = 1"), P, AS_OF, folder, 1)
+    add_batch(raw.limit(0), P, AS_OF, folder, 2)
+    got = add_batch(late, P, AS_OF, folder, 3)
+    want, counts = rank(normalize(raw.unionByName(again), P), P, AS_OF)
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect()) != []
+    assert spark.read.parquet(f"{folder}/state/snapshot=3").select("leader_seq").distinct().count() == counts["input"]
+
+
 def test_publication_keeps_the_newest_dates(spark, raw, tmp_path):
     from postsieve.plans.publication import last_run, publish, run_log
 
