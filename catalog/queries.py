@@ -612,17 +612,13 @@ def _log(spark, sf):
 
 @query
 def failure_streaks(spark, sf):
-    rows = streaks.failure_streaks(
-        _log(spark, sf), "user_id", F.col("ok"), ("ts", "event_id"), F.date_trunc("hour", F.col("ts"))
-    )
+    rows = streaks.failure_streaks(_log(spark, sf), "user_id", F.col("ok"), ("ts", "event_id"))
     return rows.select("event_id", "user_id", "streak", "tripped")
 
 
 @query
 def failure_streak_state(spark, sf):
-    return streaks.end_state(
-        _log(spark, sf), "user_id", F.col("ok"), ("ts", "event_id"), F.date_trunc("hour", F.col("ts"))
-    )
+    return streaks.end_state(_log(spark, sf), "user_id", F.col("ok"), ("ts", "event_id"))
 
 
 def _in_parts(rows: DataFrame, parts: int, order: str, start) -> str:
@@ -639,7 +635,7 @@ def _in_parts(rows: DataFrame, parts: int, order: str, start) -> str:
 @query
 def failure_streak_stream(spark, sf):
     folder = _in_parts(_log(spark, sf), 3, "event_id", lambda stream, folder: streaks.start_streaks(
-        stream, "user_id", F.col("ok"), ("ts", "event_id"), F.date_trunc("hour", F.col("ts")),
+        stream, "user_id", F.col("ok"), ("ts", "event_id"), None,
         SnapshotTable(spark, f"{folder}/state"), f"{folder}/out", f"{folder}/checkpoint",
     ))
     return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "streak", "tripped")

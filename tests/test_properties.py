@@ -266,7 +266,7 @@ def test_quotes_equal_slicing(spark):
         assert r.q == want, repr(r.t)
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 1000])
+@pytest.mark.parametrize("chunk", [1, 3, 1000, None])
 def test_streaks_equal_a_loop(spark, chunk):
     rng = random.Random(23)
     # Source 0 holds most of the log.
@@ -279,7 +279,7 @@ def test_streaks_equal_a_loop(spark, chunk):
         want[n] = (count[source], source in tripped)
     schema = "source int, n long, ok boolean"
     df = spark.createDataFrame(log, schema)
-    args = ("source", F.col("ok"), ["n"], F.floor(F.col("n") / chunk), 4)
+    args = ("source", F.col("ok"), ["n"], None if chunk is None else F.floor(F.col("n") / chunk), 4)
     got = {r.n: (r.streak, r.tripped) for r in streaks.failure_streaks(df, *args).collect()}
     assert got == want
     # The same log in two parts, with the state handed over.
@@ -291,6 +291,35 @@ def test_streaks_equal_a_loop(spark, chunk):
     assert end == {s: (count[s], s in tripped) for s in count}
 
 
+def test_a_hot_source_is_spread_over_ranges(spark):
+    """One source, without a name, has most rows, all at one time; ranges cut it, and small batches cut ranges."""
+    rng = random.Random(41)
+    log = [(None if rng.random() < 0.8 else rng.choice(["a", "ä"]), 7, n, None if rng.random() < 0.1 else rng.random() < 0.3)
+           for n in range(3000)]
+    want, count, tripped = {}, {}, set()
+    for source, _, n, ok in log:
+        count[source] = 0 if ok else count.get(source, 0) + 1
+        if count[source] >= 9:
+            tripped.add(source)
+        want[n] = (count[source], source in tripped)
+    df = spark.createDataFrame(log, "source string, hour int, n long, ok boolean")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "37"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        scanned = streaks._scanned_ranges(df, "source", F.col("ok"), ["hour", "n"])
+        hot = scanned.filter("source is null").groupBy("_chunk").count().collect()
+        got = {r.n: (r.streak, r.tripped) for r in streaks.failure_streaks(df, "source", F.col("ok"), ["hour", "n"], threshold=9).collect()}
+        end = {r.source: (r.streak, r.tripped) for r in streaks.end_state(df, "source", F.col("ok"), ["hour", "n"], threshold=9).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(hot) > 4 and max(r["count"] for r in hot) < 3000 / 4
+    assert got == want and end == {s: (count[s], s in tripped) for s in count}
+    assert streaks.failure_streaks(df.limit(0), "source", F.col("ok"), ["hour", "n"]).count() == 0
+
+
 def test_results_do_not_depend_on_partitions(spark):
     rng = random.Random(29)
     rows = [(s, c, t, p, "test", f"https://x.org/{s % 40}?ref=1", "text and team " * (s % 3), "2024-01-09")
