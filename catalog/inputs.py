@@ -53,6 +53,14 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(view(spark, sf_dir, POSTINGS))
 
 
+# What the runs of the history queries find: the postings by their date. The first two hold every row between them.
+DAYS = {
+    0: "(posted_date is null or posted_date <= '2024-01-05')",
+    1: "(posted_date >= '2024-01-05')",
+    2: "(posted_date >= '2024-01-11')",
+    3: "(posted_date = '2024-01-14')",
+}
+
 FIRST_LINE = "split_part(text, chr(10), 1)"
 
 TITLES = f"""

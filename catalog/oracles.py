@@ -229,7 +229,7 @@ PAY = "title, company, location, source, description, posted_date"
 
 def day_slice(name: str, day: int) -> str:
     return f"""{name} as (select {CANON} as url, title, company, location, source, description, posted_date, cast(seq % 101 as double) as fit_score, seq
-  from post where (seq - seq % 40 + seq % 20) % 4 <> {day} qualify row_number() over (partition by {CANON} order by seq) = 1)"""
+  from post where {I.DAYS[day]} qualify row_number() over (partition by {CANON} order by seq) = 1)"""
 
 
 def merged(name: str, old: str, new: str, as_of: str) -> str:
@@ -497,17 +497,18 @@ ORACLES: dict[str, str] = {
         qualify row_number() over (partition by r.company order by r.rk) <= 8 - coalesce(n, 0))
       select company, seq, fit_score from a union all select company, seq, fit_score from b""",
     "store_merge": f"with {SECOND} select {SHOW}, action from h2",
-    "store_merge_small": f"with {SECOND} select {SHOW}, action from h2",
+    "store_merge_small": f"with {SECOND}, {day_slice('s6', 3)}, {merged('h3', 'h2', 's6', '2024-01-14')} select {SHOW}, action from h3",
     "store_actions": f"with {SECOND}, a as (select unnest(['inserted', 'updated', 'reopened', 'skipped_handled']) as action) select a.action, count(h2.url) as n from a left join h2 on h2.action = a.action group by a.action",
     "store_expire": f"with {SECOND}, {expired('x', 'h2', 21, '2024-02-01')} select {SHOW} from x",
     "store_prune": f"with {SECOND}, {expired('x', 'h2', 21, '2024-02-10')} select {SHOW} from x where not {old_expired(30, '2024-02-10')}",
-    "store_set_status": f"with {FIRST}, {day_slice('s5', 2)} select h1.url, h1.title, h1.fit_score, cast(first_seen as string) as first_seen, cast(last_seen as string) as last_seen, case when s5.url is not null then 'applied' else status end as status from h1 left join s5 on s5.url = h1.url",
+    "store_set_status": f"with {SECOND}, {day_slice('s5', 2)} select h2.url, h2.title, h2.fit_score, cast(first_seen as string) as first_seen, cast(last_seen as string) as last_seen, case when s5.url is not null then 'applied' else status end as status from h2 left join s5 on s5.url = h2.url",
     "store_list_active": f"with {SECOND} select {SHOW}, source, location from h2 where status = 'new' and source ilike '%AGENTUR%' and location ilike '%köln%' and first_seen = date '2024-01-11' and fit_score >= 30 order by fit_score desc, url limit 40",
     "store_list_by_score": f"with {SECOND} select {SHOW}, source, location from h2 where status = 'new' and fit_score >= 60 order by fit_score desc, url limit 25",
+    "store_list_clustered": f"with {SECOND} select {SHOW}, source, location from h2 where status = 'new' and fit_score >= 60 order by fit_score desc, url limit 25",
     "store_list_by_place": f"with {SECOND} select {SHOW}, source, location from h2 where status = 'new' and source ilike '%indeed%' and location ilike '%M_nchen%'",
     "store_counts": f"with {SECOND} select count(*) filter (status = 'new') as total_open, count(*) filter (status = 'new' and first_seen = date '2024-01-11') as new_today from h2",
     "store_last_run": "select (select cast(ts as string) from events where event_type = 'error' order by event_id desc limit 1) as run_ts union all select 'never'",
-    "store_upgrade": f"with {FIRST} select url, title, fit_score, cast(first_seen as string) as first_seen, cast(first_seen as string) as last_seen, status from h1",
+    "store_upgrade": f"with {SECOND} select url, title, fit_score, cast(first_seen as string) as first_seen, cast(first_seen as string) as last_seen, status from h2",
     "store_replay": replay(),
     "sheet_all_open": f"""with {OPEN} select case when is_new then 'NEW' else '' end as new, fit_score, title, company, location, source, language, coalesce(posted_date, '') as posted_date,
       {age('posted_date', I.AS_OF)}::bigint as age_days, url as apply_link, {BAND} as band from open""",

@@ -50,8 +50,8 @@ def similarity_of(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
 
 
 def ranked_slice(spark: SparkSession, sf: str, day: int) -> DataFrame:
-    """A day's selection, one row per URL: all but a quarter of the URLs, another quarter each day."""
-    rows = normalize.clean_fields(I.postings(spark, sf).filter((F.col("seq") - F.col("seq") % 40 + F.col("seq") % 20) % 4 != day))
+    """A day's selection, one row per URL: the postings whose dates that day's run finds."""
+    rows = normalize.clean_fields(I.postings(spark, sf).filter(I.DAYS[day]))
     return normalize.first_by(rows, ["url"], "seq").select(
         "url", "title", "company", "location", "source", "description",
         F.lit("").alias("language"), F.lit("").alias("role_type"), "posted_date",
@@ -292,7 +292,8 @@ def store_merge(spark, sf):
 
 @query
 def store_merge_small(spark, sf):
-    merged = history.merge(first_history(spark, sf), ranked_slice(spark, sf, 1), "2024-01-11")
+    """One day's new postings against a history that holds them all."""
+    merged = history.merge(second_history(spark, sf), ranked_slice(spark, sf, 3), "2024-01-14")
     return shown(merged, F.coalesce("action", F.lit("untouched")).alias("action"))
 
 
@@ -319,7 +320,7 @@ def store_prune(spark, sf):
 @query
 def store_set_status(spark, sf):
     changes = ranked_slice(spark, sf, 2).select("url", F.lit("applied").alias("status"), "seq")
-    return shown(history.set_status(first_history(spark, sf), changes, order="seq"))
+    return shown(history.set_status(second_history(spark, sf), changes, order="seq"))
 
 
 @query
@@ -336,6 +337,14 @@ def store_list_by_score(spark, sf):
     return shown(history.list_active(second_history(spark, sf), min_score=60, limit=25, as_of="2024-01-11"), "source", "location")
 
 
+@query
+def store_list_clustered(spark, sf):
+    """The best open rows of a stored history that is laid out by status and score."""
+    store = SnapshotTable(spark, shared_folder(spark), partition_by=("status",), range_by=("fit_score",))
+    stored = store.write(second_history(spark, sf), 1)
+    return shown(history.list_active(stored, min_score=60, limit=25, as_of="2024-01-11"), "source", "location")
+
+
 @query
 def store_list_by_place(spark, sf):
     rows = history.list_active(second_history(spark, sf), source="indeed", city="M_nchen", as_of="2024-01-11")
@@ -356,7 +365,7 @@ def store_last_run(spark, sf):
 
 @query
 def store_upgrade(spark, sf):
-    return shown(history.upgrade(first_history(spark, sf).drop("last_seen")))
+    return shown(history.upgrade(second_history(spark, sf).drop("last_seen")))
 
 
 REPLAY = (("2024-01-10", 0), ("2024-01-11", 1), ("2024-02-10", 2), ("2024-02-11", 0), ("2024-09-01", None))

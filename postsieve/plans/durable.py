@@ -87,8 +87,11 @@ class SnapshotTable:
         known = [v for v in self.versions() if before is None or v < before]
         return _visible(self.spark.read.parquet(self.path(known[-1]))) if known else None
 
-    def write(self, df: DataFrame, version: int, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(version))
+    def write(self, df: DataFrame, version: int) -> DataFrame:
+        if self.partition_by or self.range_by:
+            order = (*self.partition_by, *self.range_by)
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        df.write.mode("overwrite").partitionBy(*self.partition_by).parquet(self.path(version))
         if self.keep is not None:
             for old in [v for v in self.versions() if v <= version][: -self.keep]:
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(old))

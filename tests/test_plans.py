@@ -192,6 +192,31 @@ def test_old_copies_are_removed(spark, tmp_path):
     assert table.versions() == [3, 4] and table.read().count() == 7
 
 
+def test_a_clustered_history_is_read_in_part(spark, tmp_path):
+    rows = spark.range(8000).select(
+        F.concat(F.lit("u"), "id").alias("url"), (F.col("id") * 37 % 1000 / 10).alias("fit_score"),
+        F.when(F.col("id") % 5 == 0, "expired").otherwise("new").alias("status"),
+        *[F.lit("").alias(c) for c in ("source", "location")])
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "10"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        stored = SnapshotTable(spark, str(tmp_path / "h"), partition_by=("status",), range_by=("fit_score",)).write(rows, 1)
+        listed = history.list_active(stored, min_score=80, as_of="2024-01-11")
+        got = sorted(r.url for r in listed.collect())
+        plan = listed._jdf.queryExecution().executedPlan()
+        scan = plan.collectLeaves().head()
+        read = scan.metrics().apply("numOutputRows").value()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted(r.url for r in rows.filter("status = 'new' and fit_score >= 80").collect())
+    assert "PartitionFilters: [isnotnull(status#" in plan.toString()
+    assert len(got) <= read <= len(got) + 1000
+    assert sorted(stored.select(rows.columns).collect()) == sorted(rows.collect())
+
+
 def test_recheck_of_a_store(spark, tmp_path):
     store = SnapshotTable(spark, str(tmp_path / "h"))
     with pytest.raises(ValueError):
