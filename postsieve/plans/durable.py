@@ -59,11 +59,19 @@ class SnapshotTable:
     worst an unread folder, and writing a number again replaces that copy.  With
     ``keep``, a commit removes all but so many of the newest copies; two at least
     stay, as a run that is repeated starts from the copy before its own.
+
+    A copy can be laid out for its readers: in one folder for each value of
+    ``partition_by`` (text, not blank), whose rows lie in ranges of ``range_by``.
+    A filter on the first skips folders, one on the second files and row groups.
+    Ranges are cut by number of rows, so a folder that holds most rows has the
+    most files.  The columns of ``partition_by`` come last in what is read.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keep: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, keep: int | None = None,
+                 partition_by: tuple[str, ...] = (), range_by: tuple[str, ...] = ()):
         self.spark, self.root = spark, root.rstrip("/")
         self.keep = None if keep is None else max(2, keep)
+        self.partition_by, self.range_by = tuple(partition_by), tuple(range_by)
 
     def path(self, version: int) -> str:
         return f"{self.root}/snapshot={version}"
