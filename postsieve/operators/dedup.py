@@ -205,6 +205,8 @@ def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: i
     known = leading = None
     if "leader" in recs.columns:
         known = recs.filter("leader is not null").select("id", "leader")
+        if recs.filter("leader is null").isEmpty():
+            return known
         standing = recs.filter("leader = id").join(recs.filter("leader is null").select("block").distinct(), "block", "left_semi")
         found = cut(_features(recs.filter("leader is null").unionByName(standing), threshold))
         leading = cut(found.join(known.select("id"), "id", "left_semi"))
@@ -219,7 +221,7 @@ def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: i
         return spark.read.schema(part.schema).parquet(path)
 
     if not n_open:
-        return recs.select("id", F.col("id").alias("leader")) if known is None else known
+        return recs.select("id", F.col("id").alias("leader"))
     if leading is not None:
         near = _similar(leading, open_, threshold, n_open, ordered=False)
         absorbed = settle(near.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader")), "known")
