@@ -48,7 +48,12 @@ def written(df: DataFrame) -> DataFrame:
 FLAGS = ("action", "expired_now", "pruned_now")
 
 
+#: What a recheck told of the rows it dismissed.
+TOLD = "told"
+
+
 def _visible(df: DataFrame) -> DataFrame:
+    df = df.drop(TOLD)
     return df.filter("not pruned_now").drop(*FLAGS) if "pruned_now" in df.columns else df
 
 

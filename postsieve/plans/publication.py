@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postsieve.operators.history import last_value, upgrade
 from postsieve.operators.publish import write_sheets
-from postsieve.operators.recheck import recheck
+from postsieve.operators.recheck import judged, marked, report, report_of
 from postsieve.plans.daily import RunResult, Similarity
 from postsieve.plans.durable import SnapshotTable, written
 from postsieve.policy import Policy
@@ -49,13 +49,13 @@ def recheck_store(
         raise ValueError(f"no history before version {version}")
     history = upgrade(history)
     rows, sim = (history, None) if similarity is None else (similarity(history), F.col("sim"))
-    report, after = recheck(rows, policy, as_of, sim, dry_run)
-    report = written(report)
-    if not dry_run:
-        current = store.write(after, version)
-        if folder is not None:
-            publish_sheets(spark, current, policy, as_of, folder)
-    return report
+    if dry_run:
+        return written(report(judged(rows, policy, as_of, sim)))
+    # judged once: the report is read from the marks that were committed with the rows
+    current = store.write(marked(rows, policy, as_of, sim), version)
+    if folder is not None:
+        publish_sheets(spark, current, policy, as_of, folder)
+    return written(report_of(spark.read.parquet(store.path(version))))
 
 
 def drop_old(spark: SparkSession, path: str, keep: int) -> list[str]:
