@@ -223,6 +223,8 @@ def common_length(a: str, b: str) -> int:
 
 # The batch form keeps up to this many 64-bit words a text and this many words of match masks at once.
 _KERNEL_WORDS, _KERNEL_MASKS = 16, 1 << 20
+# In a band around the diagonal the kernel is faster up to this many.
+_BAND_WORDS = 64
 
 
 def _points(texts: list[str], width: int) -> np.ndarray:
@@ -233,8 +235,13 @@ def _points(texts: list[str], width: int) -> np.ndarray:
     return rows
 
 
-def _common_in_step(left: list[str], right: list[str]) -> np.ndarray:
-    """:func:`common_length` of many pairs at once: a row of 64-bit words a pair, all pairs one character at a time."""
+def _common_in_step(left: list[str], right: list[str], needed: np.ndarray | None = None) -> np.ndarray:
+    """:func:`common_length` of many pairs at once: a row of 64-bit words a pair, all pairs one character at a time.
+
+    With ``needed``, the result is exact where it is at least that much and otherwise no more than the truth: an
+    alignment that leaves so much in common stays near the diagonal, so only the words around it are brought up to date,
+    and pairs that can no longer reach it are left out.
+    """
     n, words = len(left), -(-max(map(len, left)) // 64)
     points = _points(left, max(map(len, left))), _points(right, max(map(len, right)))
     letters = np.unique(points[0])
@@ -248,10 +255,14 @@ def _common_in_step(left: list[str], right: list[str]) -> np.ndarray:
         here = points[0][:, i] >= 0
         masks[i // 64, row[here] + np.searchsorted(letters, points[0][here, i])] |= np.uint64(1 << (i % 64))
     open_ = np.full((words, n), ~np.uint64(0))
+    sizes = np.array([list(map(len, left)), list(map(len, right))], np.int64)
+    # how far an alignment may stray to either side: what either text may leave unmatched
+    above, below = (words * 64, words * 64) if needed is None else (int(x) for x in (sizes - needed).max(axis=1))
+    found, live = np.zeros(n, np.int64), np.arange(n)
     for j in range(coded.shape[1]):
         at = row + coded[:, j]
-        carry = np.zeros(n, np.uint64)
-        for w in range(words):
+        carry = np.zeros(len(at), np.uint64)
+        for w in range(max(0, j - below) // 64, min(words - 1, (j + above) // 64) + 1):
             hits, before = masks[w, at], open_[w]
             added = before & hits
             total = before + added
@@ -259,17 +270,29 @@ def _common_in_step(left: list[str], right: list[str]) -> np.ndarray:
             total += carry
             carry = (over | (total < carry)).astype(np.uint64)
             open_[w] = total | (before & ~hits)
-    return 64 * words - np.bitwise_count(open_).sum(axis=0, dtype=np.int64)
+        if needed is not None and j % 64 == 63:
+            common = np.cumsum(64 - np.bitwise_count(open_).astype(np.int64), axis=0)
+            starts = 64 * np.arange(words)[:, None]
+            still = np.minimum(sizes[0, live] - starts, sizes[1, live] - j - 1).clip(0) + common
+            alive = still.max(axis=0) >= needed[live]
+            if 4 * alive.sum() <= 3 * len(alive):
+                found[live] = common[-1]
+                live, row, coded, open_ = live[alive], row[alive], coded[alive], open_[:, alive]
+                if not len(live):
+                    return found
+    found[live] = 64 * words - np.bitwise_count(open_).sum(axis=0, dtype=np.int64)
+    return found
 
 
-def common_lengths(left: list[str], right: list[str]) -> np.ndarray:
-    """:func:`common_length` of each pair.
+def common_lengths(left: list[str], right: list[str], needed: np.ndarray | None = None) -> np.ndarray:
+    """:func:`common_length` of each pair; with ``needed``, exact where it is at least that much and else no more than
+    the truth.
 
     Pairs of like length share the steps of one NumPy kernel; texts above 1,024 characters take the big integers,
-    which are as fast there.
+    which are as fast there if all of the pair is compared.
     """
     found = np.zeros(len(left), np.int64)
-    short, width = [], 64 * _KERNEL_WORDS
+    short, width = [], 64 * (_KERNEL_WORDS if needed is None else _BAND_WORDS)
     for k, (a, b) in enumerate(zip(left, right)):
         if a and b:
             if max(len(a), len(b)) <= width:
@@ -281,31 +304,42 @@ def common_lengths(left: list[str], right: list[str]) -> np.ndarray:
         words = -(-len(left[short[-1]]) // 64)
         size = max(1, _KERNEL_MASKS // (words * 128))
         part, short = short[-size:], short[:-size]
-        found[part] = _common_in_step([left[k] for k in part], [right[k] for k in part])
+        found[part] = _common_in_step(
+            [left[k] for k in part], [right[k] for k in part], None if needed is None else needed[part])
     return found
 
 
-def ratios(left: list[str], right: list[str]) -> np.ndarray:
-    """Token-set ratios of pairs of texts of distinct words; white space separates words."""
-    best, pairs, sizes = np.zeros(len(left)), [], []
+def ratios(left: list[str], right: list[str], least: float | None = None) -> np.ndarray:
+    """Token-set ratios of pairs of texts of distinct words; white space separates words.
+
+    With ``least``, those below it may come out lower than they are.
+    """
+    best, pairs, sizes, split = np.zeros(len(left)), [], [], {}
+    for text in {*left, *right}:
+        split[text] = frozenset(text.split())
     for k, (a, b) in enumerate(zip(left, right)):
-        words_a, words_b = set(a.split()), set(b.split())
+        words_a, words_b = split[a], split[b]
         if not words_a or not words_b:
             continue
-        shared = " ".join(words_a & words_b)
-        only_a = " ".join(sorted(words_a - words_b))
-        only_b = " ".join(sorted(words_b - words_a))
-        if shared and not (only_a and only_b):
+        only_a, only_b = sorted(words_a - words_b), sorted(words_b - words_a)
+        n_shared = len(words_a) - len(only_a)
+        if n_shared and not (only_a and only_b):
             best[k] = 100.0
             continue
+        only_a, only_b = " ".join(only_a), " ".join(only_b)
+        shared = sum(map(len, words_a)) + len(words_a) - 1 - len(only_a) - 1 if n_shared else 0
         pairs.append((k, only_a, only_b))
-        sizes.append((len(shared), 1 if shared else 0, len(only_a), len(only_b)))
+        sizes.append((shared, 1 if shared else 0, len(only_a), len(only_b)))
     if not pairs:
         return best
     at, only_a, only_b = (list(part) for part in zip(*pairs))
     shared, gap, n_a, n_b = np.array(sizes, np.int64).T
     whole_a, whole_b = shared + gap + n_a, shared + gap + n_b
-    distance = n_a + n_b - 2 * common_lengths(only_a, only_b)
+    needed = None
+    if least is not None:
+        # one less than asked for, so that no rounding decides
+        needed = np.floor((n_a + n_b - (1 - least / 100) * (whole_a + whole_b)) / 2).astype(np.int64) - 1
+    distance = n_a + n_b - 2 * common_lengths(only_a, only_b, needed)
     found = 100.0 - 100.0 * distance / (whole_a + whole_b)
     with_a = 100.0 - 100.0 * (gap + n_a) / (shared + whole_a)
     with_b = 100.0 - 100.0 * (gap + n_b) / (shared + whole_b)
@@ -321,3 +355,13 @@ def token_set_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     built-in counterpart (it counts a substitution as two).
     """
     return pd.Series(ratios(left.fillna("").tolist(), right.fillna("").tolist()), dtype="float64")
+
+
+def nearly_same(left: Column, right: Column, threshold: float) -> Column:
+    """Whether the ratio is at least ``threshold``; the distance of a pair is followed only as far as that needs."""
+
+    @F.pandas_udf(T.BooleanType())
+    def reached(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(ratios(a.fillna("").tolist(), b.fillna("").tolist(), threshold) >= threshold)
+
+    return reached(left, right)

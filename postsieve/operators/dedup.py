@@ -42,11 +42,11 @@ from postsieve.functions.similarity import (
     letter_counts,
     may_be_edited,
     may_be_inside,
+    nearly_same,
     needed_words,
     size_band,
     sketch,
     still_edited,
-    token_set_ratio,
     tokens,
     word_sketch,
 )
@@ -163,7 +163,7 @@ def _similar(left: DataFrame, right: DataFrame, threshold: float, n_right: int,
         ),
     ]
     near = reduce(DataFrame.union, inside, edited)
-    return near.filter(token_set_ratio("text_a", "text_b") >= threshold).select("a", "b")
+    return near.filter(nearly_same(F.col("text_a"), F.col("text_b"), threshold)).select("a", "b")
 
 
 def _settle(edges: DataFrame) -> DataFrame | None:
