@@ -3,8 +3,9 @@
 Fixed patterns give the base spans, which always stay. Beside them, high-recall generators propose overlapping spans:
 the parts of longer digit runs, numbers without a plus, addresses with spelled-out signs. Each candidate has features
 of its format and of the characters around it. Trees are boosted on candidates whose truth a rule settles (base spans
-against candidates that break their kind's rule) from a bounded sample; the rest are scored. The probability from
-which on a kind is redacted is the lowest one that keeps the wanted precision on a part that was not trained on.
+against candidates that break their kind's rule): on all those of half of the documents, equal ones as one row with a
+weight; the rest are scored. The probability from which on a kind is redacted is the lowest one that keeps the wanted
+precision on all those of the other half.
 Candidates that overlap a base span are left out, and of overlapping candidates the likeliest stays.
 
 Python scans a text once, by piece; training, scoring and choosing are Spark operations over the candidates.
@@ -16,6 +17,7 @@ scanned whole, in linear time; an empty table gives an empty result; extra colum
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -24,18 +26,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import pieces
 from postsieve.plans.durable import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Labelled candidates that the trees see, at most; the part kept for calibration is drawn from as many others.
-SAMPLE_ROWS = 20_000
 #: Wanted share of true candidates among those redacted, on the calibration part.
 PRECISION = 0.98
 TREES, DEPTH = 12, 4
+#: Distinct labelled candidates a training task takes, from four tasks on, and ranges of probability for calibration.
+TASK_ROWS, RANGES = 50_000, 1024
 
 # The base patterns. Digit patterns run on stretches of digits and the signs between them only, and
 # never look back into what they have read.
@@ -239,21 +241,24 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def _chosen(every: DataFrame) -> DataFrame | None:
     """Open candidates that the boosted trees take, with their probability."""
-    draw = F.xxhash64("uid", "kind", "start", "end")
     settled = every.where("truth is not null")
     # the part that trains and the part that calibrates are different documents
     part = F.pmod(F.xxhash64("uid"), 2)
-    labelled = [
-        settled.where(part == p).orderBy(draw, "uid", "kind", "start", "end").limit(SAMPLE_ROWS)
-        .select(array_to_vector("features").alias("x"), F.col("truth").cast("double").alias("y"), "kind") for p in (0, 1)]
-    train = written(labelled[0].coalesce(4))
+    labelled = written(
+        settled.groupBy(part.alias("part"), "features", F.col("truth").cast("double").alias("y"), "kind")
+        .agg(F.count(F.lit(1)).cast("double").alias("weight")).sortWithinPartitions("part", "features", "y")
+    ).withColumn("x", array_to_vector("features"))
+    train = labelled.where("part = 0")
     seen = {r.y: r["count"] for r in train.groupBy("y").count().collect()}
     if len(seen) < 2:
         return None
-    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=42).fit(train)
+    rows = sum(seen.values())
+    # with as many bins, the trees look for their splits in all rows; with fewer, in a sample of them
+    bins = max(32, math.isqrt(rows) + 1)
+    trees = GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=bins, stepSize=0.3, seed=42)
+    model = trees.fit(train.coalesce(max(4, rows // TASK_ROWS)))
     chance = vector_to_array("probability")[1]
-    checked = model.transform(labelled[1].coalesce(4)).select("kind", "y", chance.alias("p")).collect()
-    bounds = {k: bound for k in range(4) if (bound := _bound([(r.p, r.y) for r in checked if r.kind == k])) is not None}
+    bounds = _bounds(model.transform(labelled.where("part = 1")).select("kind", "y", "weight", chance.alias("p")))
     if not bounds:
         return None
     scored = model.transform(every.where("truth is null and free").withColumn("x", array_to_vector("features"))).withColumn("p", chance)
@@ -261,17 +266,20 @@ def _chosen(every: DataFrame) -> DataFrame | None:
     return scored.where(F.col("p") >= least).select("uid", "kind", "start", "end", "p")
 
 
-def _bound(checked: list[tuple[float, float]]) -> float | None:
-    """The lowest probability from which on the wanted precision holds; at least an even chance."""
-    right = wrong = 0
-    best = None
-    ordered = sorted(checked, reverse=True)
-    for i, (p, y) in enumerate(ordered):
-        right, wrong = right + (y > 0), wrong + (y <= 0)
-        last = i + 1 == len(ordered) or ordered[i + 1][0] < p
-        if last and p >= 0.5 and right >= PRECISION * (right + wrong):
-            best = p
-    return best
+def _bounds(checked: DataFrame) -> dict[int, float]:
+    """By kind the lowest probability from which on the wanted precision holds; at least an even chance.
+
+    Equal probabilities are one row; what lies above a row is summed over ranges of probability, then inside its own.
+    """
+    counts = [F.sum(F.when(F.col("y") > 0, F.col("weight")).otherwise(0.0)).alias("good"), F.sum("weight").alias("all")]
+    level = checked.where("p >= 0.5").groupBy("kind", "p").agg(*counts).withColumn("range", F.floor(F.col("p") * RANGES))
+    higher = Window.partitionBy("kind").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    above = level.groupBy("kind", "range").agg(F.sum("good").alias("good"), F.sum("all").alias("all")).select(
+        "kind", "range", *(F.coalesce(F.sum(c).over(higher), F.lit(0.0)).alias(f"{c}_above") for c in ("good", "all")))
+    inside = Window.partitionBy("kind", "range").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    total = {c: F.col(f"{c}_above") + F.sum(c).over(inside) for c in ("good", "all")}
+    held = level.join(F.broadcast(above), ["kind", "range"]).select("kind", "p", (total["good"] >= PRECISION * total["all"]).alias("holds"))
+    return {r.kind: r.p for r in held.where("holds").groupBy("kind").agg(F.min("p").alias("p")).collect()}
 
 
 def _best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
