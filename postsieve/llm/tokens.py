@@ -21,6 +21,8 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse, islice
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,12 @@ MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
 IDENT = struct.Struct("<BBq")
-#: Words remembered by one Python worker.
-CACHE_WORDS = 600_000
+#: Bytes of words and their ids remembered by one Python worker, in each of two generations, and what an entry takes
+#: besides its word and ids.
+REMEMBERED = 40_000_000
+ENTRY = 60
+#: Texts of about so many characters are split into words at a time; a word takes about ten times its characters.
+SPLIT_CHARS = 1_000_000
 
 
 def masked(data: bytes) -> int:
@@ -48,6 +54,9 @@ def masked(data: bytes) -> int:
 class WordEncoder:
     """Ids of whole texts by way of their words, each encoded by the tokenizer and remembered.
 
+    A worker lives on after its task, so what it remembers has a bound in bytes: when a generation of words is full a
+    new one begins, to which the words of the one before move as they recur; the others are forgotten.
+
     For byte-level tokenizers that fold case and whose pre-tokens never hold white space. Splitting at single spaces
     and line ends then changes nothing; neither does folding the case of a Latin-1 text first, nor encoding a run of
     Latin-1 letters and the ASCII marks after it one by one, by the tokenizer's merges alone.
@@ -65,29 +74,36 @@ class WordEncoder:
         stand_in = _byte_letters()
         self._letters = {c: "".join(stand_in[x] for x in chr(c).encode()) for c in range(128, 256)}
         self._words: dict[str, bytes] = {"": b""}
-        self._parts: dict[str, bytes] = {"": b""}
+        self._old: dict[str, bytes] = {}
+        self._held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed in little-endian numbers of ``width`` bytes."""
         split = [_folded(text).replace("\n", " ").split(" ") for text in texts]
-        if len(self._words) > CACHE_WORDS:
-            self._words, self._parts = {"": b""}, {"": b""}
-        self._learn(set().union(*split) - self._words.keys())
-        known = self._words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
-
-    def _learn(self, missing: set[str]) -> None:
-        simple, words, parts, other = self._simple.fullmatch, self._words, self._parts, []
+        if self._held > REMEMBERED:
+            self._words, self._old, self._held = {"": b""}, self._words, 0
+        words, old = self._words, self._old
+        before = len(words)
+        missing = list(filterfalse(words.__contains__, set().union(*split)))
+        words.update((word, old[word]) for word in missing if word in old)
+        self._learn(list(filterfalse(words.__contains__, missing)))
+        new = islice(reversed(words.items()), len(words) - before)
+        self._held += sum(getsizeof(word) + getsizeof(ids) + ENTRY for word, ids in new)
+        known = words.__getitem__
+        return [b"".join(map(known, line)) for line in split]
+
+    def _learn(self, missing: list[str]) -> None:
+        simple, words, other = self._simple.fullmatch, self._words, []
         for word in missing:
             if found := simple(word):
                 run, marks = found.groups()
-                if (ids := parts.get(run)) is None:
-                    ids = parts[run] = self._merged(run)
+                if (ids := words.get(run)) is None:
+                    ids = words[run] = self._merged(run)
                 if marks:
-                    if (tail := parts.get(marks)) is None:
-                        tail = parts[marks] = self._merged(marks)
-                    ids += tail
-                words[word] = ids
+                    # words hold no space, so what marks alone give is kept apart from them by one
+                    if (tail := words.get(f" {marks}")) is None:
+                        tail = words[f" {marks}"] = self._merged(marks)
+                    words[word] = ids + tail
             else:
                 other.append(word)
         for word, found in zip(other, self._whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
@@ -134,7 +150,7 @@ def _write(batches: Iterable[pa.RecordBatch], folder: str, tokenizer: str, end_i
     words, out, at, start = encoder(tokenizer), None, 0, 0
     end = struct.pack("<H" if words.width == 2 else "<I", end_id)
     name = f"{folder}/{unique_name('tokens', TaskContext.get().partitionId())}.bin"
-    for piece in pieces(batches):
+    for piece in pieces(batches, chars=SPLIT_CHARS):
         if out is None:
             system, path = filesystem(name)
             system.create_dir(path.rsplit("/", 1)[0], recursive=True)
