@@ -2,21 +2,24 @@
 
 The ratio compares the distinct words two texts share with the words only one
 of them has.  Bounds on letter counts and word sets, held as bit sets in a few
-longs, rule out nearly all pairs inside a join's generated code and never a
-similar one.  Python sees only the pairs they leave open.
+longs, rule out most pairs and never a similar one.  Tiles of records are
+compared inside Spark's own tasks, by ``SimilarPairs.java`` beside this file.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 import sys
-from collections.abc import Iterator
+import tempfile
+import zipfile
 from functools import reduce
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +34,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _UNARY, _PER_LONG = 14, 4
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 N_SKETCH = 7
-N_GRAMS = 128
 SKETCH = tuple(f"s{i}" for i in range(N_SKETCH))
 # Word sketches: column -> (shortest, longest, least length + 1) of its words.
 WORD_CLASSES = {"w0": (1, 3, 2), "w1": (4, 6, 5), "w2": (7, 1 << 30, 8)}
@@ -68,22 +70,6 @@ def letter_counts(text: Column) -> Column:
     return F.array(*counts)
 
 
-@F.pandas_udf(T.ArrayType(T.ByteType()))
-def gram_counts(text: pd.Series) -> pd.Series:
-    """How often each of ``N_GRAMS`` classes of two neighbouring characters occurs in words joined by blanks.
-
-    Blanks stand around each word, so the counts of a text are the sum of those of its words.  A count above 127 is
-    stored as 127, which can only make the bound on them looser.
-    """
-    counts = []
-    for words in text:
-        codes = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        classes = ((codes[:-1] * np.uint64(1_000_003) + codes[1:]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
-        found = np.bincount(classes.astype(np.int64), minlength=N_GRAMS)
-        counts.append(np.minimum(found, 127).astype(np.int8))
-    return pd.Series(counts, dtype=object)
-
-
 def sketch(letters: Column) -> list[Column]:
     """The letter counts of a text as ``N_SKETCH`` longs."""
     longs = []
@@ -161,53 +147,6 @@ def may_be_similar(a: str, b: str, threshold: float) -> Column:
     return may_be_edited(a, b, threshold) | may_be_inside(a, b, threshold) | may_be_inside(b, a, threshold)
 
 
-def still_edited(a: str, b: str, threshold: float) -> Column:
-    """The condition of :func:`may_be_edited` on whole letter counts, then on counts of neighbouring characters.
-
-    A character put in or taken out changes three pairs of neighbours at most, and those of shared words cancel out.
-    The tests take a few microseconds, where the ratio costs up to a thousand times as much.
-    """
-    budget = edit_budget(a, b, threshold)
-
-    def apart(name: str) -> Column:
-        gaps = F.zip_with(F.col(f"{a}.{name}"), F.col(f"{b}.{name}"), lambda x, y: F.abs(x - y))
-        return F.aggregate(gaps, F.lit(0), lambda acc, n: acc + n)
-
-    return (apart("letters") <= budget) & (apart("grams") <= F.lit(3) * budget)
-
-
-def is_inside(a: str, b: str, threshold: float) -> Column:
-    """The condition of :func:`may_be_inside` on whole words, which the records carry as ``text``."""
-    words_a, words_b = F.split(F.col(f"{a}.text"), " "), F.split(F.col(f"{b}.text"), " ")
-    weight = F.aggregate(F.array_except(words_a, words_b), F.lit(0), lambda acc, w: acc + F.length(w) + 1)
-    return weight <= unshared_budget(F.col(f"{a}.size"), threshold)
-
-
-def size_band(size: Column, threshold: float) -> Column:
-    """A number of sizes such that two records in edit form are in the same band or in neighbouring ones.
-
-    Their sizes differ by at most e * (size_a + size_b), so the larger is at most (1 + e) / (1 - e) times the smaller.
-    Null for an empty text, which is similar to nothing.
-    """
-    e = 1.0 - threshold / 100.0
-    step = math.log((1 + e) / max(1 - e, 1e-9) * (1 + 1e-6))
-    return F.floor(F.ln(F.when(size > 0, size)) / F.lit(step))
-
-
-def needed_words(words: Column, size: Column, threshold: float) -> Column:
-    """The shortest beginning of ``words`` of which any record that nearly contains this one holds a word.
-
-    Together the words weigh more than unshared words may, so they cannot all be unshared.
-    """
-    budget = unshared_budget(size, threshold)
-    start = F.struct(F.lit(0).alias("weight"), F.slice(words, 1, 0).alias("kept"))
-    step = lambda acc, w: F.when(
-        acc["weight"] <= budget,
-        F.struct((acc["weight"] + F.length(w) + 1).alias("weight"), F.concat(acc["kept"], F.array(w)).alias("kept")),
-    ).otherwise(acc)
-    return F.aggregate(words, start, step, lambda acc: acc["kept"])
-
-
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, one big-integer step per character."""
     where: dict[str, int] = {}
@@ -357,11 +296,46 @@ def token_set_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(ratios(left.fillna("").tolist(), right.fillna("").tolist()), dtype="float64")
 
 
-def nearly_same(left: Column, right: Column, threshold: float) -> Column:
-    """Whether the ratio is at least ``threshold``; the distance of a pair is followed only as far as that needs."""
+#: What :func:`similar_pairs` reads of a record.
+COMPARED = ("id", "text", *SKETCH, *WORD_CLASSES)
+_PAIRS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
-    @F.pandas_udf(T.BooleanType())
-    def reached(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(ratios(a.fillna("").tolist(), b.fillna("").tolist(), threshold) >= threshold)
 
-    return reached(left, right)
+def _pair_function(spark: SparkSession) -> str:
+    """Name of the function of ``SimilarPairs.java`` in a session.
+
+    Spark's own compiler makes the class, and a jar that Spark brings to its executors holds it, so neither they nor the
+    driver need any tool besides Spark.
+    """
+    source, jvm, session = Path(__file__).with_name("SimilarPairs.java").read_text("utf-8"), spark._jvm, spark._jsparkSession
+    name = f"SimilarPairs{hashlib.sha256(source.encode()).hexdigest()[:12]}"
+    loader = session.sharedState().jarClassLoader()
+    try:
+        found = jvm.java.lang.Class.forName(name, True, loader)
+    except Py4JJavaError:
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(source.replace("class SimilarPairs", f"class {name}"))
+        jar = f"{tempfile.mkdtemp(prefix='postsieve-')}/{name}.jar"
+        with zipfile.ZipFile(jar, "w") as classes:
+            for path, code in compiler.getBytecodes().items():
+                classes.writestr(f"{path.replace('.', '/')}.class", bytes(code))
+        spark.sql(f"ADD JAR '{jar}'")
+        found = jvm.java.lang.Class.forName(name, True, loader)
+    none = lambda kind: spark.sparkContext._gateway.new_array(kind, 0)
+    made = found.getDeclaredConstructor(none(jvm.java.lang.Class)).newInstance(none(jvm.java.lang.Object))
+    session.udf().register(name, made, jvm.org.apache.spark.sql.types.DataType.fromJson(_PAIRS.json()))
+    return name
+
+
+def similar_pairs(
+    spark: SparkSession, left: Column, right: Column, threshold: float, within: bool, least: int, most: int
+) -> Column:
+    """Pairs (a, b) of similar records of two tiles: arrays of structs of ``COMPARED``.
+
+    ``within``: all similar pairs, the lesser id as a; ``right`` is null where a tile meets itself. Else a is left and b
+    right, and each right record comes with the least id of a similar left one only.
+    ``least``: neighbouring characters are counted first where a tile holds so many records; where few are met, counting
+    costs more than the ratios it saves. ``most``: the answer is null if there are more pairs than this.
+    """
+    args = F.lit(float(threshold)), F.lit(within), F.lit(least), F.lit(most)
+    return F.call_udf(_pair_function(spark), left, right, *args)

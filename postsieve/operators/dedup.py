@@ -11,16 +11,16 @@ enough, else it becomes a leader.  The sequential rule is met exactly, in rounds
    the similar ones are settled, so a large group of near copies is gone after
    the round that finds its leader.
 
-Two records can be similar in two ways, and each has an index of its own:
+Records of a block are dealt into tiles, and each two tiles that meet are one
+cell: a group of one shuffle, whose pairs are compared in memory.  Two records can
+be similar in two ways, and each is sought by itself:
 
 * one nearly contains the other: it asks for its rarest words, of which the other
   must hold one, and meets the records listed under them;
-* the unshared words differ by few characters: the records are in the same or in
-  neighbouring bands of size, and their counts of letters and of neighbouring
-  characters differ by few.
+* the unshared words differ by few characters: the records are of like size, and
+  their counts of letters and of neighbouring characters differ by few.
 
-Lists and bands that are long are kept in tiles, and who asks for them goes to
-each tile.  Pairs are tested inside the joins; only similar ones leave them.
+Only similar pairs leave a cell, and of a later record only its first leader.
 """
 
 from __future__ import annotations
@@ -32,21 +32,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postsieve.functions.similarity import (
+    COMPARED,
     SKETCH,
     WORD_CLASSES,
     block_key,
     fingerprint,
-    gram_counts,
-    is_inside,
     joined,
     letter_counts,
-    may_be_edited,
-    may_be_inside,
-    nearly_same,
-    needed_words,
-    size_band,
+    similar_pairs,
     sketch,
-    still_edited,
     tokens,
     word_sketch,
 )
@@ -54,10 +48,12 @@ from postsieve.plans.durable import cut, shared_folder, written
 
 THRESHOLD = 90
 _FIRST_BATCH = 1000  # Spark limits ranks before the shuffle up to this many by default
-_TILE_ROWS = 1024
+_GROWTH = 4  # of a batch
+_TILE_ROWS = 8192
+_MOST_PAIRS = 1_000_000  # of a cell; more than a tile of _FIRST_BATCH records can have
 _PART_ROWS = 50_000
 _MAX_HOT = 50_000
-_LEAST_COUNTED = 64
+_LEAST_COUNTED = 64  # records of a tile from which on their neighbouring characters are counted
 _LANES = 64
 
 
@@ -73,97 +69,68 @@ def records(df: DataFrame, block: Column | None = None) -> DataFrame:
     )
 
 
-def _band_key(band: Column) -> Column:
-    """Bands are listed beside words; no word has a blank."""
-    return F.concat(F.lit(" "), band.cast("string"))
+def _features(recs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Records with their text and its sketches, which serve any threshold."""
+    text = recs.withColumn("text", joined(F.col("words")))
+    text = text.withColumn("letters", letter_counts(F.col("text")))
+    return cut(text.select(
+        "id", "block", "text", F.length("text").alias("size"), *sketch(F.col("letters")), *word_sketch(F.col("words")),
+    ))
 
 
-def _long_lists(recs: DataFrame) -> DataFrame:
-    """(block, key, n): how many records are listed under a word or a band, where they are many.
+def _tiles(recs: DataFrame, name: str) -> DataFrame:
+    """How many tiles the records of a block make, for blocks of several: at most one row for each ``_TILE_ROWS`` records."""
+    tiles = F.ceil(F.count(F.lit(1)) / _TILE_ROWS).cast("int").alias(name)
+    return recs.groupBy("block").agg(tiles).filter(F.col(name) > 1)
 
-    A list counts as long above ``least`` records, and ``least`` grows with all entries, so there are at most
-    ``_MAX_HOT`` long lists and their table can be broadcast.
-    """
-    total = recs.agg(F.coalesce(F.sum(F.size("words") + 1), F.lit(0))).first()[0]
-    least = max(_LEAST_COUNTED, math.ceil(total / _MAX_HOT))
-    keys = F.concat("words", F.array_compact(F.array(_band_key(F.col("band")))))
-    listed = recs.select("block", F.explode(keys).alias("key"))
-    return listed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
 
+def _cells(left: DataFrame, right: DataFrame, n_right: int, within: bool) -> DataFrame:
+    """One row for each two tiles of a block that meet, with their records as arrays ``left`` and ``right``.
 
-def _features(recs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Records with their sketches and ``keys``: words and the bands around their own, with the tiles of each list,
-    and ``needed``: the words to ask for, rarest first (those of short lists before all others, long words first)."""
-    text = recs.withColumn("text", joined(F.col("words"))).withColumn("size", F.length("text"))
-    text = text.withColumn("letters", letter_counts(F.col("text"))).withColumn("band", size_band(F.col("size"), threshold))
-    text = cut(text.select(
-        "id", "block", "words", "text", "size", "band", "letters", gram_counts("text").alias("grams"),
-        *sketch(F.col("letters")), *word_sketch(F.col("words")),
-    ))
-    around = F.array_compact(F.array(*[_band_key(F.col("band") + i) for i in (-1, 0, 1)]))
-    asked = text.select("id", "block", F.explode(F.concat("words", around)).alias("key"))
-    asked = asked.join(F.broadcast(cut(_long_lists(text))), ["block", "key"], "left")
-    rare = F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("key")).alias("short"), "key")
-    keys = asked.groupBy("id").agg(F.array_sort(F.collect_list(rare)).alias("keys"))
-    rows = text.drop("words").join(keys, "id", "left")
-    is_word = lambda k: ~F.startswith(k["key"], F.lit(" "))
-    by_rarity = F.transform(F.filter("keys", is_word), lambda k: k["key"])
-    return rows.withColumn("needed", needed_words(by_rarity, F.col("size"), threshold))
-
-
-_TESTS = ("letters", "grams", *SKETCH)
-_WORD_TESTS = tuple(WORD_CLASSES)
-
-
-def _lists(df: DataFrame, wanted, columns: tuple[str, ...], each_tile: bool) -> DataFrame:
-    """One row for each wanted key of a record: in one tile of its list, or to be taken to each tile."""
-    rows = df.select("id", "block", "text", "size", *columns, F.explode(F.filter("keys", wanted)).alias("_k"))
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("_k.n") / _TILE_ROWS).cast("int"))
-    tile = F.explode(F.sequence(F.lit(0), tiles - 1)) if each_tile else F.pmod(F.hash("id"), tiles)
-    return rows.select("id", "block", "text", "size", *columns, F.col("_k.key").alias("key"), tile.alias("tile"))
-
-
-def _met(asking: DataFrame, listed: DataFrame, parts: int, test: Column, ordered: bool, flipped: bool = False) -> DataFrame:
-    """Pairs that meet in a tile of a list and pass the test: a from the left side of the comparison, b from the right."""
-    on = ["block", "key", "tile"]
-    x, y = asking.repartition(parts, *on).alias("x"), listed.repartition(parts, *on).alias("y")
-    for key in on:
-        test = (F.col(f"x.{key}") == F.col(f"y.{key}")) & test
-    a, b = ("y", "x") if flipped else ("x", "y")
-    if ordered:
-        test = (F.col(f"{a}.id") < F.col(f"{b}.id")) & test
-    return x.join(y, test).select(
-        F.col(f"{a}.id").alias("a"), F.col(f"{b}.id").alias("b"),
-        F.col(f"{a}.text").alias("text_a"), F.col(f"{b}.text").alias("text_b"),
+    A record goes to each cell of its tile. ``within``: left and right are the same records; a tile that meets itself is
+    in ``left`` alone, and ``right`` is null.
+    """
+    tiles = _tiles(left, "n_left")
+    tiles = tiles.withColumn("n_right", F.col("n_left")) if within else tiles.join(_tiles(right, "n_right"), "block", "full")
+    tiles = cut(tiles.fillna(1))
+    met = tiles.agg(F.sum(F.col("n_left") * F.col("n_right"))).first()[0] or 0
+    parts = max(right.sparkSession.sparkContext.defaultParallelism, min(2 * met, _MAX_HOT), n_right // _PART_ROWS)
+
+    def dealt(recs: DataFrame, own: str, other: str) -> DataFrame:
+        rows = recs.join(F.broadcast(tiles), "block", "left")
+        number = lambda n: F.coalesce(n, F.lit(1))
+        return rows.select(
+            "block", F.struct(*COMPARED).alias("rec"), F.pmod(F.hash("id"), number(own)).alias("own"),
+            F.explode(F.sequence(F.lit(0), number(other) - 1)).alias("other"),
+        )
+
+    if within:
+        x, y = F.least("own", "other"), F.greatest("own", "other")
+        rows = dealt(left, "n_left", "n_left").select("block", x.alias("x"), y.alias("y"), (F.col("own") == x).alias("is_left"), "rec")
+    else:
+        rows = dealt(left, "n_left", "n_right").select("block", F.col("own").alias("x"), F.col("other").alias("y"), F.lit(True).alias("is_left"), "rec")
+        rows = rows.union(dealt(right, "n_right", "n_left").select("block", "other", "own", F.lit(False), "rec"))
+    cells = rows.repartition(parts, "block", "x", "y").groupBy("block", "x", "y").agg(
+        F.collect_list(F.when(F.col("is_left"), F.col("rec"))).alias("left"),
+        F.collect_list(F.when(~F.col("is_left"), F.col("rec"))).alias("right"),
     )
+    return cells.withColumn("right", F.when(F.col("x") != F.col("y"), F.col("right"))) if within else cells
 
 
-def _similar(left: DataFrame, right: DataFrame, threshold: float, n_right: int, ordered: bool) -> DataFrame:
-    """Pairs (a, b) of similar records of one block, a from left and b from right; a pair may come more than once."""
-    parts = max(right.sparkSession.sparkContext.defaultParallelism, n_right // _PART_ROWS)
-    is_band = lambda k: F.startswith(k["key"], F.lit(" "))
-    is_word = lambda k: ~F.startswith(k["key"], F.lit(" "))
-    own_band = lambda k: k["key"] == _band_key(F.col("band"))
-    needed = lambda k: F.array_contains(F.col("needed"), k["key"])
+def _similar(
+    left: DataFrame, right: DataFrame, threshold: float, n_right: int, ordered: bool, most: int | None = None
+) -> DataFrame:
+    """Pairs (a, b) of similar records of one block.
 
-    edited = _met(
-        _lists(left, is_band, _TESTS, each_tile=True), _lists(right, own_band, _TESTS, each_tile=False), parts,
-        may_be_edited("x", "y", threshold) & still_edited("x", "y", threshold), ordered,
-    )
-    inside = [
-        # the left record is nearly contained in the right one
-        _met(
-            _lists(left, needed, _WORD_TESTS, each_tile=True), _lists(right, is_word, _WORD_TESTS, each_tile=False), parts,
-            may_be_inside("x", "y", threshold) & is_inside("x", "y", threshold), ordered,
-        ),
-        # the right record is nearly contained in the left one
-        _met(
-            _lists(right, needed, _WORD_TESTS, each_tile=True), _lists(left, is_word, _WORD_TESTS, each_tile=False), parts,
-            may_be_inside("x", "y", threshold) & is_inside("x", "y", threshold), ordered, flipped=True,
-        ),
-    ]
-    near = reduce(DataFrame.union, inside, edited)
-    return near.filter(nearly_same(F.col("text_a"), F.col("text_b"), threshold)).select("a", "b")
+    ``ordered``: left and right are the same records, and a pair comes with the lesser id as a, maybe more than once.
+    Else a is from left and b from right, and a right record comes with the least of its similar left ones, once for each
+    tile that holds one. A cell of more pairs than ``most`` gives one row of nulls in their place.
+    """
+    most = 2**31 - 2 if most is None else most
+    cells = _cells(left, right, n_right, ordered)
+    pairs = similar_pairs(right.sparkSession, F.col("left"), F.col("right"), threshold, ordered, _LEAST_COUNTED, most)
+    pairs = F.coalesce(pairs, F.array(F.struct(F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"))))
+    return cells.select(F.explode(pairs).alias("pair")).select("pair.a", "pair.b")
 
 
 def _settle(edges: DataFrame) -> DataFrame | None:
@@ -208,11 +175,11 @@ def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: i
         if recs.filter("leader is null").isEmpty():
             return known
         standing = recs.filter("leader = id").join(recs.filter("leader is null").select("block").distinct(), "block", "left_semi")
-        found = cut(_features(recs.filter("leader is null").unionByName(standing), threshold))
+        found = _features(recs.filter("leader is null").unionByName(standing), threshold)
         leading = cut(found.join(known.select("id"), "id", "left_semi"))
         open_ = cut(found.join(known.select("id"), "id", "left_anti"))
     else:
-        open_ = cut(_features(recs, threshold))
+        open_ = _features(recs, threshold)
     n_open, size = open_.count(), first_batch
 
     def settle(part: DataFrame, name: str) -> DataFrame:
@@ -233,7 +200,10 @@ def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: i
         first = F.coalesce(F.col("id") <= F.col("last"), F.lit(True))
         batch, rest = cut(split.filter(first).drop("last")), split.filter(~first).drop("last")
         n_batch = batch.count()
-        edges = cut(_similar(batch, batch, threshold, n_batch, ordered=True))
+        edges = cut(_similar(batch, batch, threshold, n_batch, ordered=True, most=_MOST_PAIRS if size > _FIRST_BATCH else None))
+        if size > _FIRST_BATCH and not edges.filter("a is null").isEmpty():
+            size = _FIRST_BATCH  # many copies: their leaders are found in a narrow batch, and they go with its round
+            continue
         members = _settle(edges)
         if members is None:
             leaders = batch
@@ -253,7 +223,7 @@ def record_leaders(recs: DataFrame, threshold: float = THRESHOLD, first_batch: i
         open_ = cut(rest.join(absorbed.select("id"), "id", "left_anti"))
         n_open = open_.count()
         # Widen while most of a batch leads; after a batch of copies, go narrow.
-        size = size * 2 if 2 * leaders.count() >= n_batch else max(first_batch, size // 2)
+        size = size * _GROWTH if 2 * leaders.count() >= n_batch else max(first_batch, size // 2)
     led = spark.read.schema("id bigint, leader bigint").parquet(f"{folder}/round=*")
     return led if known is None else led.unionByName(known)
 
