@@ -56,3 +56,15 @@ def test_a_batch_of_copies_is_taken_in_narrow_steps(spark, monkeypatch):
     rows += [(100 + i, "Unknown", f"machine learning internship in the data team number {i}", "Berlin") for i in range(80)]
     got = dict(dedup.leaders(frame(spark, rows), first_batch=32).collect())
     assert got == sequential_leaders(rows)
+
+
+def test_the_richest_copy_is_kept_across_tiles_and_narrow_steps(spark, monkeypatch):
+    for name, value in (("_TILE_ROWS", 16), ("_FIRST_BATCH", 8), ("_MOST_PAIRS", 60)):
+        monkeypatch.setattr(dedup, name, value)
+    rows = [(i, "Unknown", f"{'abcdefgh'[i % 8] * 9} {'klmnopqr'[i // 8] * 9}", "Berlin") for i in range(32)]
+    rows += [(100 + i, "Unknown", f"machine learning internship in the data team number {i}", "Berlin") for i in range(40)]
+    df = frame(spark, rows).withColumns({"description": F.repeat(F.lit("x"), (F.col("seq") % 7).cast("int")), "posted_date": F.lit("")})
+    kept = {r.seq: (r.title, len(r.description)) for r in dedup.fuzzy_dedup(df, first_batch=24).collect()}
+    led, titles = sequential_leaders(rows), {r[0]: r[2] for r in rows}
+    best = {lead: min((s for s in led if led[s] == lead), key=lambda s: (-(s % 7), s)) for lead in set(led.values())}
+    assert kept == {lead: (titles[s], s % 7) for lead, s in best.items()}
